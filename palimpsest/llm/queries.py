@@ -10,6 +10,7 @@ WHERE = {
     "op2_quality_rules": "quality",
     "op6_toxicity": "toxicity",
     "op7_token_output": "tokens",
+    "op10_near_duplicates": "neardup",
 }
 
 
