@@ -8,6 +8,7 @@ from importlib import import_module
 #: Query and the module that holds it; SQL is that module's OPn_SQL where it has one.
 WHERE = {
     "op2_quality_rules": "quality",
+    "op4_suffix_dedup": "suffix",
     "op6_toxicity": "toxicity",
     "op7_token_output": "tokens",
     "op10_near_duplicates": "neardup",
