@@ -9,6 +9,7 @@ from importlib import import_module
 WHERE = {
     "op2_quality_rules": "quality",
     "op4_suffix_dedup": "suffix",
+    "op5_decontamination": "decontaminate",
     "op6_toxicity": "toxicity",
     "op7_token_output": "tokens",
     "op10_near_duplicates": "neardup",

@@ -20,6 +20,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: All ASCII but letters and digits; bytes of other characters count as letters.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -36,6 +38,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * U(0xD6E8FEB86659FD93))
 
 
+def fold(data: np.ndarray) -> np.ndarray:
+    """A copy with ASCII and Latin-1 letters in lower case; the length in bytes stays."""
+    out = LOWER[data]
+    at = np.flatnonzero(data[:-1] == 0xC3) + 1
+    upper = at[(data[at] >= 0x80) & (data[at] <= 0x9E) & (data[at] != 0x97)]
+    out[upper] += 32
+    return out
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse."""
     if "up" not in _POWERS or len(_POWERS["up"]) < n:
@@ -88,9 +99,9 @@ def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:n]) * down)
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and row of each run of bytes that are not white space; runs end with their row."""
-    ink = ~SPACE[data]
+def words(data: np.ndarray, off: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and row of each run of bytes outside ``gaps`` (white space); runs end with their row."""
+    ink = ~gaps[data]
     before = np.empty_like(ink)
     before[:1] = False
     before[1:] = ink[:-1]
