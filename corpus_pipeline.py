@@ -1,13 +1,68 @@
-"""The corpus pipeline: stages that each call one operator of ``palimpsest.llm``."""
+"""The corpus pipeline: five stages, each one operator of ``palimpsest.llm``.
+
+A stage takes (spark, docs, sf_dir) and works on all rows that the stage before
+kept. All but the last return the columns of ``documents``; each stage's result
+is written as Parquet and read again before the next, so no stage holds the
+lineage of another and a lost executor repeats one stage at most.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.llm import decontaminate, mixing, neardup, tokens, toxicity
+from palimpsest.llm.runtime import prepare, shared_dir
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is 0.5 or more go."""
+    model = toxicity.train(toxicity.labelled_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return toxicity.score(docs, model).filter("toxic_score < 0.5").drop("toxic_score")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document of least doc_id stays."""
+    gone = neardup.near_duplicates(docs).filter("class_id <> doc_id").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose tokens follow the raked source, language and topic shares."""
+    return mixing.sample_documents(docs)
+
+
+def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of all documents in shards; the result is the index read from them."""
+    return tokens.token_output(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("token_output", write_token_ids),
+]
+
+#: Compression distance, sketches and tokenisers are outside SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to the documents of ``sf_dir``."""
+    prepare(spark)
+    base = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for i, (name, stage) in enumerate(STAGES):
+        path = f"{base}/{i}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

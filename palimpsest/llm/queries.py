@@ -7,6 +7,7 @@ from importlib import import_module
 
 #: Query and the module that holds it; SQL is that module's OPn_SQL where it has one.
 WHERE = {
+    "op1_mixing": "mixing",
     "op2_quality_rules": "quality",
     "op4_suffix_dedup": "suffix",
     "op5_decontamination": "decontaminate",
