@@ -9,6 +9,7 @@ from importlib import import_module
 WHERE = {
     "op1_mixing": "mixing",
     "op2_quality_rules": "quality",
+    "op3_line_dedup": "linededup",
     "op4_suffix_dedup": "suffix",
     "op5_decontamination": "decontaminate",
     "op6_toxicity": "toxicity",
