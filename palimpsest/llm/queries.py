@@ -14,6 +14,7 @@ WHERE = {
     "op5_decontamination": "decontaminate",
     "op6_toxicity": "toxicity",
     "op7_token_output": "tokens",
+    "op8_html_extraction": "pages",
     "op10_near_duplicates": "neardup",
 }
 
