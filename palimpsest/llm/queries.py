@@ -15,6 +15,7 @@ WHERE = {
     "op6_toxicity": "toxicity",
     "op7_token_output": "tokens",
     "op8_html_extraction": "pages",
+    "op9_private_surrogates": "private",
     "op10_near_duplicates": "neardup",
 }
 
