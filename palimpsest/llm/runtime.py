@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,8 +52,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def rows_in_order(df: DataFrame, *names: str) -> DataFrame:
-    return df.select(*names)
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Like ``cut``, as a Parquet table in the shared folder: smaller than a checkpoint for long rows of numbers."""
+    spark = prepare(df.sparkSession)
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to any more, as after a cut."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import textbytes as tb
-from palimpsest.llm.runtime import cut, one_text_per_id, prepare, shuffle_width
+from palimpsest.llm.runtime import cut, one_text_per_id, prepare, release, shuffle_width
 
 LENGTH = 100
 GRAM = 24
@@ -268,12 +268,13 @@ def repeats_in_range(doc: np.ndarray, first: np.ndarray, left: np.ndarray, size:
     order = np.lexsort((first + left, doc))
     offset = np.cumsum(size) - size
     doc, first, left, size, spread, offset = (x[order].astype(np.int64) if x.dtype != bool else x[order] for x in (doc, first, left, size, spread, offset))
-    total = int(size.sum())
-    stop = np.cumsum(size)
-    owner = np.repeat(np.arange(n), size)
-    inner = np.arange(total) - np.repeat(stop - size, size)
     grid = np.zeros((WIDE, n), np.uint8)
-    grid[SPAN - 1 - left[owner] + inner, owner] = body[offset[owner] + inner]
+    for a in range(0, n, 4096):
+        b = min(a + 4096, n)
+        owner = np.repeat(np.arange(a, b), size[a:b])
+        stop = np.cumsum(size[a:b])
+        inner = np.arange(stop[-1]) - np.repeat(stop - size[a:b], size[a:b])
+        grid[SPAN - 1 - left[owner] + inner, owner] = body[offset[owner] + inner]
     words = -(-LENGTH // 8)
     keys = np.zeros((n, words), np.uint64)
     for j in range(LENGTH):
@@ -319,12 +320,14 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for bucket, pack in zip(batch.column("bucket").to_pylist(), batch.column("pack").to_pylist(), strict=True):
             held.setdefault(bucket, []).append(pack)
-    for packs in held.values():
+    while held:
+        _, packs = held.popitem()
         columns = []
         for pack in packs:
             n = int(np.frombuffer(pack, "<u4", 1)[0])
             columns.append((np.frombuffer(pack, "<i8", n, 4), np.frombuffer(pack, "<u4", n, 4 + 8 * n), np.frombuffer(pack, "u1", n, 4 + 12 * n), np.frombuffer(pack, "u1", n, 4 + 13 * n), np.frombuffer(pack, "?", n, 4 + 14 * n), np.frombuffer(pack, "u1", -1, 4 + 15 * n)))
         doc, first, left, size, spread, body = (np.concatenate(x) for x in zip(*columns, strict=True))
+        del packs, pack, columns
         who, lo, hi, (key, odoc, start) = repeats_in_range(doc, first.astype(np.int64), left.astype(np.int64), size.astype(np.int64), spread, body)
         for d, a, b, k in ((who, lo, hi, np.zeros(len(who), np.int64)), (odoc, start, start, key)):
             if len(d):
@@ -340,10 +343,14 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     # as many numbers as there are ranges
     shares = [i / width for i in range(1, width)]
     found = shared.filter(F.col("kind") == LEAD).agg(F.percentile_approx("lead", shares, 10_000).alias("s")).first()["s"] if shares else None
+    release(spark)
     splitters = np.array(found or [], np.int64)
     wanted = shared.filter(F.col("kind") == KNOWN).groupBy("doc_id").agg(F.collect_list("pack").alias("packs"))
     contexts = long_enough.join(wanted, "doc_id").select("doc_id", "text", "packs").mapInArrow(_send_contexts(splitters), PACKED)
+    del shared, wanted
     matched = cut(contexts.repartition(width, "bucket").mapInArrow(_match, "open boolean, key long, doc_id long, lo long, hi long"))
+    del contexts
+    release(spark)
     across = matched.filter("open").select("key", "doc_id", "lo")
     least = across.groupBy("key").agg(F.min(F.struct("doc_id", "lo")).alias("least"))
     late = across.join(least, "key").filter(F.struct("doc_id", "lo") > F.col("least")).select("doc_id", "lo", F.col("lo").alias("hi"))
