@@ -38,6 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -203,6 +204,7 @@ def _send_contexts(splitters: np.ndarray):
         wanted = np.zeros(len(data) + 1, bool)
         for i, packs in enumerate(batch.column("packs").to_pylist()):
             wanted[off[i] + np.frombuffer(b"".join(packs), "<u4").astype(np.int64)] = True
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         parts = []
         for lo, hi, a, b in _pieces(off):
             piece = data[a:b]
@@ -229,7 +231,7 @@ def _send_contexts(splitters: np.ndarray):
                 some = size[at]
                 stop = np.cumsum(some)
                 bytes_ = body[np.repeat(ends[at] - some - (stop - some), some) + np.arange(stop[-1])]
-                packs.append(b"".join(x.tobytes() for x in (np.array([len(at)], "<u4"), doc[at].astype("<i8"), first[at].astype("<u4"), left[at].astype("u1"), some.astype("u1"), spread[at], bytes_)))
+                packs.append(squeeze(b"".join(x.tobytes() for x in (np.array([len(at)], "<u4"), doc[at].astype("<i8"), first[at].astype("<u4"), left[at].astype("u1"), some.astype("u1"), spread[at], bytes_))))
             yield _rows(FOUND, used, np.zeros(len(used)), np.zeros(len(used)), packs)
 
     return run
@@ -317,17 +319,19 @@ def repeats_in_range(doc: np.ndarray, first: np.ndarray, left: np.ndarray, size:
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, list[bytes]] = {}
+    expand = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         for bucket, pack in zip(batch.column("bucket").to_pylist(), batch.column("pack").to_pylist(), strict=True):
             held.setdefault(bucket, []).append(pack)
     while held:
         _, packs = held.popitem()
         columns = []
-        for pack in packs:
+        for squeezed in packs:
+            pack = expand(squeezed)
             n = int(np.frombuffer(pack, "<u4", 1)[0])
             columns.append((np.frombuffer(pack, "<i8", n, 4), np.frombuffer(pack, "<u4", n, 4 + 8 * n), np.frombuffer(pack, "u1", n, 4 + 12 * n), np.frombuffer(pack, "u1", n, 4 + 13 * n), np.frombuffer(pack, "?", n, 4 + 14 * n), np.frombuffer(pack, "u1", -1, 4 + 15 * n)))
         doc, first, left, size, spread, body = (np.concatenate(x) for x in zip(*columns, strict=True))
-        del packs, pack, columns
+        del packs, columns
         who, lo, hi, (key, odoc, start) = repeats_in_range(doc, first.astype(np.int64), left.astype(np.int64), size.astype(np.int64), spread, body)
         for d, a, b, k in ((who, lo, hi, np.zeros(len(who), np.int64)), (odoc, start, start, key)):
             if len(d):
