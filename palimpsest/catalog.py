@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from importlib import import_module
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+from pyspark.sql import DataFrame, SparkSession
 
+from palimpsest.plans.registry import QUERIES, SQL
 
-def queries():
-    return {}
+MODULES = ("lookups", "changed", "mapped", "searched", "chunked", "reported", "runs")
 
 
-def oracle_sql():
-    return {}
+def _load() -> None:
+    for name in MODULES:
+        import_module(f"palimpsest.plans.{name}")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _load()
+    return QUERIES["source_changes"](spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(SQL)
