@@ -1 +1,81 @@
-"""Queries of this area."""
+"""The two long runs: change detection of a document against the one before, and mapping of changes onto products."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from palimpsest.functions import scores, text
+from palimpsest.operators import changes, frames, mapping, retrieval
+from palimpsest.plans.registry import query
+from palimpsest.sources.files import table
+
+
+def detect_changes(blocks: DataFrame, matches: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All results, filtered results, summary and index.
+
+    ``blocks``: pair_id, side (old or new), block_id, section_ref, body,
+    keywords. Blocks match by keywords unless a table of matches is given; new
+    blocks without a match are new clauses.
+    """
+    w = Window.partitionBy("pair_id", "side").orderBy("block_id")
+    few = blocks.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= changes.MAX_BLOCKS)
+    new, old = few.filter("side = 'new'"), few.filter("side = 'old'")
+    if matches is None:
+        matches = changes.greedy_matches(changes.block_candidates(new, old, "pair_id", "block_id", "keywords"), "pair_id")
+    a = new.select("pair_id", F.col("block_id").alias("new_id"), "section_ref", F.col("body").alias("new_text"), F.col("keywords").alias("new_words"))
+    b = old.select("pair_id", F.col("block_id").alias("old_id"), F.col("body").alias("old_text"), F.col("keywords").alias("old_words"))
+    pairs = a.join(matches.select("pair_id", "new_id", "old_id"), ["pair_id", "new_id"], "left").join(b, ["pair_id", "old_id"], "left")
+    judged = changes.verdicts(pairs).withColumn("has_numbers", F.col("change_type") == "value_change").withColumn("adversarial", F.lit(None).cast("double"))
+    every = judged.withColumn("section", F.concat_ws("/", F.col("pair_id").cast("string"), text.section_key(F.col("section_ref")))).withColumn("pos", F.col("new_id"))
+    best = frames.best_wins(every, ["section"], "confidence_score", "pos")
+    c = scores.adjusted_confidence(F.col("confidence_score"), F.col("adversarial"), F.col("has_numbers"))
+    leveled = best.withColumn("confidence", c).withColumn("level", scores.confidence_level(F.col("confidence"))).withColumn("words", F.array_sort(F.array_union(F.coalesce("new_words", F.array().cast("array<string>")), F.coalesce("old_words", F.array().cast("array<string>")))))
+    kept = leveled.filter(scores.passes_confidence(F.col("change_detected"), F.col("confidence")))
+    summary = changes.change_summary(kept, "pair_id").withColumn("needs_embedding", F.col("changed") > 0)
+    return {"all": leveled, "results": kept, "summary": summary, "index": frames.last_wins(kept.filter("change_detected"), ["section"], "pos")}
+
+
+def map_products(features: DataFrame, queries: DataFrame, points: DataFrame, changed: DataFrame, top_k: int = 10, alpha: float = 0.7) -> dict[str, DataFrame]:
+    """Mapping items and targets of a country's products.
+
+    ``features``: product_id, feature, value, unit. ``queries``: a dense vector
+    for each distinct feature. ``points``: point_id, embedding, doc_id, body.
+    ``changed``: section, words, confidence. One search serves all products.
+    """
+    named = queries.select(F.col("feature").alias("query_id"), "embedding")
+    words = retrieval.tokens(queries.select(F.col("feature").alias("query_id"), "query"), "query_id", "query").withColumnRenamed("n", "query_n")
+    found = retrieval.hybrid_search(named, words, points, retrieval.tokens(points, "point_id", "body"), top_k, alpha)
+    ranked = found.join(points.select("point_id", "doc_id", "body"), "point_id").withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id")))
+    capped = mapping.cap_per_document(ranked, "query_id", "doc_id", "point_id", "pos")
+    chunks = capped.select(F.col("query_id").alias("feature"), "point_id", "pos", F.split(F.lower("body"), r"\s+").alias("words"), F.regexp_extract("body", r"(\d+(?:\.\d+)?)", 1).alias("_number")).withColumn("required_value", F.nullif("_number", F.lit("")))
+    items = mapping.mapped_items(features.drop("pos"), chunks)
+    return {"items": items, "targets": mapping.targets(items, ["product_id", "feature"])}
+
+
+def _pairs(spark, sf) -> DataFrame:
+    docs = table(spark, sf, "documents").withColumn("seq", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
+    pair = docs.withColumn("pair_id", F.pmod(F.xxhash64("source"), F.lit(1 << 40)))
+    side = F.when(F.col("seq") % 2 == 1, "new").otherwise("old")
+    lines = pair.filter("seq <= 10").select("pair_id", side.alias("side"), (F.col("doc_id") * 1000).alias("base"), F.posexplode(F.split("text", "\n")).alias("i", "body"))
+    block = lines.select("pair_id", "side", (F.col("base") + F.col("i")).alias("block_id"), F.concat(F.lit("§ "), F.col("i").cast("string"), F.lit("."), (F.col("base") / 1000 % 7).cast("int").cast("string")).alias("section_ref"), "body")
+    return block.withColumn("keywords", text.keywords(F.col("body")))
+
+
+@query()
+def change_detection_run(spark, sf):
+    out = detect_changes(_pairs(spark, sf))
+    return out["results"].select("pair_id", "section", "change_type", "level", F.round("confidence", 6).alias("confidence"))
+
+
+@query()
+def product_mapping_run(spark, sf):
+    e = table(spark, sf, "embeddings")
+    docs = table(spark, sf, "documents")
+    points = e.join(docs, F.col("vec_id") == F.col("doc_id")).select(F.col("vec_id").alias("point_id"), "embedding", (F.col("doc_id") % 50).alias("doc_id"), F.col("text").alias("body"))
+    names = spark.createDataFrame([(0, "nicotine", "the concentration"), (1, "label", "warning text"), (2, "tar", "of the mg")], "k long, feature string, query string")
+    queries = names.join(e, F.col("k") == F.col("vec_id")).select("feature", "query", "embedding")
+    parts = table(spark, sf, "part").filter("p_partkey <= 200").select(F.col("p_partkey").alias("product_id"), F.col("p_size").alias("nicotine"), F.col("p_brand").alias("label"))
+    features = mapping.unpivot_features(parts, "product_id", ["nicotine", "label"])
+    out = map_products(features, queries, points, docs)
+    return out["items"].select("product_id", "feature", "point_id", "applies", "gap")
