@@ -16,11 +16,12 @@ four words has one shingle, its words. A text without words is like no other.
    stops as soon as its next point is above the largest register of its text.
 2. Texts of equal word sequence are collapsed to the least doc_id.
 3. Bands of registers give bucket keys. In each bucket every text is compared
-   with the least one alone; pairs that reach the threshold are links.
-4. Buckets whose texts are then still in several classes are gone through again
-   with another leader from another class, and what remains after ``LEADERS``
-   rounds is compared pair by pair across classes. So no link is lost that
-   could join two classes, and no bucket is expanded into all its pairs.
+   with one leader, the text that shares most buckets; pairs that reach the
+   threshold are links. Buckets whose texts are then in several classes get
+   another leader, for ``LEADERS`` rounds.
+4. In buckets that are still open, every text is compared with those of other
+   classes, block by block. So no link is lost that could join two classes,
+   and no bucket is expanded into pairs of texts.
 5. Classes are connected components; the class id is the least doc_id.
 
 Null text counts as empty. Equal doc_ids of different texts fall into one class
@@ -39,13 +40,14 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import textbytes as tb
 from palimpsest.llm.graph import components
-from palimpsest.llm.runtime import cut, one_text_per_id, prepare
+from palimpsest.llm.runtime import cut, one_text_per_id, prepare, release
 
 SHINGLE = 5
 THRESHOLD = 0.8
 REGISTERS = 128
 BANDS, ROWS = 21, 6
-LEADERS = 3
+#: Rounds of leaders, and texts in a block of the comparison that follows.
+LEADERS, BLOCK = 2, 256
 _STEP = np.array([pow(tb.BASE, 7 * j + 3, 1 << 64) for j in range(SHINGLE)], dtype=np.uint64)
 SKETCH = "doc_id long, hi long, lo long, bands array<long>"
 
@@ -196,51 +198,133 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return found.select("a", "b", "text_a", "text_b").mapInArrow(_compare, "a long, b long, similarity double")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _leaders(bucket: DataFrame) -> DataFrame:
+    """(band, key, leader): the text of each bucket whose buckets hold most texts together, then the least id.
+
+    In a group of copies of one original that is mostly the original itself,
+    which is nearer to all copies than they are to one another.
+    """
+    sized = bucket.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"))
+    score = bucket.join(sized, ["band", "key"]).groupBy("rep").agg(F.sum("n").alias("score"))
+    return bucket.join(score, "rep").groupBy("band", "key").agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("leader"))
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for text in batch.column("text").to_pylist():
+            value, weight = _bag(text)
+            out.append(value.astype("<u8").tobytes() + weight.astype("<u8").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(out, pa.binary())], ["rep", "bag"])
+
+
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between texts of different classes in two blocks of one bucket, one for each pair of classes."""
+
+    def read(items: list[dict]) -> tuple[list, list, list, list]:
+        bags = [np.frombuffer(x["bag"], "<u8").reshape(2, -1) for x in items]
+        return [x["rep"] for x in items], [x["root"] for x in items], [b[0] for b in bags], [b[1] for b in bags]
+
+    for batch in batches:
+        found: list[tuple[int, int, float]] = []
+        for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
+            ra, ca, va, wa = read(left)
+            rb, cb, vb, wb = read(right)
+            size_a, size_b = np.array([len(v) for v in va]), np.array([len(v) for v in vb])
+            both = np.intersect1d(np.concatenate(va), np.concatenate(vb))
+            shared = np.zeros((len(va), len(vb)), np.float32)
+            for lo in range(0, len(both), 4096):
+                some = both[lo : lo + 4096]
+                grids = []
+                for vs in (va, vb):
+                    grid = np.zeros((len(vs), len(some)), np.float32)
+                    for i, v in enumerate(vs):
+                        v = v[np.searchsorted(v, some[0]) : np.searchsorted(v, some[-1], "right")]
+                        at = np.searchsorted(some, v)
+                        grid[i, at[some[at] == v]] = 1
+                    grids.append(grid)
+                shared += grids[0] @ grids[1].T
+            once_a, once_b = np.array([w.max() == 1 for w in wa]), np.array([w.max() == 1 for w in wb])
+            plain = shared / (size_a[:, None] + size_b[None] - shared)
+            # without repeated shingles this is the index itself; with them it is computed
+            maybe = (plain >= THRESHOLD) | ((shared > 0) & ~(once_a[:, None] & once_b[None]))
+            maybe &= np.array(ca)[:, None] != np.array(cb)[None]
+            known: set[tuple[int, int]] = set()
+            for i, j in zip(*np.nonzero(maybe), strict=True):
+                pair = (min(ca[i], cb[j]), max(ca[i], cb[j]))
+                if pair not in known:
+                    alike = float(plain[i, j]) if once_a[i] and once_b[j] else probability_jaccard(va[i], wa[i], vb[j], wb[j])
+                    if alike >= THRESHOLD:
+                        known.add(pair)
+                        found.append((max(ra[i], rb[j]), min(ra[i], rb[j]), alike))
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()))], ["a", "b", "similarity"])
+
+
+def _rest(open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links across classes in buckets of several classes, each text against all of other classes in its bucket.
+
+    Texts go in blocks of about ``BLOCK``: large classes have blocks of their
+    own, small ones share blocks. Rows are pairs of blocks, never of texts, and
+    a pair of blocks of one class is not formed.
+    """
+    sizes = open_.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"))
+    own = F.when(F.col("n") >= BLOCK // 4, F.col("root"))
+    pools = sizes.select("band", "key", "root", own.alias("own"), "n")
+    pools = pools.join(pools.groupBy("band", "key", "own").agg(F.sum("n").alias("m")).withColumnRenamed("own", "_own"), ["band", "key"]).filter(F.col("own").eqNullSafe(F.col("_own")))
+    placed = open_.join(pools.select("band", "key", "root", "own", "m"), ["band", "key", "root"])
+    number = F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / BLOCK)).alias("number")
+    bags = open_.select("rep").distinct().join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").mapInArrow(_pack, "rep long, bag binary")
+    blocks = cut(placed.select("band", "key", "own", number, "rep", "root").join(bags, "rep").groupBy("band", "key", "own", "number").agg(F.collect_list(F.struct("rep", "root", "bag")).alias("texts")))
+    left = blocks.select("band", "key", F.coalesce("own", F.lit(-(1 << 63))).alias("o"), F.col("number").alias("i"), F.col("own").alias("own_i"), F.col("texts").alias("left"))
+    right = blocks.select("band", "key", F.coalesce("own", F.lit(-(1 << 63))).alias("p"), F.col("number").alias("j"), F.col("own").alias("own_j"), F.col("texts").alias("right"))
+    ordered = (F.col("o") < F.col("p")) | ((F.col("o") == F.col("p")) & (F.col("i") <= F.col("j")) & F.col("own_i").isNull() & F.col("own_j").isNull())
+    return left.join(right, ["band", "key"]).filter(ordered).select("left", "right").mapInArrow(_cross, "a long, b long, similarity double")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, n_links): the class of each row of ``docs``, and the links found at its class's distinct texts.
 
     Runs driver-side rounds; each ends with a written table, and the driver
     sees counts alone.
     """
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
     texts = one_text_per_id(docs, id_col, text_col).filter("doc_id is not null")
     sketch = cut(texts.mapInArrow(_sketch, SKETCH))
-    same = sketch.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min_by("bands", "doc_id").alias("bands"))
+    same = sketch.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
     members = cut(same.select("rep", F.posexplode("bands").alias("band", "key")))
-    shared = members.groupBy("band", "key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    bucket = cut(members.join(shared, ["band", "key"]).select("band", "key", "rep", "leader"))
-    pairs = cut(bucket.filter("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct())
-    links = cut(compare(pairs, texts).filter(F.col("similarity") >= threshold))
-    tried = [pairs]
-    bucket = bucket.select("band", "key", "rep")
-    for turn in range(LEADERS):
-        roots = cut(components(links))
-        open_ = bucket.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        mixed = open_.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-        open_ = open_.join(mixed, ["band", "key"])
-        if turn < LEADERS - 1:
-            # one leader from the class with the largest root; it meets the texts of all other classes
-            lead = open_.filter("root = high").groupBy("band", "key").agg(F.min("rep").alias("lead"), F.first("high").alias("of"))
-            more = open_.join(lead, ["band", "key"]).filter("root <> of").select(F.col("rep").alias("x"), F.col("lead").alias("y"))
+    shared = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    bucket = cut(members.join(shared, ["band", "key"]).select("band", "key", "rep"))
+    links, tried = None, None
+    for _ in range(LEADERS):
+        if links is None:
+            open_ = bucket.withColumn("root", F.col("rep"))
         else:
-            other = open_.select("band", "key", F.col("rep").alias("other"), F.col("root").alias("other_root"))
-            more = open_.join(other, ["band", "key"]).filter("root < other_root").select(F.col("rep").alias("x"), F.col("other").alias("y"))
-        more = more.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        for done in tried:
-            more = more.join(done, ["a", "b"], "left_anti")
-        more = cut(more)
-        if more.isEmpty():
-            break
-        tried.append(more)
-        links = cut(links.union(compare(more, texts).filter(F.col("similarity") >= threshold)))
+            open_ = _still_open(bucket, cut(components(links)))
+        lead = _leaders(open_.select("band", "key", "rep"))
+        more = open_.join(lead, ["band", "key"]).join(open_.select(F.col("rep").alias("leader"), F.col("root").alias("lead_root")).distinct(), "leader").filter("root <> lead_root")
+        more = more.select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct()
+        more = cut(more if tried is None else more.join(tried, ["a", "b"], "left_anti"))
+        found = cut(compare(more, texts).filter(F.col("similarity") >= THRESHOLD))
+        release(spark)
+        tried = more if tried is None else cut(tried.union(more))
+        links = found if links is None else cut(links.union(found))
+    links = cut(links.union(_rest(cut(_still_open(bucket, cut(components(links)))), texts)))
+    release(spark)
     roots = components(links).withColumnRenamed("node", "rep")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = same.select("hi", "lo", "rep", "copies").join(roots, "rep", "left").join(degree, "rep", "left")
+    classes = same.select("hi", "lo", "rep").join(roots, "rep", "left").join(degree, "rep", "left")
     found = sketch.select("doc_id", "hi", "lo").join(classes, ["hi", "lo"])
     known = found.select("doc_id", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    ids = texts.select("doc_id").join(known.select("doc_id", "class_id", "n_links"), "doc_id", "left")
+    ids = texts.select("doc_id").join(known, "doc_id", "left")
     return ids.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def _still_open(bucket: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of buckets whose texts are in several classes, with the class of each."""
+    placed = bucket.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    mixed = placed.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band", "key")
+    return placed.join(mixed, ["band", "key"]).select("band", "key", "rep", "root")
+
+
 def op10_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
