@@ -57,7 +57,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = prepare(df.sparkSession)
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:

@@ -25,9 +25,11 @@ gram occurs again.
    range boundaries by a keyed minimum.
 5. Repeats of a document are united to runs and cut from its bytes.
 
-Null text counts as empty. Rows with equal doc_id and text are one document
-twice and cannot be ordered: doc_id must be a key. Any document length works:
-long texts are worked on in overlapping pieces.
+Null text counts as empty. A row without doc_id has no order and is left as it
+is. Equal rows are one document given twice: neither repeats the other, and
+both get the same result. Different texts of one doc_id are not told apart, so
+doc_id should be a key. Any document length works: long texts are worked on in
+overlapping pieces.
 """
 
 from __future__ import annotations
@@ -270,6 +272,11 @@ def repeats_in_range(doc: np.ndarray, first: np.ndarray, left: np.ndarray, size:
     order = np.lexsort((first + left, doc))
     offset = np.cumsum(size) - size
     doc, first, left, size, spread, offset = (x[order].astype(np.int64) if x.dtype != bool else x[order] for x in (doc, first, left, size, spread, offset))
+    own = np.ones(n, bool)
+    own[1:] = (doc[1:] != doc[:-1]) | (first[1:] != first[:-1]) | (left[1:] != left[:-1]) | (size[1:] != size[:-1])
+    if not own.all():
+        doc, first, left, size, spread, offset = (x[own] for x in (doc, first, left, size, spread, offset))
+        n = len(doc)
     grid = np.zeros((WIDE, n), np.uint8)
     for a in range(0, n, 4096):
         b = min(a + 4096, n)
@@ -391,7 +398,7 @@ def _cut_out(with_text: bool):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row for each document: sizes, removed bytes and runs, digest of what is left, and that itself if asked for (bytes: a cut may split a character)."""
     texts = one_text_per_id(docs, id_col, text_col)
-    runs = repeated_windows(texts).groupBy("doc_id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    runs = repeated_windows(texts.filter("doc_id is not null")).groupBy("doc_id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return texts.join(runs, "doc_id", "left").select("doc_id", "text", "lo", "hi").mapInArrow(_cut_out(with_text), schema)
 
