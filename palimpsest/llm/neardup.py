@@ -17,15 +17,16 @@ four words has one shingle, its words. A text without words is like no other.
 2. Texts of equal word sequence are collapsed to the least doc_id.
 3. Bands of registers give bucket keys. In each bucket every text is compared
    with one leader, the text that shares most buckets; pairs that reach the
-   threshold are links. Buckets whose texts are then in several classes get
-   another leader, for ``LEADERS`` rounds.
+   threshold are links. ``LEADERS`` is the number of such rounds.
 4. In buckets that are still open, every text is compared with those of other
-   classes, block by block. So no link is lost that could join two classes,
-   and no bucket is expanded into pairs of texts.
+   classes: as pairs in buckets of at most ``SMALL`` texts, block by block in
+   larger ones. So no link is lost that could join two classes, and no bucket
+   is expanded into more than a fixed number of pairs.
 5. Classes are connected components; the class id is the least doc_id.
 
-Null text counts as empty. Equal doc_ids of different texts fall into one class
-each; doc_id should be a key. Extra columns are not read.
+Null text counts as empty. Rows of one doc_id get the same class, the least of
+those of their texts; a row without doc_id gets none. Extra columns are not
+read.
 """
 
 from __future__ import annotations
@@ -40,14 +41,16 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import textbytes as tb
 from palimpsest.llm.graph import components
-from palimpsest.llm.runtime import cut, one_text_per_id, prepare, release
+from palimpsest.llm.runtime import cut, one_text_per_id, prepare, release, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
 REGISTERS = 128
 BANDS, ROWS = 21, 6
 #: Rounds of leaders, and texts in a block of the comparison that follows.
-LEADERS, BLOCK = 2, 256
+LEADERS, BLOCK = 1, 128
+#: Open buckets of at most so many texts are compared as pairs, each pair once for all its buckets.
+SMALL = 16
 _STEP = np.array([pow(tb.BASE, 7 * j + 3, 1 << 64) for j in range(SHINGLE)], dtype=np.uint64)
 SKETCH = "doc_id long, hi long, lo long, bands array<long>"
 
@@ -288,12 +291,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sees counts alone.
     """
     spark = prepare(docs.sparkSession)
-    texts = one_text_per_id(docs, id_col, text_col).filter("doc_id is not null")
+    every = one_text_per_id(docs, id_col, text_col)
+    texts = every.filter("doc_id is not null")
     sketch = cut(texts.mapInArrow(_sketch, SKETCH))
     same = sketch.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
     members = cut(same.select("rep", F.posexplode("bands").alias("band", "key")))
     shared = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     bucket = cut(members.join(shared, ["band", "key"]).select("band", "key", "rep"))
+    # every text that is compared shares a bucket: these are set apart once, and all comparisons read them
+    texts = written(texts.join(bucket.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "compared")
+    release(spark)
     links, tried = None, None
     for _ in range(LEADERS):
         if links is None:
@@ -308,14 +315,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         release(spark)
         tried = more if tried is None else cut(tried.union(more))
         links = found if links is None else cut(links.union(found))
-    links = cut(links.union(_rest(cut(_still_open(bucket, cut(components(links)))), texts)))
+    open_ = cut(_still_open(bucket, cut(components(links))))
+    sizes = open_.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"))
+    few = open_.join(sizes.filter(F.col("size") <= SMALL), ["band", "key"])
+    pairs = few.join(few.select("band", "key", F.col("rep").alias("other"), F.col("root").alias("other_root")), ["band", "key"]).filter("rep > other and root <> other_root")
+    pairs = cut(pairs.select(F.col("rep").alias("a"), F.col("other").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    near = compare(pairs, texts).filter(F.col("similarity") >= THRESHOLD)
+    many = open_.join(sizes.filter(F.col("size") > SMALL).select("band", "key"), ["band", "key"])
+    links = cut(links.union(near).union(_rest(many, texts)))
     release(spark)
     roots = components(links).withColumnRenamed("node", "rep")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     classes = same.select("hi", "lo", "rep").join(roots, "rep", "left").join(degree, "rep", "left")
     found = sketch.select("doc_id", "hi", "lo").join(classes, ["hi", "lo"])
-    known = found.select("doc_id", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    ids = texts.select("doc_id").join(known, "doc_id", "left")
+    known = found.groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("class_id"), F.max(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
+    ids = every.select("doc_id").join(known, "doc_id", "left")
     return ids.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
