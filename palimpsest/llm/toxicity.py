@@ -2,7 +2,8 @@
 
 Training, on the driver, over a bounded sample of labelled rows (``MAX_TOXIC``
 and ``MAX_ORDINARY`` rows by hash order of doc_id, of at most ``MAX_CHARS``
-code points; corpus texts are scored whole). The sample is halved by hash: one
+code points each and ``MAX_TOTAL`` for a class; corpus texts are scored whole).
+The sample is halved by hash: one
 half makes the dictionaries, the other calibrates, so that no threshold is set
 on text that a dictionary has seen.
 
@@ -38,6 +39,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from palimpsest.llm.runtime import prepare
 
 MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 3000, 6000, 50_000
+#: Code points of all texts of a class in the sample.
+MAX_TOTAL = 30_000_000
 GRAM = 6
 WINDOW, HIT = 24, 5
 ORDINARY_BYTES, TOXIC_BYTES = 8192, 2048
@@ -212,9 +215,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOX
     """At most max_toxic + max_ordinary labelled rows that are not held out, by hash order of doc_id."""
     merged = labels.filter("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("doc_id")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.length("text") <= max_chars)
-    known = texts.select("doc_id").join(merged, "doc_id")
-    pick = [known.filter(F.col("toxic") == c).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(n) for c, n in ((1, max_toxic), (0, max_ordinary))]
-    chosen = [r for p in pick for r in p.collect()]
+    known = texts.select("doc_id", F.length("text").alias("size")).join(merged, "doc_id")
+    chosen = []
+    for toxic, n in ((1, max_toxic), (0, max_ordinary)):
+        total = 0
+        for r in known.filter(F.col("toxic") == toxic).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(n).collect():
+            total += r["size"]
+            if total > MAX_TOTAL:
+                break
+            chosen.append(r)
     spark = docs.sparkSession
     ids = spark.createDataFrame([(r["doc_id"], int(r["toxic"])) for r in chosen], "doc_id long, toxic int")
     return [(r["doc_id"], r["text"], r["toxic"]) for r in texts.join(F.broadcast(ids), "doc_id").collect()]
