@@ -96,12 +96,12 @@ def encode_shard(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> b
     bits = _BITS[0][rest & 0xFFFF] if not high.any() else np.where(high > 0, 16 + _BITS[0][high], _BITS[0][rest & 0xFFFF]).astype(np.uint8)
     width = np.zeros(blocks, np.uint8)
     if blocks:
-        order = np.sort(bits, axis=1)
+        # values of each number of bits in each block, then of at most so many
+        upto = np.bincount((np.arange(blocks)[:, None] * 33 + bits).ravel(), minlength=blocks * 33).reshape(blocks, 33).cumsum(axis=1)
         best = np.full(blocks, np.inf)
         for p in PERCENTILES:
-            w = order[:, min(BLOCK - 1, -(-BLOCK * p // 100) - 1)]
-            # a width above 0 and a multiple of 64 bits for the block hold for every w, as BLOCK is a multiple of 64
-            cost = w.astype(np.int64) * BLOCK + (bits > w[:, None]).sum(axis=1) * 48
+            w = (upto < -(-BLOCK * p // 100)).sum(axis=1)
+            cost = w * BLOCK + (BLOCK - upto[np.arange(blocks), w]) * 48
             better = cost < best
             best[better], width[better] = cost[better], w[better]
     outlier = bits > width[:, None]
@@ -188,7 +188,7 @@ class PieceEncoder:
     ODD = "".join(map(chr, [9, 11, 12, 13, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]))
     ADJACENT = ("  ", " \n", "\n ", "\n\n", "<|")
     #: Pieces that a worker remembers, and code points of the longest of them.
-    KEEP, LONG = 800_000, 40
+    KEEP, LONG = 1_000_000, 40
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -236,7 +236,7 @@ class PieceEncoder:
                 stems.add(stem)
             else:
                 stems.add(p)
-        stems.difference_update(self.known)
+        stems = stems.difference(self.known)
         out = self._lines([s for s in stems if s and s[0] != "\n"], " ")
         out.update((f"\n{s}", self.line + ids) for s, ids in self._lines([s[1:] for s in stems if len(s) > 1 and s[0] == "\n"], "").items())
         if "" in stems:
@@ -309,8 +309,8 @@ def _encode(path: str | None):
             return row
 
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                some = batch.slice(lo, 256)
+            for lo in range(0, len(batch), 512):
+                some = batch.slice(lo, 512)
                 texts = [t or "" for t in some.column("text").to_pylist()]
                 for doc, found in zip(some.column("doc_id").to_pylist(), tool.encode(texts), strict=True):
                     ids.append(doc)
