@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import textbytes as tb
 from palimpsest.llm.graph import components
-from palimpsest.llm.runtime import cut, one_text_per_id, prepare, release, written
+from palimpsest.llm.runtime import cut, drop_caches, one_text_per_id, prepare, release, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -128,6 +128,7 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    drop_caches()
     for batch in batches:
         data, off = tb.utf8(batch.column("text"))
         for lo, hi in tb.chunks(off):
@@ -230,9 +231,9 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         found: list[tuple[int, int, float]] = []
-        for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
-            ra, ca, va, wa = read(left)
-            rb, cb, vb, wb = read(right)
+        for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
+            ra, ca, va, wa = read(left.as_py())
+            rb, cb, vb, wb = read(right.as_py())
             size_a, size_b = np.array([len(v) for v in va]), np.array([len(v) for v in vb])
             both = np.intersect1d(np.concatenate(va), np.concatenate(vb))
             shared = np.zeros((len(va), len(vb)), np.float32)

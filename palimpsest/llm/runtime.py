@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import sys
 import tempfile
 import uuid
 from pathlib import Path
@@ -66,6 +67,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def drop_caches() -> None:
+    """In a Python worker: forget the token pieces of an earlier operator. Workers live on from one to the next."""
+    held = sys.modules.get("palimpsest.llm.tokens")
+    if held is not None:
+        held.encoder.cache_clear()
+        gc.collect()
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

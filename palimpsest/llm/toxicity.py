@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from palimpsest.llm.runtime import prepare
+from palimpsest.llm.runtime import drop_caches, prepare
 
 MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 3000, 6000, 50_000
 #: Code points of all texts of a class in the sample.
@@ -231,6 +231,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOX
 
 def _score(model: Model, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
         scorer = model.scorer()
         for batch in batches:
             scores = scorer.scores(batch.column("text").to_pylist())
