@@ -38,6 +38,8 @@ TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 KEEP_SHARE = 0.75
 SEED = "mix-1"
 TOLERANCE, ROUNDS = 1e-12, 60
+#: Cells that are sent to all tasks at once.
+SENT_CELLS = 50_000
 WORD, SYMBOL, DIGIT = r"[^\x20\x09-\x0D]+", r"[#*$%&|<>]", "[0-9]"
 
 
@@ -127,6 +129,8 @@ def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep_sha
     cells = cut(placed.groupBy(*(F.col(f"_cell.{n}").alias(n) for n in DIMENSIONS)).agg(F.sum("_cell.n_tokens").alias("n_tokens")))
     fitted = cut(calibrate(rake(cells, targets), keep_share))
     rates = fitted.select(F.struct(*DIMENSIONS).alias("_key"), F.col("weight").alias("_weight"), F.col("probability").alias("_probability"))
+    # the table of cells is sent to the tasks where it is small, which is counted; else the texts meet it by shuffle
+    rates = F.broadcast(rates) if fitted.limit(SENT_CELLS + 1).count() <= SENT_CELLS else rates
     key = F.struct(*(F.col(f"_cell.{n}").alias(n) for n in DIMENSIONS))
     out = placed.join(rates, key == F.col("_key"), "left").drop("_key")
     out = out.withColumn("_weight", F.coalesce("_weight", F.lit(0.0))).withColumn("_probability", F.coalesce("_probability", F.lit(0.0)))
