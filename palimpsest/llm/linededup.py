@@ -20,6 +20,8 @@ of a group always stays.
    Equal variants are joined to the least line of their key, so a key of many
    lines gives one row for each line and never pairs.
 4. The words of each line and its partner are compared exactly.
+5. Texts are joined to the numbers of their removed lines and written without
+   those lines.
 
 Null text has no lines. Rows of equal doc_id and text count their lines at
 equal places; doc_id should be a key. Extra columns are not read.
@@ -159,19 +161,28 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return marked.select("doc_id", "number", same.alias("same"), (~same & F.coalesce("first_near", F.lit(False))).alias("near"))
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: doc_id, text without the removed lines, numbers of the lines removed as exact and as near repeats, and counts."""
+    number = lambda kind: F.array_sort(F.collect_set(F.when(F.col(kind), F.col("number"))))
+    counts = [F.count(F.lit(1)).alias("n_lines"), F.count_if("same").alias("n_exact"), F.count_if("near").alias("n_near")]
+    counted = line_decisions(docs, id_col, text_col).groupBy("doc_id").agg(*counts, number("same").alias("exact"), number("near").alias("alike"))
+    texts = one_text_per_id(docs, id_col, text_col).join(counted, "doc_id", "left")
+    lines, gone = F.split("text", "\n"), F.concat("exact", "alike")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i))
+    text = F.when(F.size(gone) > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
+    removed = [F.coalesce(c, F.array().cast("array<int>")).alias(to) for c, to in (("exact", "exact"), ("alike", "near"))]
+    return texts.select("doc_id", text.alias("text"), *removed, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_lines", "n_exact", "n_near")))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) without the removed lines; a document may lose all."""
-    gone = line_decisions(docs, id_col, text_col).filter("same or near").groupBy("doc_id").agg(F.collect_set("number").alias("gone"))
-    texts = one_text_per_id(docs, id_col, text_col).join(gone, "doc_id", "left")
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("gone", i))
-    return texts.select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"))
+    return deduplicated(docs, id_col, text_col).select("doc_id", "text")
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """Writes the texts without removed lines, with the numbers of those, as a Parquet table in the shared folder; the result is the counts read from it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    counted = line_decisions(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if("same").alias("n_exact"), F.count_if("near").alias("n_near"))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(counted, "doc_id", "left")
-    return out.select("doc_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_lines", "n_exact", "n_near")))
+    return written(deduplicated(docs), "deduplicated").select("doc_id", "n_lines", "n_exact", "n_near")
 
 
 OP3_SQL = f"""

@@ -1,10 +1,12 @@
 """Cases that a shortened search would lose, against plain versions."""
 
 import random
+from pathlib import Path
 
 import pytest
 
-from palimpsest.llm import decontaminate
+from palimpsest.llm import decontaminate, linededup
+from palimpsest.llm.runtime import shared_dir
 from tests.llm.conftest import prose
 
 
@@ -33,3 +35,41 @@ def test_inserted_and_deleted_words(spark, make, edit, size, n, spread):
     found = {r["doc_id"]: r["item_ids"] for r in decontaminate.flagged(make(texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert len(due) >= 10
     assert all(found[i] == ([i] if i in due else []) for i in found)
+
+
+def within_one_word(a, b):
+    short, long_ = sorted((a, b), key=len)
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
+    return len(long_) == len(short) + 1 and any(long_[:i] + long_[i + 1 :] == short for i in range(len(long_)))
+
+
+def plain_lines(texts):
+    """doc_id -> (text left, numbers of exact and of near repeats)."""
+    seen, out = [], {}
+    for doc, text in enumerate(texts):
+        exact, near = [], []
+        for number, line in enumerate((text or "").split("\n")):
+            words = line.lower().split()
+            if words:
+                if words in seen:
+                    exact.append(number)
+                elif len(words) >= linededup.MIN_WORDS and any(len(w) >= linededup.MIN_WORDS and within_one_word(words, w) for w in seen):
+                    near.append(number)
+                seen.append(words)
+        kept = None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in exact + near)
+        out[doc] = (kept, exact, near)
+    return out
+
+
+def test_line_dedup_writes_the_texts_that_are_left(spark, make, tmp_path):
+    r, base = random.Random(6), [prose(i, 10) for i in range(12)]
+    lines = [*base, *(inserted(x, 1, i, True) for i, x in enumerate(base)), *(x.upper() for x in base), "", "  ", "a b c", "a b d", *(prose(200 + i, 9) for i in range(30))]
+    texts = ["\n".join(r.choice(lines) for _ in range(r.randint(1, 12))) for _ in range(25)] + [None, "", base[0], base[0] + "\n"]
+    make(texts).write.parquet(f"{tmp_path}/documents.parquet")
+    counts = {row["doc_id"]: tuple(row)[1:] for row in linededup.op3_line_dedup(spark, str(tmp_path)).collect()}
+    table = max(Path(shared_dir(spark).removeprefix("file:")).glob("deduplicated-*"), key=lambda p: p.stat().st_mtime)
+    found = {row["doc_id"]: (row["text"], row["exact"], row["near"]) for row in spark.read.parquet(str(table)).collect()}
+    assert found == plain_lines(texts)
+    assert {k: v[1:] for k, v in counts.items()} == {k: (len(e), len(n)) for k, (_, e, n) in found.items()}
+    assert any(n for _, _, n in found.values()) and any(e for _, e, _ in found.values())
