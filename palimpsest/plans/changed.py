@@ -96,14 +96,21 @@ j AS (SELECT a.source, a.doc_id AS new_id, b.doc_id AS old_id, count(*) AS share
 """
 
 
-def _blocks(spark, sf):
-    docs = table(spark, sf, "documents").filter("n_chars < 1500").select("doc_id", "source", F.split(F.lower("text"), r"\s+").alias("words"))
+def _blocks(spark, sf, which="true"):
+    docs = table(spark, sf, "documents").filter(which).select("doc_id", "source", F.split(F.lower("text"), r"\s+").alias("words"))
     docs = docs.withColumn("seq", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
     return docs.filter("seq % 2 = 1"), docs.filter("seq % 2 = 0")
 
 
 @query(_PAIRS + "SELECT source, new_id, old_id, round(shared / (a.n + b.n - shared), 6) AS score FROM j JOIN n a ON a.doc_id = new_id JOIN n b ON b.doc_id = old_id WHERE shared / (a.n + b.n - shared) >= 0.3")
 def jaccard_candidates(spark, sf):
+    new, old = _blocks(spark, sf, "n_chars < 1500")
+    return changes.block_candidates(new, old, "source", "doc_id", "words").select("source", "new_id", "old_id", F.round("score", 6).alias("score"))
+
+
+@query(_PAIRS.replace(" WHERE n_chars < 1500", "") + "SELECT source, new_id, old_id, round(shared / (a.n + b.n - shared), 6) AS score FROM j JOIN n a ON a.doc_id = new_id JOIN n b ON b.doc_id = old_id WHERE shared / (a.n + b.n - shared) >= 0.3")
+def jaccard_candidates_whole(spark, sf):
+    """Documents of any length."""
     new, old = _blocks(spark, sf)
     return changes.block_candidates(new, old, "source", "doc_id", "words").select("source", "new_id", "old_id", F.round("score", 6).alias("score"))
 

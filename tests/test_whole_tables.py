@@ -1,5 +1,6 @@
 """Queries over whole tables, which have no SQL, against plain versions."""
 
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -73,3 +74,28 @@ def test_hybrid_search_of_all(spark, read):
     fused = {k: (0.7 / (dense[k][1] + 60) if k in dense else 0) + (0.3 / (sparse[k][1] + 60) if k in sparse else 0) for k in dense.keys() | sparse.keys()}
     found = {(q, p): (s,) for q, p, s in rows(spark, "hybrid_rrf_whole", "query_id", "point_id", "score")}
     assert close(found, first(fused, 10))
+
+
+def plain_matches(docs, least):
+    """(source, new, old, score) of all documents, and the greedy choice among them."""
+    pairs, chosen = [], []
+    for source, group in docs.sort_values("doc_id").groupby("source"):
+        bags = [(d, set(re.split(r"\s+", t.lower()))) for d, t in zip(group.doc_id, group.text, strict=True)]
+        taken = set()
+        for new, a in bags[::2]:
+            found = sorted((-len(a & b) / len(a | b), old) for old, b in bags[1::2] if len(a & b) / len(a | b) >= least)
+            pairs += [(source, new, old, round(-s, 6)) for s, old in found]
+            free = [(s, old) for s, old in found if old not in taken]
+            if free:
+                taken.add(free[0][1])
+                chosen.append((source, new, free[0][1]))
+    return sorted(pairs), sorted(chosen)
+
+
+def test_documents_of_any_length_are_matched(spark, read):
+    docs = read("documents")
+    assert rows(spark, "jaccard_candidates_whole", "source", "new_id", "old_id", "score") == plain_matches(docs, 0.3)[0]
+    found = rows(spark, "jaccard_greedy_match", "source", "new_id", "old_id")
+    assert found == plain_matches(docs, 0.1)[1]
+    long_ = set(docs.doc_id[docs.n_chars >= 1500])
+    assert any(new in long_ and old in long_ for _, new, old in found)
