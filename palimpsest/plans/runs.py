@@ -54,10 +54,12 @@ def map_products(features: DataFrame, queries: DataFrame, points: DataFrame, cha
 
 
 def _pairs(spark, sf) -> DataFrame:
-    docs = table(spark, sf, "documents").withColumn("seq", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
-    pair = docs.withColumn("pair_id", F.pmod(F.xxhash64("source"), F.lit(1 << 40)))
-    side = F.when(F.col("seq") % 2 == 1, "new").otherwise("old")
-    lines = pair.filter("seq <= 10").select("pair_id", side.alias("side"), (F.col("doc_id") * 1000).alias("base"), F.posexplode(F.split("text", "\n")).alias("i", "body"))
+    """Lines of every document beside those of the one before in its source: a document is new in its own pair and old in the next."""
+    w = Window.partitionBy("source").orderBy("doc_id")
+    docs = table(spark, sf, "documents").withColumn("seq", F.row_number().over(w)).withColumn("last", F.lead("doc_id").over(w).isNull())
+    roles = docs.select("source", "seq", "doc_id", "text", "last", F.explode(F.array(F.lit("new"), F.lit("old"))).alias("side")).filter("side = 'new' or not last")
+    pair_id = F.concat_ws("/", "source", (F.col("seq") + F.when(F.col("side") == "old", 1).otherwise(0)).cast("string"))
+    lines = roles.select(pair_id.alias("pair_id"), "side", (F.col("doc_id") * 1000).alias("base"), F.posexplode(F.split("text", "\n")).alias("i", "body"))
     block = lines.select("pair_id", "side", (F.col("base") + F.col("i")).alias("block_id"), F.concat(F.lit("§ "), F.col("i").cast("string"), F.lit("."), (F.col("base") / 1000 % 7).cast("int").cast("string")).alias("section_ref"), "body")
     return block.withColumn("keywords", text.keywords(F.col("body")))
 
@@ -75,7 +77,7 @@ def product_mapping_run(spark, sf):
     points = e.join(docs, F.col("vec_id") == F.col("doc_id")).select(F.col("vec_id").alias("point_id"), "embedding", (F.col("doc_id") % 50).alias("doc_id"), F.col("text").alias("body"))
     names = spark.createDataFrame([(0, "nicotine", "the concentration"), (1, "label", "warning text"), (2, "tar", "of the mg")], "k long, feature string, query string")
     queries = names.join(e, F.col("k") == F.col("vec_id")).select("feature", "query", "embedding")
-    parts = table(spark, sf, "part").filter("p_partkey <= 200").select(F.col("p_partkey").alias("product_id"), F.col("p_size").alias("nicotine"), F.col("p_brand").alias("label"))
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_size").alias("nicotine"), F.col("p_brand").alias("label"))
     features = mapping.unpivot_features(parts, "product_id", ["nicotine", "label"])
     out = map_products(features, queries, points, docs)
     return out["items"].select("product_id", "feature", "point_id", "applies", "gap")

@@ -99,3 +99,26 @@ def test_documents_of_any_length_are_matched(spark, read):
     assert found == plain_matches(docs, 0.1)[1]
     long_ = set(docs.doc_id[docs.n_chars >= 1500])
     assert any(new in long_ and old in long_ for _, new, old in found)
+
+
+def test_every_document_is_held_against_the_one_before(spark, read):
+    from palimpsest.plans import runs
+
+    want = set()
+    for source, group in read("documents").sort_values("doc_id").groupby("source"):
+        ids, texts = group.doc_id.tolist(), group.text.tolist()
+        for i in range(len(ids)):
+            for side, k in (("new", i), ("old", i - 1)):
+                if k >= 0:
+                    want |= {(f"{source}/{i + 1}", side, ids[k] * 1000 + n, line) for n, line in enumerate(texts[k].split("\n"))}
+    found = [tuple(r) for r in runs._pairs(spark, DATA).select("pair_id", "side", "block_id", "body").collect()]
+    assert len(found) == len(want) and set(found) == want
+    pairs = {r[0] for r in rows(spark, "change_detection_run", "pair_id")}
+    assert pairs <= {w[0] for w in want} and len(pairs) > 0.9 * len({w[0] for w in want})
+
+
+def test_all_parts_are_mapped(spark, read):
+    found = rows(spark, "product_mapping_run", "product_id", "feature", "point_id")
+    some = {(f, p) for i, f, p in found if i == 1}
+    assert len(found) == len(set(found)) and some
+    assert set(found) == {(i, f, p) for i in read("part").p_partkey for f, p in some}
