@@ -133,6 +133,15 @@ def change_match_priority(spark, sf):
     return changes.match_by_priority(c, k, ["section", "chunk", "doc"], "candidate")
 
 
+@query()
+def change_match_priority_whole(spark, sf):
+    """All documents: two changes, then two candidates, by turns of doc_id."""
+    d = table(spark, sf, "documents").select("doc_id")
+    c = d.filter("doc_id % 4 < 2").selectExpr("doc_id AS change_id", "doc_id % 11 AS section", "doc_id % 40 AS chunk", "doc_id % 17 AS doc")
+    k = d.filter("doc_id % 4 >= 2").selectExpr("doc_id AS candidate", "doc_id AS pos", "CASE WHEN doc_id % 2 = 0 THEN doc_id % 30 END AS section", "doc_id % 400 AS chunk", "doc_id % 17 AS doc")
+    return changes.match_by_priority(c, k, ["section", "chunk", "doc"], "candidate")
+
+
 @query("""
 WITH p AS (SELECT doc_id, 1 + doc_id % 3 AS page_num, text, string_split(text, chr(10)) AS ls FROM documents)
 SELECT doc_id, page_num::INT AS page_num, concat('§ ', b) AS section_ref, array_to_string(ls[(b * 2 + 1):(CASE WHEN b = 2 THEN b * 2 + 20 ELSE b * 2 + 2 END)], chr(10)) AS body
@@ -192,6 +201,12 @@ def prior_verdicts(spark, sf):
     return changes.previous_verdict(table(spark, sf, "documents").filter("doc_id % 3 = 0").select("doc_id"), prior, "doc_id")
 
 
+@query()
+def prior_verdicts_whole(spark, sf):
+    prior = table(spark, sf, "labels").groupBy("doc_id").agg(F.min("quality").alias("prior"))
+    return changes.previous_verdict(table(spark, sf, "documents").select("doc_id"), prior, "doc_id")
+
+
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def not_yet_run(spark, sf):
     return changes.not_yet_run(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), "doc_id")

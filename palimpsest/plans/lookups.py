@@ -104,9 +104,18 @@ WITH j AS (SELECT a.o_orderkey, b.o_orderkey AS found_id, row_number() OVER (PAR
   FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND strftime(b.o_orderdate, '%m%d') < strftime(a.o_orderdate, '%m%d') WHERE a.o_orderkey % 5 = 0)
 SELECT o_orderkey, found_id FROM j WHERE k = 1""")
 def legacy_month_day(spark, sf):
+    return _month_day(spark, sf, "o_orderkey % 5 = 0")
+
+
+@query()
+def legacy_month_day_whole(spark, sf):
+    return _month_day(spark, sf, "true")
+
+
+def _month_day(spark, sf, which):
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
     right = orders.select("o_custkey", F.col("o_orderkey").alias("found_id"), F.col("o_orderdate").alias("found_time"))
-    found = versions.month_day_before(orders.filter("o_orderkey % 5 = 0"), right, ["o_custkey"], "o_orderdate", "found_time", "o_orderkey", "found_id", [F.desc("found_time"), F.desc("found_id")])
+    found = versions.month_day_before(orders.filter(which), right, ["o_custkey"], "o_orderdate", "found_time", "o_orderkey", "found_id", [F.desc("found_time"), F.desc("found_id")])
     return found.filter("found_id is not null").select("o_orderkey", "found_id")
 
 
@@ -182,6 +191,15 @@ def text_metadata(spark, sf):
 
 @query("SELECT c_custkey, o_orderkey, count(*) OVER (PARTITION BY c_custkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 9 = 0")
 def eager_children(spark, sf):
-    c, o = table(spark, sf, "customer").filter("c_custkey % 9 = 0").select("c_custkey"), table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    return _children(spark, sf, "c_custkey % 9 = 0")
+
+
+@query()
+def eager_children_whole(spark, sf):
+    return _children(spark, sf, "true")
+
+
+def _children(spark, sf, which):
+    c, o = table(spark, sf, "customer").filter(which).select("c_custkey"), table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
     grouped = c.join(o, "c_custkey", "left").groupBy("c_custkey").agg(F.collect_list("o_orderkey").alias("orders"), F.count(F.lit(1)).alias("n"))
     return grouped.select("c_custkey", F.explode_outer("orders").alias("o_orderkey"), "n")

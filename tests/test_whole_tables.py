@@ -122,3 +122,53 @@ def test_all_parts_are_mapped(spark, read):
     some = {(f, p) for i, f, p in found if i == 1}
     assert len(found) == len(set(found)) and some
     assert set(found) == {(i, f, p) for i in read("part").p_partkey for f, p in some}
+
+
+def test_all_customers_and_orders(spark, read):
+    orders, by = read("orders"), defaultdict(list)
+    for c, o, d in zip(orders.o_custkey, orders.o_orderkey, orders.o_orderdate, strict=True):
+        by[c].append((d, o))
+    ids = sorted(read("customer").c_custkey)
+    found = {(c, o, n) for c, o, n in rows_any(spark, "eager_children_whole", "c_custkey", "o_orderkey", "n")}
+    assert found == {(c, o, max(1, len(by[c]))) for c in ids for o in ([o for _, o in by[c]] or [None])}
+    want = set()
+    for made in by.values():
+        for d, o in made:
+            earlier = [x for x in made if (x[0].month, x[0].day) < (d.month, d.day)]
+            want |= {(o, max(earlier)[1])} if earlier else set()
+    assert set(rows_any(spark, "legacy_month_day_whole", "o_orderkey", "found_id")) == want
+
+
+def rows_any(spark, name, *columns):
+    return [tuple(r[c] for c in columns) for r in catalog.queries()[name](spark, DATA).collect()]
+
+
+def test_all_documents_have_a_role_and_a_verdict(spark, read):
+    ids = read("documents").doc_id.tolist()
+    prior = read("labels").groupby("doc_id").quality.min().to_dict()
+    assert set(rows_any(spark, "prior_verdicts_whole", "doc_id", "prior")) == {(d, prior.get(d)) for d in ids}
+    old = [d for d in ids if d % 4 >= 2]
+    want = set()
+    for c in (d for d in ids if d % 4 < 2):
+        tests = (lambda k, c=c: k % 2 == 0 and k % 30 == c % 11, lambda k, c=c: k % 400 == c % 40, lambda k, c=c: k % 17 == c % 17)
+        best = [(p + 1, k) for p, t in enumerate(tests) for k in old if t(k)]
+        want |= {(c, min(best)[1], min(best)[0])} if best else set()
+    assert set(rows_any(spark, "change_match_priority_whole", "change_id", "candidate", "priority")) == want
+
+
+def test_all_parts_and_suppliers(spark, read):
+    part, nation = read("part"), read("nation")
+    keys = {(n, x.lower()) for n, x in zip(nation.n_nationkey, nation.n_name, strict=True)} | {(100 + k, x.split(" ")[0]) for k, x in zip(part.p_partkey, part.p_name, strict=True)}
+    word = lambda x, i: (x.split(" ") + [""] * 3)[i]
+    names = {word(x, 1) for x in part.p_name} | {word(x, 2) for x in part.p_type} | {"an"}
+    plain = lambda x: re.sub("[ .-]", "_", x.lower())
+    hints = {(i, k, f) for i, k in keys for f in names if plain(f) in plain(k) or plain(k) in plain(f)}
+    assert set(rows_any(spark, "feature_hints_whole", "change_id", "keyword", "feature")) == hints
+    assert set(rows_any(spark, "unknown_requirements_whole", "change_id", "keyword")) == keys - {(i, k) for i, k, _ in hints}
+    suppliers = read("supplier")
+    nodes = set(rows_any(spark, "entity_nodes_whole", "doc", "name"))
+    assert {(k % 5, n) for k, n in zip(suppliers.s_suppkey, suppliers.s_name, strict=True)} <= nodes
+    edges = rows_any(spark, "entity_graph_whole", "doc", "source", "target")
+    assert {t for _, _, t in edges} >= set(suppliers.s_name)
+    count = {d: len({e for e in edges if e[0] == d}) for d in range(5)}
+    assert {d: n for d, n in rows_any(spark, "graph_density_whole", "doc", "n_edges")} == count
