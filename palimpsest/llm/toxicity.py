@@ -7,6 +7,9 @@ The sample is halved by hash: one
 half makes the dictionaries, the other calibrates, so that no threshold is set
 on text that a dictionary has seen.
 
+Texts with equal words and label are taken once. Of the ordinary texts of the
+first half, ``MAX_COMMON`` make the ordinary dictionary.
+
 1. Byte 6-grams without an inner space whose document frequency in toxic texts
    is far above that in ordinary texts mark the passages to learn from.
 2. ``zstandard.train_dictionary`` makes one dictionary from windows of ordinary
@@ -25,6 +28,7 @@ text gets score 0. Labels of one doc_id are merged by their maximum.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -41,6 +45,8 @@ from palimpsest.llm.runtime import drop_caches, prepare
 MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 3000, 6000, 50_000
 #: Code points of all texts of a class in the sample.
 MAX_TOTAL = 30_000_000
+#: Ordinary texts of the first half that the ordinary dictionary is trained on; the marked passages come from all.
+MAX_COMMON = 1500
 GRAM = 6
 WINDOW, HIT = 24, 5
 ORDINARY_BYTES, TOXIC_BYTES = 8192, 2048
@@ -171,14 +177,15 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarr
     return w
 
 
-def train(sample: list[tuple[int, str | None, int]]) -> Model:
-    """A model from (doc_id, text, toxic) rows; a function of the rows, not of their order."""
-    seen: set[bytes] = set()
+def train(sample: list[tuple[int, str | None, int]], max_common: int = MAX_COMMON) -> Model:
+    """A model from (doc_id, text, toxic) rows; a function of the rows, not of their order. Equal texts of one label count once."""
+    seen: set[tuple[bytes, bool]] = set()
     halves: tuple[tuple[list, list], tuple[list, list]] = (([], []), ([], []))
     for doc_id, text, toxic in sorted(sample, key=lambda r: (zlib.crc32(b"order%d" % r[0]), r[0])):
         body = plain(text)
-        if body and body[:400] not in seen:
-            seen.add(body[:400])
+        key = (hashlib.sha256(body).digest(), bool(toxic))
+        if body and key not in seen:
+            seen.add(key)
             halves[zlib.crc32(b"half%d" % doc_id) % 2][int(bool(toxic))].append((text, body))
     (ordinary, toxic), calibration = halves
     if not ordinary or not toxic or not calibration[0] or not calibration[1]:
@@ -189,7 +196,7 @@ def train(sample: list[tuple[int, str | None, int]]) -> Model:
     if not passages:
         passages = [w for b in bodies[0] for w in windows(b, 64)]
     packs = [b"".join(passages[i : i + 16]) for i in range(0, len(passages), 16)]
-    common = _dictionary([w for b in bodies[1][:1500] for w in windows(b, 256)], ORDINARY_BYTES)
+    common = _dictionary([w for b in bodies[1][:max_common] for w in windows(b, 256)], ORDINARY_BYTES)
     model = Model(common, common + _dictionary(packs, TOXIC_BYTES))
     scorer = model.scorer()
     y = np.array([0] * len(calibration[0]) + [1] * len(calibration[1]), float)

@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from palimpsest.llm import decontaminate, linededup
+from palimpsest.llm import decontaminate, linededup, toxicity
 from palimpsest.llm.runtime import shared_dir
 from tests.llm.conftest import prose
 
@@ -73,3 +73,16 @@ def test_line_dedup_writes_the_texts_that_are_left(spark, make, tmp_path):
     assert found == plain_lines(texts)
     assert {k: v[1:] for k, v in counts.items()} == {k: (len(e), len(n)) for k, (_, e, n) in found.items()}
     assert any(n for _, _, n in found.values()) and any(e for _, e, _ in found.values())
+
+
+def test_labelled_texts_with_one_head_are_all_learnt_from(monkeypatch):
+    head = prose(1, 120)
+    sample = [(i, f"{head} {prose(10 + i, 40)}", int(i % 3 == 0)) for i in range(60)] + [(100, f"{head} {prose(10, 40)}", 1), (101, f"{head} {prose(10, 40)}", 0)]
+    assert len(head) > 400
+    learnt = []
+    monkeypatch.setattr(toxicity.Scorer, "features", lambda self, text: learnt.append(text) or [0.0] * 5)
+    monkeypatch.setattr(toxicity, "_marked", lambda toxic, ordinary: learnt.extend([*toxic, *ordinary]) or [])
+    monkeypatch.setattr(toxicity, "_passages", lambda body, marked: [])
+    toxicity.train(sample)
+    # the text of 0 is repeated with its own label, which counts once, and with the other
+    assert len(learnt) == 61
