@@ -286,7 +286,7 @@ def _rest(open_: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, n_links): the class of each row of ``docs``, and the links found at its class's distinct texts.
+    """(doc_id, class_id, n_join_links): the class of each row of ``docs``, and the links used to join the class that end at the row's text. Similar texts of one class that other links have joined are not counted.
 
     Runs driver-side rounds; each ends with a written table, and the driver
     sees counts alone.
@@ -326,12 +326,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut(links.union(near).union(_rest(many, texts)))
     release(spark)
     roots = components(links).withColumnRenamed("node", "rep")
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_join_links"))
     classes = same.select("hi", "lo", "rep").join(roots, "rep", "left").join(degree, "rep", "left")
     found = sketch.select("doc_id", "hi", "lo").join(classes, ["hi", "lo"])
-    known = found.groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("class_id"), F.max(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
+    known = found.groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("class_id"), F.max(F.coalesce("n_join_links", F.lit(0))).cast("long").alias("n_join_links"))
     ids = every.select("doc_id").join(known, "doc_id", "left")
-    return ids.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return ids.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_join_links", F.lit(0)).cast("long").alias("n_join_links"))
 
 
 def _still_open(bucket: DataFrame, roots: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from palimpsest.llm import decontaminate, linededup, toxicity
+from palimpsest.llm import decontaminate, linededup, neardup, toxicity
 from palimpsest.llm.runtime import shared_dir
 from tests.llm.conftest import prose
 
@@ -86,3 +86,12 @@ def test_labelled_texts_with_one_head_are_all_learnt_from(monkeypatch):
     toxicity.train(sample)
     # the text of 0 is repeated with its own label, which counts once, and with the other
     assert len(learnt) == 61
+
+
+def test_links_are_named_as_those_that_join(make):
+    text = prose(1, 150)
+    texts = [f"{text} new{i}" for i in range(12)]
+    found = neardup.near_duplicates(make(texts))
+    assert found.columns == ["doc_id", "class_id", "n_join_links"]
+    rows = found.collect()
+    assert {r["class_id"] for r in rows} == {0} and min(r["n_join_links"] for r in rows) >= 1
