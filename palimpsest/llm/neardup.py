@@ -15,14 +15,21 @@ four words has one shingle, its words. A text without words is like no other.
    signature; two signatures agree in a register with probability J. A shingle
    stops as soon as its next point is above the largest register of its text.
 2. Texts of equal word sequence are collapsed to the least doc_id.
-3. Bands of registers give bucket keys. In each bucket every text is compared
-   with one leader, the text that shares most buckets; pairs that reach the
-   threshold are links. ``LEADERS`` is the number of such rounds.
-4. In buckets that are still open, every text is compared with those of other
-   classes: as pairs in buckets of at most ``SMALL`` texts, block by block in
-   larger ones. So no link is lost that could join two classes, and no bucket
-   is expanded into more than a fixed number of pairs.
-5. Classes are connected components; the class id is the least doc_id.
+3. Bands of registers give bucket keys; only buckets of two texts and more go
+   on. In each bucket every text is compared with one leader, the text whose
+   buckets hold most texts. Leaders are ordered, so a text's best leader, and
+   that one's own, is a label: texts of one label are known to be connected.
+4. Buckets that still hold several labels are open. Texts of different labels
+   are compared there: as pairs in buckets of at most ``SMALL`` texts, block by
+   block in larger ones, blocks being bounded in texts and in shingles. So no
+   link is lost that could join two classes, and no bucket is expanded into
+   more than a fixed number of pairs. A large bucket's blocks are dealt by a
+   salt that grows with their number.
+5. Classes are the connected components of the labels under all links found;
+   the class id is the least doc_id.
+
+Intermediate tables lie in a folder of their own in the shared folder and are
+removed once nothing reads them; those that the result reads stay.
 
 Null text counts as empty. Rows of one doc_id get the same class, the least of
 those of their texts; a row without doc_id gets none. Extra columns are not
@@ -32,6 +39,7 @@ read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -41,27 +49,32 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import textbytes as tb
 from palimpsest.llm.graph import components
-from palimpsest.llm.runtime import cut, drop_caches, one_text_per_id, prepare, release, written
+from palimpsest.llm.runtime import Tables, drop_caches, one_text_per_id, prepare, release
 
 SHINGLE = 5
 THRESHOLD = 0.8
 REGISTERS = 128
 BANDS, ROWS = 21, 6
-#: Rounds of leaders, and texts in a block of the comparison that follows.
-LEADERS, BLOCK = 1, 128
 #: Open buckets of at most so many texts are compared as pairs, each pair once for all its buckets.
 SMALL = 16
+#: Texts, and distinct shingles, of a block of the comparison of larger ones; blocks of one salt.
+BLOCK, BLOCK_SHINGLES, SALTED = 64, 1 << 17, 32
 _STEP = np.array([pow(tb.BASE, 7 * j + 3, 1 << 64) for j in range(SHINGLE)], dtype=np.uint64)
-SKETCH = "doc_id long, hi long, lo long, bands array<long>"
+SKETCH = "doc_id long, hi long, lo long, size int, bands array<long>"
 
 
-def shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of each word."""
+    starts, ends, row = tb.words(data, off)
+    return tb.span_hashes(tb.prefix(data), starts, ends), row
+
+
+def shingles(data: np.ndarray, off: np.ndarray, hashed: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each row with their counts, ordered by row, and the number of words of each row."""
     n = len(off) - 1
-    starts, ends, row = tb.words(data, off)
-    hashes = tb.span_hashes(tb.prefix(data), starts, ends)
+    hashes, row = hashed or word_hashes(data, off)
     words = np.bincount(row, minlength=n)
-    m = max(0, len(starts) - SHINGLE + 1)
+    m = max(0, len(hashes) - SHINGLE + 1)
     whole = row[:m] == row[SHINGLE - 1 :] if m else np.zeros(0, bool)
     value = np.zeros(m, np.uint64)
     for j in range(SHINGLE):
@@ -128,15 +141,16 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Print of the word sequence, distinct shingles and bucket keys; null where a row has no words or no id."""
     drop_caches()
     for batch in batches:
         data, off = tb.utf8(batch.column("text"))
+        known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
         for lo, hi in tb.chunks(off):
             part, cut_off = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-            value, owner, weight, words = shingles(part, cut_off)
+            hashes, row = word_hashes(part, cut_off)
+            value, owner, weight, words = shingles(part, cut_off, (hashes, row))
             keys = band_keys(signatures(value, owner, weight, hi - lo))
-            starts, ends, row = tb.words(part, cut_off)
-            hashes = tb.span_hashes(tb.prefix(part), starts, ends)
             first = np.searchsorted(row, np.arange(hi - lo + 1))
             up, down = tb.powers(len(hashes) + 1)
             prints = []
@@ -144,9 +158,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sums = np.zeros(len(hashes) + 1, np.uint64)
                 np.cumsum(tb.mix(hashes * tb.U(salt)) * up[: len(hashes)], dtype=np.uint64, out=sums[1:])
                 prints.append(tb.mix((sums[first[1:]] - sums[first[:-1]]) * down[first[:-1]]).view(np.int64))
-            some = words > 0
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, int(some.sum()) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(keys[some].ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).filter(pa.array(some)), pa.array(prints[0][some]), pa.array(prints[1][some]), lists], ["doc_id", "hi", "lo", "bands"])
+            gone = ~((words > 0) & known[lo:hi])
+            ends = np.concatenate([[0], np.cumsum(~gone * BANDS)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[~gone].ravel().view(np.int64)), mask=pa.array(gone))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").slice(lo, hi - lo), pa.array(prints[0], mask=gone), pa.array(prints[1], mask=gone), pa.array(np.bincount(owner, minlength=hi - lo).astype(np.int32)), lists], ["doc_id", "hi", "lo", "size", "bands"]
+            )
 
 
 def probability_jaccard(va: np.ndarray, wa: np.ndarray, vb: np.ndarray, wb: np.ndarray) -> float:
@@ -187,30 +204,21 @@ def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     name, held = None, None
     for batch in batches:
-        a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-        alike = np.zeros(len(a))
+        b = batch.column("b").to_numpy()
+        alike = np.zeros(len(b))
         for i, (ta, text) in enumerate(zip(batch.column("text_a"), batch.column("text_b"), strict=True)):
             if name != b[i]:
                 name, held = b[i], _bag(text.as_py())
             alike[i] = probability_jaccard(*_bag(ta.as_py()), *held)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(alike)], ["a", "b", "similarity"])
+        kept = [n for n in batch.schema.names if n not in ("text_a", "text_b")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(alike)], [*kept, "similarity"])
 
 
 def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, similarity) of pairs of doc_ids. Both joins are on ids; one very common b is split by Spark."""
+    """``pairs`` (a, b of doc_ids, other columns of numbers) with their similarity. Both joins are on ids; one very common b is split by Spark."""
     found = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return found.select("a", "b", "text_a", "text_b").mapInArrow(_compare, "a long, b long, similarity double")
-
-
-def _leaders(bucket: DataFrame) -> DataFrame:
-    """(band, key, leader): the text of each bucket whose buckets hold most texts together, then the least id.
-
-    In a group of copies of one original that is mostly the original itself,
-    which is nearer to all copies than they are to one another.
-    """
-    sized = bucket.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"))
-    score = bucket.join(sized, ["band", "key"]).groupBy("rep").agg(F.sum("n").alias("score"))
-    return bucket.join(score, "rep").groupBy("band", "key").agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("leader"))
+    schema = ", ".join(f"{n} long" for n in pairs.columns) + ", similarity double"
+    return found.select(*pairs.columns, "text_a", "text_b").mapInArrow(_compare, schema)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,81 +272,91 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()))], ["a", "b", "similarity"])
 
 
-def _rest(open_: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links across classes in buckets of several classes, each text against all of other classes in its bucket.
+def _small(placed: DataFrame) -> DataFrame:
+    """(a, b) of different labels in buckets of at most ``SMALL`` texts, without the pairs of a bucket's leader, which are compared before."""
+    few = placed.filter((F.col("n") > 2) & (F.col("n") <= SMALL)).groupBy("key").agg(F.collect_list(F.struct("score", (-F.col("rep")).alias("order"), "rep", "label")).alias("held"))
+    leader = F.array_max("held")["rep"]
+    rest = F.filter("held", lambda x: x["rep"] != leader)
+    pairs = F.transform(rest, lambda x: F.transform(F.filter(rest, lambda y: (y["rep"] < x["rep"]) & (y["label"] != x["label"])), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b"))))
+    return few.select(F.inline(F.flatten(pairs))).distinct()
+
 
-    Texts go in blocks of about ``BLOCK``: large classes have blocks of their
-    own, small ones share blocks. Rows are pairs of blocks, never of texts, and
-    a pair of blocks of one class is not formed.
+def _large(placed: DataFrame, texts: DataFrame, tables: Tables) -> DataFrame | None:
+    """Links across labels in larger buckets, each text against all of other labels in its bucket; None where no bucket is open.
+
+    Texts go in blocks: large classes have blocks of their own, small ones
+    share blocks. Rows are pairs of blocks, never of texts, and a pair of
+    blocks of one class is not formed.
     """
-    sizes = open_.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"))
-    own = F.when(F.col("n") >= BLOCK // 4, F.col("root"))
-    pools = sizes.select("band", "key", "root", own.alias("own"), "n")
-    pools = pools.join(pools.groupBy("band", "key", "own").agg(F.sum("n").alias("m")).withColumnRenamed("own", "_own"), ["band", "key"]).filter(F.col("own").eqNullSafe(F.col("_own")))
-    placed = open_.join(pools.select("band", "key", "root", "own", "m"), ["band", "key", "root"])
-    number = F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / BLOCK)).alias("number")
-    bags = open_.select("rep").distinct().join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").mapInArrow(_pack, "rep long, bag binary")
-    blocks = cut(placed.select("band", "key", "own", number, "rep", "root").join(bags, "rep").groupBy("band", "key", "own", "number").agg(F.collect_list(F.struct("rep", "root", "bag")).alias("texts")))
-    left = blocks.select("band", "key", F.coalesce("own", F.lit(-(1 << 63))).alias("o"), F.col("number").alias("i"), F.col("own").alias("own_i"), F.col("texts").alias("left"))
-    right = blocks.select("band", "key", F.coalesce("own", F.lit(-(1 << 63))).alias("p"), F.col("number").alias("j"), F.col("own").alias("own_j"), F.col("texts").alias("right"))
+    many = placed.filter(F.col("n") > SMALL)
+    classes = tables.put("classes", many.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("w")))
+    parts = lambda c, w: F.greatest(F.ceil(c / BLOCK), F.ceil(w / BLOCK_SHINGLES))
+    big = F.col("c") >= BLOCK // 4
+    mixed = classes.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum(F.when(~big, F.col("c"))).alias("m"), F.sum(F.when(~big, F.col("w"))).alias("v"), F.sum(F.when(big, parts(F.col("c"), F.col("w")))).alias("own_blocks"))
+    shared = F.coalesce(parts(F.col("m"), F.col("v")), F.lit(0))
+    mixed = tables.put("mixed", mixed.filter("k > 1").select("key", shared.alias("shared"), F.ceil((F.coalesce("own_blocks", F.lit(0)) + shared) / SALTED).alias("salts")))
+    if mixed.isEmpty():
+        return None
+    shaped = tables.put("shaped", classes.join(mixed, "key").select("key", "label", F.when(big, F.col("label")).alias("own"), F.when(big, parts(F.col("c"), F.col("w"))).otherwise(F.col("shared")).alias("parts"), "salts"))
+    number = F.pmod(F.xxhash64("rep"), F.col("parts")).alias("number")
+    open_ = tables.put("open", many.select("key", "rep", "label").join(shaped, ["key", "label"]).select("key", "own", number, "salts", "rep", "label"))
+    bags = texts.join(open_.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text").mapInArrow(_pack, "rep long, bag binary")
+    block = F.collect_list(F.struct("rep", F.col("label").alias("root"), "bag")).alias("texts")
+    blocks = tables.put("blocks", open_.join(bags, "rep").groupBy("key", "own", "number").agg(F.first("salts").alias("salts"), block))
+    left = blocks.select("key", F.pmod(F.xxhash64("own", "number"), F.col("salts")).alias("salt"), F.coalesce("own", F.lit(-(1 << 63))).alias("o"), F.col("number").alias("i"), F.col("own").alias("own_i"), F.col("texts").alias("left"))
+    right = blocks.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.coalesce("own", F.lit(-(1 << 63))).alias("p"), F.col("number").alias("j"), F.col("own").alias("own_j"), F.col("texts").alias("right"))
     ordered = (F.col("o") < F.col("p")) | ((F.col("o") == F.col("p")) & (F.col("i") <= F.col("j")) & F.col("own_i").isNull() & F.col("own_j").isNull())
-    return left.join(right, ["band", "key"]).filter(ordered).select("left", "right").mapInArrow(_cross, "a long, b long, similarity double")
+    return left.join(right, ["key", "salt"]).filter(ordered).select("left", "right").mapInArrow(_cross, "a long, b long, similarity double").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, n_join_links): the class of each row of ``docs``, and the links used to join the class that end at the row's text. Similar texts of one class that other links have joined are not counted.
 
-    Runs driver-side rounds; each ends with a written table, and the driver
-    sees counts alone.
+    The driver sees counts alone.
     """
     spark = prepare(docs.sparkSession)
     every = one_text_per_id(docs, id_col, text_col)
-    texts = every.filter("doc_id is not null")
-    sketch = cut(texts.mapInArrow(_sketch, SKETCH))
-    same = sketch.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
-    members = cut(same.select("rep", F.posexplode("bands").alias("band", "key")))
-    shared = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    bucket = cut(members.join(shared, ["band", "key"]).select("band", "key", "rep"))
+    tables = Tables(spark, "near")
+    sketch = tables.put("sketch", every.mapInArrow(_sketch, SKETCH))
+    same = tables.put("same", sketch.filter("hi is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    slots = same.select("rep", "size", F.explode("bands").alias("key"))
+    sizes = tables.put("sizes", slots.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    held = tables.put("held", slots.join(sizes, "key").groupBy("rep").agg(F.max("size").alias("size"), F.sum("n").alias("score"), F.collect_list(F.struct("key", "n")).alias("slots")))
     # every text that is compared shares a bucket: these are set apart once, and all comparisons read them
-    texts = written(texts.join(bucket.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "compared")
+    # by shuffle at every size: what shares a bucket grows with the corpus
+    texts = tables.put("texts", every.join(held.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi"))
+    tables.drop("sizes")
+
+    open_ = held.select("rep", "score", F.explode("slots.key").alias("key"))
+    lead = tables.put("lead", open_.groupBy("key").agg(F.max(F.struct("score", (-F.col("rep")).alias("order"))).alias("least")).select("key", (-F.col("least.order")).alias("leader"), F.col("least.score").alias("rank")))
+    pairs = open_.join(lead, "key").filter("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b"), "rank").distinct()
+    near = tables.put("led", compare(pairs, texts).filter(F.col("similarity") >= THRESHOLD).select("a", "b", "rank"))
+    best = tables.put("best", near.groupBy("a").agg(F.max(F.struct("rank", (-F.col("b")).alias("order"))).alias("top")).select(F.col("a").alias("rep"), (-F.col("top.order")).alias("label")))
+    labels = tables.put("labels", best.join(best.select(F.col("rep").alias("label"), F.col("label").alias("above")), "label", "left").select("rep", F.coalesce("above", "label").alias("label")))
+    placed = tables.put("placed", held.join(labels, "rep", "left").select("rep", "size", "score", F.coalesce("label", "rep").alias("label"), F.inline("slots")))
+    tables.drop("lead", "best")
     release(spark)
-    links, tried = None, None
-    for _ in range(LEADERS):
-        if links is None:
-            open_ = bucket.withColumn("root", F.col("rep"))
-        else:
-            open_ = _still_open(bucket, cut(components(links)))
-        lead = _leaders(open_.select("band", "key", "rep"))
-        more = open_.join(lead, ["band", "key"]).join(open_.select(F.col("rep").alias("leader"), F.col("root").alias("lead_root")).distinct(), "leader").filter("root <> lead_root")
-        more = more.select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct()
-        more = cut(more if tried is None else more.join(tried, ["a", "b"], "left_anti"))
-        found = cut(compare(more, texts).filter(F.col("similarity") >= THRESHOLD))
-        release(spark)
-        tried = more if tried is None else cut(tried.union(more))
-        links = found if links is None else cut(links.union(found))
-    open_ = cut(_still_open(bucket, cut(components(links))))
-    sizes = open_.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"))
-    few = open_.join(sizes.filter(F.col("size") <= SMALL), ["band", "key"])
-    pairs = few.join(few.select("band", "key", F.col("rep").alias("other"), F.col("root").alias("other_root")), ["band", "key"]).filter("rep > other and root <> other_root")
-    pairs = cut(pairs.select(F.col("rep").alias("a"), F.col("other").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-    near = compare(pairs, texts).filter(F.col("similarity") >= THRESHOLD)
-    many = open_.join(sizes.filter(F.col("size") > SMALL).select("band", "key"), ["band", "key"])
-    links = cut(links.union(near).union(_rest(many, texts)))
+
+    links = [near.select("a", "b"), tables.put("small", compare(_small(placed), texts).filter(F.col("similarity") >= THRESHOLD).select("a", "b"))]
+    large = _large(placed, texts, tables)
+    if large is not None:
+        links.append(tables.put("large", large))
+    tables.drop("texts", "placed", "classes", "mixed", "shaped", "open", "blocks")
     release(spark)
-    roots = components(links).withColumnRenamed("node", "rep")
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_join_links"))
-    classes = same.select("hi", "lo", "rep").join(roots, "rep", "left").join(degree, "rep", "left")
-    found = sketch.select("doc_id", "hi", "lo").join(classes, ["hi", "lo"])
-    known = found.groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("class_id"), F.max(F.coalesce("n_join_links", F.lit(0))).cast("long").alias("n_join_links"))
-    ids = every.select("doc_id").join(known, "doc_id", "left")
-    return ids.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_join_links", F.lit(0)).cast("long").alias("n_join_links"))
-
-
-def _still_open(bucket: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of buckets whose texts are in several classes, with the class of each."""
-    placed = bucket.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed = placed.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band", "key")
-    return placed.join(mixed, ["band", "key"]).select("band", "key", "rep", "root")
+    links = reduce(DataFrame.union, links)
+
+    end = lambda name, to: labels.select(F.col("rep").alias(name), F.col("label").alias(to))
+    crossing = links.join(end("a", "u"), "a", "left").join(end("b", "v"), "b", "left").select(F.coalesce("u", "a").alias("u"), F.coalesce("v", "b").alias("v")).filter("u <> v").distinct()
+    merged = tables.put("merged", components(crossing, "u", "v").select(F.col("node").alias("label"), "root"))
+    marked = held.select("rep").join(labels, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label")).join(merged, "label", "left").select("rep", F.coalesce("root", "label").alias("root"), F.lit(0).alias("n"))
+    ends = links.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(None).cast("long").alias("root"), F.lit(1).alias("n"))
+    reps = tables.put("reps", marked.union(ends).groupBy("rep").agg(F.max("root").alias("root"), F.sum("n").cast("long").alias("n_join_links")))
+    least = tables.put("least", reps.groupBy("root").agg(F.min("rep").alias("class_id")))
+    classes = tables.put("found", same.select("hi", "lo", "rep").join(reps.join(least, "root"), "rep", "left").select("hi", "lo", F.coalesce("class_id", "rep").alias("class_id"), "n_join_links"))
+    known = sketch.select("doc_id", "hi", "lo").join(classes, ["hi", "lo"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_join_links").alias("n_join_links"))
+    found = tables.put("classes", sketch.select("doc_id").join(known, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_join_links", F.lit(0)).cast("long").alias("n_join_links")))
+    tables.drop("sketch", "same", "held", "led", "labels", "small", "large", "merged", "reps", "least", "found")
+    return found
 
 
 def op10_near_duplicates(spark, sf_dir: str) -> DataFrame:

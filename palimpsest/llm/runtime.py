@@ -19,7 +19,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, and make sure that a checkpoint folder is set.
 
     The folder named in ``spark.checkpoint.dir`` is used where the session has
-    one. Only where it is unset (tests, local runs) a temporary one is made.
+    one. Where it is unset, a local run gets a temporary one; on a cluster that
+    is an error, as no machine sees the folders of another.
     """
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
@@ -37,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
         held = sc._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return str(held.get())
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="palimpsest-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named)
@@ -61,6 +64,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Intermediate tables of one run in a folder of its own in the shared folder; each can be removed once nothing reads it."""
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark = prepare(spark)
+        self.base = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        """Write ``df`` and go on from the written rows."""
+        path = f"{self.base}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Remove tables, and let Spark remove the shuffle files of the plans that led to them."""
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.base)
+        store = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for name in names:
+            store.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}"), True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of plans that nothing refers to any more, as after a cut."""
     gc.collect()
