@@ -2,7 +2,7 @@
 
 File format, one file ("shard") for a run of documents in ascending id order,
 little-endian: the header (magic, version, block length, documents, tokens,
-blocks, exceptions), then doc ids int64, tokens of each document int64, block
+blocks, exceptions, documents without an id, which come first), then doc ids int64, tokens of each document int64, block
 minima uint32, block widths uint8, exceptions of each block uint16, block
 starts uint64 (index of the first packed word of each block), the packed words
 uint64, exception positions uint16 and exception values uint32.
@@ -18,13 +18,16 @@ Shards are written by Spark as rows of a table (``part``, ``seq``, counts,
 however often its task is tried. ``export_files`` puts them into plain files.
 
 Null text counts as empty and yields the end id alone. Rows of equal doc_id are
-all encoded, ordered by id and then text. An empty table gives no rows.
+all encoded, ordered by id and then text (null first); rows without a doc_id
+come before all others in order of text, and their index rows have no doc_id.
+An empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -33,6 +36,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +45,7 @@ from palimpsest.llm.runtime import one_text_per_id, prepare, shared_dir, shuffle
 BLOCK = 128
 PERCENTILES = (50, 75, 90, 95, 98, 100)
 MAGIC = b"PFOR"
-HEAD = struct.Struct("<4sHHQQQQ")
+HEAD = struct.Struct("<4sHHQQQQQ")
 #: Tokens after which a shard is closed; a document is never split.
 SHARD_TOKENS = 1 << 20
 END_ID = 0
@@ -80,8 +84,8 @@ def _unpack(words: np.ndarray, width: int) -> np.ndarray:
     return np.ascontiguousarray(out.T)
 
 
-def encode_shard(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """The file of a run of documents whose ids are given one after the other."""
+def encode_shard(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, missing: int = 0) -> bytes:
+    """The file of a run of documents whose ids are given one after the other; the first ``missing`` have no doc id."""
     n = len(ids)
     blocks = -(-n // BLOCK)
     flat = np.empty(blocks * BLOCK, np.uint32)
@@ -118,15 +122,15 @@ def encode_shard(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> b
             rows = _pack((rest[at] & mask).astype(np.uint64), int(w))
             packed[(starts[at][:, None] + np.arange(rows.shape[1], dtype=np.uint64)).ravel().astype(np.int64)] = rows.ravel()
     block, place = np.nonzero(outlier)
-    head = HEAD.pack(MAGIC, 1, BLOCK, len(doc_ids), n, blocks, len(block))
+    head = HEAD.pack(MAGIC, 2, BLOCK, len(doc_ids), n, blocks, len(block), missing)
     parts = (doc_ids.astype("<i8"), lengths.astype("<i8"), low.astype("<u4"), width, counts.astype("<u2"), starts.astype("<u8"), packed.astype("<u8"), place.astype("<u2"), rest[block, place].astype("<u4"))
     return head + b"".join(x.tobytes() for x in parts)
 
 
 def decode_shard(file: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Doc ids, tokens of each document, and all ids."""
-    magic, version, block, docs, n, blocks, exceptions = HEAD.unpack_from(file)
-    if magic != MAGIC or version != 1 or block != BLOCK:
+    magic, version, block, docs, n, blocks, exceptions, _ = HEAD.unpack_from(file)
+    if magic != MAGIC or version != 2 or block != BLOCK:
         raise ValueError("not a shard of this format")
     at = HEAD.size
 
@@ -149,9 +153,14 @@ def decode_shard(file: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc_ids, lengths, (rest + low[:, None]).ravel()[:n]
 
 
+def without_id(file: bytes) -> int:
+    """How many documents at the head of a shard have no doc id."""
+    return HEAD.unpack_from(file)[-1]
+
+
 def decode_block(file: bytes, block: int) -> np.ndarray:
     """The ids of one block, found by the index of block starts without reading the others."""
-    _, _, _, docs, n, blocks, _ = HEAD.unpack_from(file)
+    _, _, _, docs, n, blocks, _, _ = HEAD.unpack_from(file)
     at = HEAD.size + 16 * docs
     low = np.frombuffer(file, "<u4", blocks, at)[block]
     width = np.frombuffer(file, "<u1", blocks, at := at + 4 * blocks)
@@ -177,18 +186,25 @@ class PieceEncoder:
 
     The pre-tokeniser of these vocabularies never joins what lies before a
     single space with what follows, and puts that space before the next piece;
-    a single line break is a token of its own. So where all white space of a
-    text stands alone, its ids are those of the first piece, then for each
-    piece those of " " + piece or of the line break and the piece. Any other
-    text (adjacent white space, a special token's string) is given to the
-    library whole, and so is every text of a tokeniser of another kind.
+    a single line break is a token of its own, and so is what ends a word as a
+    single mark. So where all white space of a text stands alone, its ids are
+    those of the first piece, then for each piece those of " " + piece or of
+    the line break and the piece. Any other text (adjacent white space, the
+    string of an added token) is given to the library whole, and so is every
+    text of a tokeniser of another kind.
+
+    Texts are split and their pieces numbered by Arrow; only distinct pieces
+    are looked up, and ids are gathered for all pieces of a slice at once.
     """
 
     #: White space, as any of the libraries counts it, other than space and line break.
     ODD = "".join(map(chr, [9, 11, 12, 13, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]))
-    ADJACENT = ("  ", " \n", "\n ", "\n\n", "<|")
-    #: Pieces that a worker remembers, and code points of the longest of them.
-    KEEP, LONG = 1_000_000, 40
+    ADJACENT = ("  ", " \n", "\n ", "\n\n")
+    #: Marks that are split from the end of a word, and where they stand: after a Latin letter or a digit.
+    MARKS = ".,;:!?$%&*#"
+    MARKED = "[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f][.,;:!?$%&*#]$"
+    #: Pieces that a worker remembers, code points of the longest of them, and bytes of texts encoded at once.
+    KEEP, LONG, SLICE = 1_000_000, 40, 1 << 23
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -197,83 +213,144 @@ class PieceEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[str, bytes] = {}
         plan = json.loads(self.library.to_str())
         pre = plan.get("pre_tokenizer") or {}
         line = self.library.encode("\n", add_special_tokens=False).ids
         self.by_piece = not plan.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and len(line) == 1
         self.line_id = line[0] if line else -1
-        self.line = np.array([self.line_id], "<i8").astype("<u4").tobytes()
+        self.added = [x["content"] for x in plan.get("added_tokens") or [] if x.get("content")]
+        self.whole = "|".join([f"[{self.ODD}]", *map(re.escape, (*self.ADJACENT, *self.added))])
+        self.forget()
+
+    def forget(self) -> None:
+        """Start with no piece known. Piece k has the ids from ``start[k]`` on, ``size[k]`` of them."""
+        self.known: dict[str, int] = {}
+        self.heads: dict[str, int] = {}
+        self.marks: dict[str, int] = {}
+        self.ids, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ids = self._ids(list(self.MARKS))
+        self._store(self.marks, list(self.MARKS), np.concatenate(ids), np.array([len(x) for x in ids]))
 
     def _odd(self, text: str) -> bool:
         return any(c in text for c in self.ODD)
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _lines(self, pieces: list[str], lead: str) -> dict[str, bytes]:
-        """Ids of lead + piece: many pieces to a text, one in a line."""
-        out: dict[str, bytes] = {}
+    def _lines(self, pieces: list[str], lead: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lead + piece one after the other, and how many each has: many pieces to a text, one in a line."""
+        every, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for lo in range(0, len(pieces), 4096):
             some = pieces[lo : lo + 4096]
             text = lead + f"\n{lead}".join(some)
             if not self._odd(text):
-                ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-                cuts = np.flatnonzero(ids == self.line_id).tolist()
-                if len(cuts) == len(some) - 1:
-                    raw = ids.tobytes()
-                    out.update(zip(some, (raw[4 * a : 4 * b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)), strict=True))
+                ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+                breaks = np.flatnonzero(ids == self.line_id)
+                if len(breaks) == len(some) - 1:
+                    every.append(np.delete(ids, breaks))
+                    sizes.append(np.diff(np.concatenate([[-1], breaks, [len(ids)]])) - 1)
                     continue
-            out.update(zip(some, self._ids([lead + s for s in some]), strict=True))
-        return out
-
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of new pieces; one that starts with a line break has no space before its word."""
-        stems, ends = set(), {}
-        for p in pieces:
-            if len(p) > 2 and p[-1] in ".,;:!?" and p[-2] < "\u0250" and (stem := p[:-1]).strip("\n").isalpha():
-                ends[p] = stem
-                stems.add(stem)
-            else:
-                stems.add(p)
-        stems = stems.difference(self.known)
-        out = self._lines([s for s in stems if s and s[0] != "\n"], " ")
-        out.update((f"\n{s}", self.line + ids) for s, ids in self._lines([s[1:] for s in stems if len(s) > 1 and s[0] == "\n"], "").items())
-        if "" in stems:
-            out[""] = self._ids([" "])[0]
-        if "\n" in stems:
-            out["\n"] = self.line
-        if ends:
-            marks = sorted({p[-1] for p in ends})
-            ids = dict(zip(marks, self._ids(marks), strict=True))
-            for p, stem in ends.items():
-                out[p] = (out.get(stem) or self.known[stem]) + ids[p[-1]]
-        return out
+            found = self._ids([lead + s for s in some])
+            every += found
+            sizes.append(np.array([len(f) for f in found], np.int64))
+        return np.concatenate(every), np.concatenate(sizes)
+
+    def _store(self, known: dict[str, int], pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Number new pieces, whose ids are given one after the other."""
+        first, begin = len(self.start), len(self.ids)
+        self.ids = np.concatenate([self.ids, ids])
+        self.start = np.concatenate([self.start, begin + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        known.update(zip(pieces, range(first, first + len(pieces)), strict=True))
+
+    def _gather(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The ids of pieces, one after the other."""
+        ends = np.cumsum(size)
+        return self.ids[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Number new pieces; one that starts with a line break has no space before its word."""
+        groups = (" ", [p for p in pieces if p and p[0] != "\n"]), ("", [p for p in pieces if p[:1] == "\n" and len(p) > 1])
+        for lead, some in groups:
+            ids, sizes = self._lines([p if lead else p[1:] for p in some], lead)
+            if not lead:
+                ids, sizes = np.insert(ids, np.cumsum(sizes) - sizes, self.line_id), sizes + 1
+            self._store(self.known, some, ids, sizes)
+        for p in ("", "\n"):
+            if p in pieces:
+                ids = self._ids([p or " "])[0]
+                self._store(self.known, [p], ids, np.array([len(ids)]))
+
+    def _numbers(self, pieces: list[str], known: dict[str, int], learn) -> np.ndarray:
+        """The number of each of the distinct ``pieces``."""
+        found = list(map(known.get, pieces))
+        new = {p for p, k in zip(pieces, found, strict=True) if k is None}
+        if new:
+            learn(sorted(new))
+            found = list(map(known.__getitem__, pieces))
+        return np.array(found, np.int64)
+
+    def _learn_heads(self, heads: list[str]) -> None:
+        found = self._ids(heads)
+        self._store(self.heads, heads, np.concatenate(found), np.array([len(f) for f in found]))
+
+    def _by_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.known) + len(self.heads) > self.KEEP:
+            self.forget()
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        off = split.offsets.to_numpy()
+        numbered = pc.dictionary_encode(split.values)
+        pieces, which = numbered.dictionary, numbered.indices.to_numpy()
+        marked = pc.match_substring_regex(pieces, self.MARKED).to_numpy(zero_copy_only=False)
+        mark = np.full(len(pieces), -1)
+        mark[marked] = [self.marks[c] for c in pc.utf8_slice_codeunits(pieces.filter(pa.array(marked)), -1).to_pylist()]
+        stems = pc.if_else(pa.array(marked), pc.utf8_slice_codeunits(pieces, 0, -1), pieces).to_pylist()
+        piece, mark = self._numbers(stems, self.known, self._learn)[which], mark[which]
+        # the first piece of a text has no space before it
+        heads = pc.dictionary_encode(split.values.take(pa.array(off[:-1])))
+        piece[off[:-1]] = self._numbers(heads.dictionary.to_pylist(), self.heads, self._learn_heads)[heads.indices.to_numpy()]
+        mark[off[:-1]] = -1
+        after = mark >= 0
+        first = off[:-1] + np.concatenate([[0], np.cumsum(after)])[off[:-1]]
+        piece = np.insert(piece, np.flatnonzero(after) + 1, mark[after])
+        size = self.size[piece]
+        ids, counts = self._gather(self.start[piece], size), np.add.reduceat(size, first)
+        for p in [p for p in stems if len(p) > self.LONG]:
+            self.known.pop(p, None)
+        return ids, counts
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        plans, whole, heads = [], [], []
-        for i, t in enumerate(texts):
-            if not self.by_piece or any(x in t for x in self.ADJACENT) or self._odd(t):
-                whole.append(i)
-                plans.append(())
-            else:
-                head, *rest = t.replace("\n", " \n").split(" ")
-                heads.append((i, head))
-                plans.append(rest)
-        known = self.known
-        learnt = self._learn(set().union(*plans).difference(known))
-        known.update(learnt)
-        out = [b"".join(map(known.__getitem__, p)) for p in plans]
-        for (i, _), ids in zip(heads, self._ids([h for _, h in heads]), strict=True):
-            out[i] = ids + out[i]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        full = len(known) > self.KEEP
-        for p in learnt:
-            if full or len(p) > self.LONG:
-                del known[p]
-        return out
+        ids, counts = self.encode_column(pa.array(texts, pa.string()))
+        ends = np.cumsum(counts).tolist()
+        return [ids[a:b].astype("<u4").tobytes() for a, b in zip([0, *ends], ends, strict=False)]
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text after the other, and the number of ids of each. Null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        n = len(texts)
+        whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False) if self.by_piece else np.ones(n, bool)
+        counts = np.zeros(n, np.int64)
+        ids, rest = np.zeros(0, np.uint32), [np.zeros(0, np.uint32)]
+        if not whole.all():
+            ids, counts[~whole] = self._by_pieces(texts.filter(pa.array(~whole)))
+        if whole.any():
+            rest += self._ids(texts.filter(pa.array(whole)).to_pylist())
+            counts[whole] = [len(x) for x in rest[1:]]
+            out = np.empty(int(counts.sum()), np.uint32)
+            from_whole = np.repeat(whole, counts)
+            out[from_whole], out[~from_whole] = np.concatenate(rest), ids
+            ids = out
+        return ids, counts
+
+    def slices(self, texts: pa.Array) -> Iterator[tuple[int, int]]:
+        """Ranges of rows of at most ``SLICE`` bytes together, a longer row alone."""
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + self.SLICE, "right")))
+            yield lo, hi
+            lo = hi
 
 
 @lru_cache(maxsize=2)
@@ -291,48 +368,61 @@ def _encode(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq, before = TaskContext.get().partitionId(), 0, 0
-        tool, end = encoder(path or tokenizer_path()), np.array([END_ID], "<u4").tobytes()
-        ids: list[np.ndarray] = []
-        held: list[bytes] = []
-        tokens = 0
+        part, seq, before, tokens, missing = TaskContext.get().partitionId(), 0, 0, 0, 0
+        tool = encoder(path or tokenizer_path())
+        docs: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        held: list[np.ndarray] = []
+
+        def add(doc: np.ndarray, size: np.ndarray, ids: np.ndarray, absent: int) -> None:
+            nonlocal tokens, missing
+            docs.append(doc)
+            sizes.append(size)
+            held.append(ids)
+            tokens, missing = tokens + len(ids), missing + absent
 
         def close() -> pa.RecordBatch:
-            nonlocal seq, before, tokens
-            file = encode_shard(np.array(ids, np.int64), np.array([len(x) // 4 for x in held], np.int64), np.frombuffer(b"".join(held), "<u4"))
+            nonlocal seq, before, tokens, missing
+            doc = np.concatenate(docs)
+            file = encode_shard(doc, np.concatenate(sizes), np.concatenate(held), missing)
             row = pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([tokens], pa.int64()), pa.array([before], pa.int64()), pa.array([file], pa.binary())], ["part", "seq", "n_docs", "n_tokens", "before", "file"]
+                [pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([len(doc)], pa.int64()), pa.array([tokens], pa.int64()), pa.array([before], pa.int64()), pa.array([file], pa.binary())], ["part", "seq", "n_docs", "n_tokens", "before", "file"]
             )
-            seq, before, tokens = seq + 1, before + tokens, 0
-            ids.clear()
-            held.clear()
+            seq, before, tokens, missing = seq + 1, before + tokens, 0, 0
+            for x in (docs, sizes, held):
+                x.clear()
             return row
 
         for batch in batches:
-            for lo in range(0, len(batch), 512):
-                some = batch.slice(lo, 512)
-                texts = [t or "" for t in some.column("text").to_pylist()]
-                for doc, found in zip(some.column("doc_id").to_pylist(), tool.encode(texts), strict=True):
-                    ids.append(doc)
-                    held.append(found + end)
-                    tokens += len(held[-1]) // 4
+            for a, b in tool.slices(batch.column("text")):
+                some = batch.slice(a, b - a)
+                ids, size = tool.encode_column(some.column("text"))
+                ids, size = np.insert(ids, np.cumsum(size), END_ID), size + 1
+                doc, absent = pc.fill_null(some.column("doc_id"), 0).to_numpy(), ~some.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+                ends, lo = np.cumsum(size), 0
+                while lo < len(doc):
+                    done = int(ends[lo - 1]) if lo else 0
+                    hi = min(len(doc), int(np.searchsorted(ends, done + SHARD_TOKENS - tokens)) + 1)
+                    add(doc[lo:hi], size[lo:hi], ids[done : int(ends[hi - 1])], int(absent[lo:hi].sum()))
+                    lo = hi
                     if tokens >= SHARD_TOKENS:
                         yield close()
-        if ids:
+        if docs:
             yield close()
 
     return run
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
-    """Encode all texts in ascending id order and write the shards to ``path``.
+    """Encode all texts in ascending id order, those without an id first, and write the shards to ``path``.
 
-    One shuffle moves the texts to ranges of ids. Each range is a task that
-    keeps one shard in memory, however many documents the range has.
+    One shuffle moves the texts to ranges of ids, and of the heads of texts
+    that have one id or none. Each range is a task that keeps one shard in
+    memory, however many documents the range has.
     """
     spark = prepare(docs.sparkSession)
-    rows = one_text_per_id(docs, id_col, text_col).filter("doc_id is not null")
-    ranges = rows.repartitionByRange(partitions or shuffle_width(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = one_text_per_id(docs, id_col, text_col)
+    ranges = rows.repartitionByRange(partitions or shuffle_width(spark), F.col("doc_id"), F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     ranges.mapInArrow(_encode(tokenizer), SHARDS).write.option("compression", "none").parquet(path)
 
 
@@ -340,11 +430,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, before, file in zip(batch.column("part").to_pylist(), batch.column("before").to_pylist(), batch.column("file"), strict=True):
             doc_ids, lengths, ids = decode_shard(file.as_buffer())
+            absent = np.arange(len(doc_ids)) < without_id(file.as_buffer())
             ends = np.cumsum(lengths)
             raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
             crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc_ids), pa.array(np.full(len(doc_ids), part, np.int32)), pa.array(before + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())], ["doc_id", "part", "start_in_part", "n_tokens", "ids_crc32"]
+                [pa.array(doc_ids, mask=absent), pa.array(np.full(len(doc_ids), part, np.int32)), pa.array(before + ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())], ["doc_id", "part", "start_in_part", "n_tokens", "ids_crc32"]
             )
 
 
