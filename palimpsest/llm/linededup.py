@@ -20,19 +20,21 @@ of a group always stays.
    Equal variants are joined to the least line of their key, so a key of many
    lines gives one row for each line and never pairs.
 4. The words of each line and its partner are compared exactly.
-5. Texts are joined to the numbers of their removed lines and written without
-   those lines.
+5. Lines are joined to the groups that lose some, and texts to the numbers of
+   their removed lines; lines that stay are not moved again.
 
-Null text has no lines. Rows of equal doc_id and text count their lines at
+Lines under ``min_words`` words have no near repeats, as one word in few is
+another line. Null text has no lines and stays null; a row without a doc_id has
+no order, loses nothing and counts no lines. Rows of equal doc_id and text count their lines at
 equal places; doc_id should be a key. Extra columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.runtime import cut, one_text_per_id, prepare, release, written
+from palimpsest.llm.runtime import Tables, one_text_per_id, release, written
 
 MIN_WORDS = 8
 #: White space other than the space and the line break.
@@ -62,7 +64,7 @@ def unplace(at: Column) -> tuple[Column, Column]:
     return ((at - number) / F.lit(_PLACES).cast("decimal(38,0)")).cast("long"), number.cast("int")
 
 
-def lines_of(texts: DataFrame) -> DataFrame:
+def lines_of(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Every line with a word: document, number, words, and hashes of its first part, last part and third part.
 
     The first half and the rest (n words, hashes ``head`` and ``tail``) tell a
@@ -74,7 +76,7 @@ def lines_of(texts: DataFrame) -> DataFrame:
     worded = rows.select("doc_id", "number", words_of(F.col("line")).alias("words")).withColumn("n", F.size("words")).filter("n > 0")
     k = F.floor(F.col("n") / 2).cast("int")
     odd = F.col("n") % 2 == 1
-    third = F.when(F.col("n") >= MIN_WORDS, F.xxhash64(F.when(odd, F.slice("words", k + 2, k)).otherwise(F.slice("words", F.lit(1), k - 1))))
+    third = F.when(F.col("n") >= min_words, F.xxhash64(F.when(odd, F.slice("words", k + 2, k)).otherwise(F.slice("words", F.lit(1), k - 1))))
     return worded.select("doc_id", "number", "n", F.xxhash64(F.slice("words", F.lit(1), k)).alias("head"), F.xxhash64(F.slice("words", k + 1, F.col("n"))).alias("tail"), third.alias("third"))
 
 
@@ -84,27 +86,26 @@ def _halves() -> Column:
     return F.array(F.xxhash64(F.lit(0), n, "head"), F.xxhash64(F.lit(1), n, "tail"), F.xxhash64(F.lit(0), n - 1, F.when(odd, F.col("head")).otherwise(F.col("third"))), F.xxhash64(F.lit(1), n - 1, F.when(odd, F.col("third")).otherwise(F.col("tail"))))
 
 
-def _running(values: Column) -> Column:
-    """Running sums of an array of numbers below 2**47."""
-    start = F.struct(F.lit(0).cast("long").alias("s"), F.array().cast("array<long>").alias("a"))
-    return F.aggregate(values, start, lambda acc, x: F.struct((acc["s"] + x).alias("s"), F.array_append(acc["a"], acc["s"] + x).alias("a")), lambda acc: acc["a"])
-
-
 def variants(candidates: DataFrame) -> DataFrame:
-    """(at, n, hash, drop): the line (drop -1) and the line without word ``drop``; n is the number of words left.
+    """(at, n, hash, hash2, drop): the line (drop -1) and the line without word ``drop``; n is the number of words left.
 
-    The hash is a sum over the words left of a hash of word and place, so all
-    variants follow from running sums.
+    ``hash`` is the exclusive or of a hash of each word left and its place, so
+    all variants of a line follow from two running values; ``hash2`` is a sum
+    over the words left whatever their places. Words are rows here, so a line of
+    any length costs as many rows as it has words.
     """
-    small = lambda w, i: F.shiftrightunsigned(F.xxhash64(w, i), 17)
-    summed = candidates.select("at", "words", _running(F.transform("words", lambda w, i: small(w, i))).alias("kept"), _running(F.transform("words", lambda w, i: small(w, i - 1))).alias("moved"))
-    n = F.size("words")
-    whole = F.struct(n.alias("n"), F.element_at("kept", -1).alias("hash"), F.lit(-1).alias("drop"))
-    without = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.struct((n - 1).alias("n"), (F.when(i > 0, F.get("kept", i - 1)).otherwise(0).cast("long") + F.element_at("moved", -1) - F.get("moved", i)).alias("hash"), i.cast("int").alias("drop")),
-    )
-    return summed.select("at", F.inline(F.concat(F.array(whole), without)))
+    words = candidates.select("at", F.posexplode("words").alias("i", "w"))
+    rows = words.select("at", "i", F.xxhash64("w", "i").alias("k"), F.xxhash64("w", F.col("i") - 1).alias("m"), F.shiftrightunsigned(F.xxhash64("w"), 24).alias("s"))
+    line = Window.partitionBy("at")
+    upto = line.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    known = rows.select(
+        "at", "i", "k", "s", F.bit_xor("k").over(upto).alias("pk"), F.bit_xor("m").over(upto).alias("pm"),
+        F.bit_xor("k").over(line).alias("tk"), F.bit_xor("m").over(line).alias("tm"), F.sum("s").over(line).alias("ts"), F.count(F.lit(1)).over(line).cast("int").alias("n"),
+    )
+    row = lambda n, hash_, hash2, drop: F.struct(n.alias("n"), hash_.alias("hash"), hash2.alias("hash2"), drop.alias("drop"))
+    without = row(F.col("n") - 1, F.col("pk").bitwiseXOR(F.col("k")).bitwiseXOR(F.col("pm")).bitwiseXOR(F.col("tm")), F.col("ts") - F.col("s"), F.col("i"))
+    whole = row(F.col("n"), F.col("tk"), F.col("ts"), F.lit(-1))
+    return known.select("at", F.inline(F.when(F.col("i") == 0, F.array(whole, without)).otherwise(F.array(without))))
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -117,66 +118,71 @@ def within_one(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.slice(short, k + 2, F.size(short)) == tail).when(F.size(long_) == F.size(short) + 1, F.slice(short, k + 1, F.size(short)) == tail).otherwise(False)
 
 
-def line_links(texts: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+def line_links(texts: DataFrame, lines: DataFrame, tables: Tables, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """(groups of equal lines with their first place, verified links of near lines to an earlier one)."""
     spark = texts.sparkSession
-    groups = cut(lines.groupBy("n", "head", "tail").agg(F.min(place(F.col("doc_id"), F.col("number"))).alias("at"), F.count(F.lit(1)).alias("n_same"), F.max("third").alias("third")))
-    release(spark)
-    halves = groups.filter(F.col("n") >= MIN_WORDS).select("at", F.explode(_halves()).alias("half"))
+    groups = tables.put("groups", lines.groupBy("n", "head", "tail").agg(F.min(place(F.col("doc_id"), F.col("number"))).alias("at"), F.count(F.lit(1)).alias("n_same"), F.max("third").alias("third")))
+    halves = groups.filter(F.col("n") >= min_words).select("at", F.explode(_halves()).alias("half"))
     shared = halves.groupBy("half").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low < high").select("half")
     doc_id, number = unplace(F.col("at"))
     chosen = halves.join(shared, "half", "left_semi").select("at").distinct().select(doc_id.alias("doc_id"), number.alias("number"))
-    wanted = cut(chosen.groupBy("doc_id").agg(F.collect_set("number").alias("numbers")))
+    wanted = tables.put("wanted", chosen.groupBy("doc_id").agg(F.collect_set("number").alias("numbers")))
     release(spark)
     split = texts.join(wanted, "doc_id").select("doc_id", "numbers", F.split(folded(F.col("text")), "\n").alias("all"))
     picked = split.select("doc_id", F.explode("numbers").alias("number"), "all").select("doc_id", "number", F.get("all", F.col("number")).alias("line"))
-    candidates = cut(picked.select(place(F.col("doc_id"), F.col("number")).alias("at"), words_of(F.col("line")).alias("words")).dropDuplicates(["at"]))
+    candidates = tables.put("candidates", picked.select(place(F.col("doc_id"), F.col("number")).alias("at"), words_of(F.col("line")).alias("words")).dropDuplicates(["at"]))
     release(spark)
-    keys = written(variants(candidates), "variants")
-    replaced = keys.filter("drop >= 0").groupBy("n", "hash", "drop").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low < high").select("n", "hash", "drop", F.col("low").alias("other"))
-    sides = keys.groupBy("n", "hash").agg(F.min(F.when(F.col("drop") < 0, F.col("at"))).alias("whole"), F.min(F.when(F.col("drop") >= 0, F.col("at"))).alias("part")).filter("whole is not null and part is not null")
-    replaced, sides = cut(replaced), cut(sides)
+    keys = tables.put("variants", variants(candidates))
+    replaced = keys.filter("drop >= 0").groupBy("n", "hash", "hash2", "drop").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low < high").select("n", "hash", "hash2", "drop", F.col("low").alias("other"))
+    sides = keys.groupBy("n", "hash", "hash2").agg(F.min(F.when(F.col("drop") < 0, F.col("at"))).alias("whole"), F.min(F.when(F.col("drop") >= 0, F.col("at"))).alias("part")).filter("whole is not null and part is not null")
+    replaced, sides = tables.put("replaced", replaced), tables.put("sides", sides)
     found = (
-        keys.join(replaced, ["n", "hash", "drop"]).filter("other < at").select("at", "other")
-        .union(keys.join(sides, ["n", "hash"]).select("at", F.when(F.col("drop") < 0, F.col("part")).otherwise(F.col("whole")).alias("other")).filter("other < at"))
+        keys.join(replaced, ["n", "hash", "hash2", "drop"]).filter("other < at").select("at", "other")
+        .union(keys.join(sides, ["n", "hash", "hash2"]).select("at", F.when(F.col("drop") < 0, F.col("part")).otherwise(F.col("whole")).alias("other")).filter("other < at"))
         .distinct()
     )
     other = candidates.select(F.col("at").alias("other"), F.col("words").alias("other_words"))
-    links = found.join(candidates, "at").join(other, "other").filter(within_one(F.col("words"), F.col("other_words"))).groupBy("at").agg(F.min("other").alias("other"))
-    links = cut(links)
+    near = found.join(candidates, "at").join(other, "other").filter(within_one(F.col("words"), F.col("other_words"))).groupBy("at").agg(F.min("other").alias("other"))
+    links = tables.put("links", near)
+    tables.drop("wanted", "candidates", "variants", "replaced", "sides")
     release(spark)
     return groups, links
 
 
-def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, number, same, near): each line with a word, and whether it is removed as exact or as near repeat."""
-    prepare(docs.sparkSession)
+def removed_lines(docs: DataFrame, tables: Tables, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(all lines, (doc_id, number, same, near) of each line that goes, as exact or as near repeat)."""
     texts = one_text_per_id(docs, id_col, text_col).filter("doc_id is not null and text is not null")
-    lines = written(lines_of(texts), "lines")
-    groups, links = line_links(texts, lines)
+    lines = tables.put("lines", lines_of(texts, min_words))
+    groups, links = line_links(texts, lines, tables, min_words)
     near = links.select("at", F.lit(True).alias("near"))
-    told = groups.join(near, "at", "left").filter("n_same > 1 or near").select("n", "head", "tail", F.col("at").alias("first"), F.coalesce("near", F.lit(False)).alias("first_near"))
-    marked = lines.select("doc_id", "number", "n", "head", "tail").join(told, ["n", "head", "tail"], "left")
-    same = F.coalesce(place(F.col("doc_id"), F.col("number")) > F.col("first"), F.lit(False))
-    return marked.select("doc_id", "number", same.alias("same"), (~same & F.coalesce("first_near", F.lit(False))).alias("near"))
+    told = tables.put("told", groups.join(near, "at", "left").filter("n_same > 1 or near").select("n", "head", "tail", F.col("at").alias("first"), F.coalesce("near", F.lit(False)).alias("first_near")))
+    tables.drop("groups", "links")
+    marked = lines.select("doc_id", "number", "n", "head", "tail").join(told, ["n", "head", "tail"])
+    same = place(F.col("doc_id"), F.col("number")) > F.col("first")
+    return lines, marked.select("doc_id", "number", same.alias("same"), (~same & F.col("first_near")).alias("near")).filter("same or near")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, text without the removed lines, numbers of the lines removed as exact and as near repeats, and counts."""
-    number = lambda kind: F.array_sort(F.collect_set(F.when(F.col(kind), F.col("number"))))
-    counts = [F.count(F.lit(1)).alias("n_lines"), F.count_if("same").alias("n_exact"), F.count_if("near").alias("n_near")]
-    counted = line_decisions(docs, id_col, text_col).groupBy("doc_id").agg(*counts, number("same").alias("exact"), number("near").alias("alike"))
-    texts = one_text_per_id(docs, id_col, text_col).join(counted, "doc_id", "left")
-    lines, gone = F.split("text", "\n"), F.concat("exact", "alike")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i))
-    text = F.when(F.size(gone) > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
-    removed = [F.coalesce(c, F.array().cast("array<int>")).alias(to) for c, to in (("exact", "exact"), ("alike", "near"))]
-    return texts.select("doc_id", text.alias("text"), *removed, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_lines", "n_exact", "n_near")))
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    tables = Tables(docs.sparkSession, "line-dedup")
+    number = lambda kind: F.collect_set(F.when(F.col(kind), F.col("number")))
+    lines, removed = removed_lines(docs, tables, id_col, text_col, min_words)
+    counted = lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    gone = removed.groupBy("doc_id").agg(F.count_if("same").alias("n_exact"), F.count_if("near").alias("n_near"), number("same").alias("exact"), number("near").alias("alike"))
+    told = tables.put("removed", counted.join(gone, "doc_id", "left"))
+    tables.drop("lines", "told")
+    release(docs.sparkSession)
+    texts = one_text_per_id(docs, id_col, text_col).join(told, "doc_id", "left")
+    parts, out = F.split("text", "\n"), F.concat("exact", "alike")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), out), lambda i: F.get(parts, i))
+    text = F.when(F.size(out) > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
+    numbers = [F.sort_array(F.coalesce(c, F.array().cast("array<int>"))).alias(to) for c, to in (("exact", "exact"), ("alike", "near"))]
+    return texts.select("doc_id", text.alias("text"), *numbers, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_lines", "n_exact", "n_near")))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text) without the removed lines; a document may lose all."""
-    return deduplicated(docs, id_col, text_col).select("doc_id", "text")
+    return deduplicated(docs, id_col, text_col, min_words).select("doc_id", "text")
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
