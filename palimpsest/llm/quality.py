@@ -12,7 +12,8 @@ joined back to the documents' line lists, and documents that lose more than
 half of their words, or keep fewer than ``MIN_WORDS``, are depleted.
 
 Null text counts as empty and fails the base rule, null host is a host of its
-own, and equal rows of one doc_id are separate rows with separate verdicts.
+own, and equal rows of one doc_id are separate rows with separate verdicts that
+count a line once. An empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -143,10 +144,14 @@ def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def frequent_lines(features: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """(host, line, n_docs) of lines above their host's limit.
 
-    Counts are of documents: a line list holds each line once. Both
-    aggregations combine in the map tasks, so no host and no line gathers rows.
+    Counts are of documents: rows of one doc_id count a line once, a row
+    without a doc_id is a document of its own. Documents of a line are told
+    apart over all tasks and then counted in map tasks first, so no host and no
+    line gathers rows.
     """
-    counted = features.select("host", F.explode("lines.line").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
+    own = F.when(F.col("doc_id").isNull(), F.col("row_id"))
+    once = features.select("host", "doc_id", own.alias("own"), F.explode("lines.line").alias("line")).distinct()
+    counted = once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
     hosts = features.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     return (
         counted.filter(F.col("n_docs") > min_docs)
