@@ -17,8 +17,9 @@ of a value is its share of tokens to the power ``TEMPER``, normalised. Shares
 of values without tokens are dropped and the rest normalised; values that a
 given frame does not name get none.
 
-A token is a run of characters other than space and 09-0D. The topic is the
-register of the text: empty, symbols, shouted, figures, lines or prose. Null
+A token is a run of characters other than space and 09-0D. The topic is a
+column that the caller gives or, by default, the register of the text: empty,
+symbols, shouted, figures, lines or prose. Null
 source or lang is the value ''. Null and empty texts have no tokens; they are
 kept with the probability of their cell, or never if the cell has no tokens.
 Rows of equal doc_id share one fate. An empty table gives no rows.
@@ -37,7 +38,8 @@ DIMENSIONS = ("source", "lang", "topic")
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 KEEP_SHARE = 0.75
 SEED = "mix-1"
-TOLERANCE, ROUNDS = 1e-12, 60
+#: Raking ends when no weight moves by more than TOLERANCE of itself in a round, or, after ROUNDS, by more than SETTLED of all weight.
+TOLERANCE, ROUNDS, SETTLED, MOST_ROUNDS = 1e-12, 60, 1e-6, 600
 #: Cells that are sent to all tasks at once.
 SENT_CELLS = 50_000
 WORD, SYMBOL, DIGIT = r"[^\x20\x09-\x0D]+", r"[#*$%&|<>]", "[0-9]"
@@ -56,11 +58,12 @@ def topic_of(text: Column, words: Column) -> Column:
     )
 
 
-def with_cells(docs: DataFrame) -> DataFrame:
-    """``docs`` with a struct ``_cell`` of source, lang, topic and n_tokens; no column of the input is renamed."""
+def with_cells(docs: DataFrame, topic: Column | None = None) -> DataFrame:
+    """``docs`` with a struct ``_cell`` of source, lang, topic and n_tokens; no column of the input is renamed. ``topic`` is the text's register unless a column is given."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = F.regexp_count(text, F.lit(WORD)).cast("long")
-    return docs.withColumn("_cell", F.struct(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), topic_of(text, words).alias("topic"), words.alias("n_tokens")))
+    named = topic_of(text, words) if topic is None else F.coalesce(topic.cast("string"), F.lit(""))
+    return docs.withColumn("_cell", F.struct(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), named.alias("topic"), words.alias("n_tokens")))
 
 
 def _targets(cells: DataFrame, name: str, given: DataFrame | None) -> DataFrame:
@@ -78,22 +81,28 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataF
     """Cells with tokens and their raked ``weight``; the weights add up to one.
 
     ``cells``: source, lang, topic, n_tokens. Runs a driver loop of one
-    checkpoint and one number a round.
+    checkpoint and one number a round, until the weights settle; weights that
+    do not within ``MOST_ROUNDS`` are an error.
     """
     targets = targets or {}
     fitted = cells.filter("n_tokens > 0")
     for name in DIMENSIONS:
         fitted = fitted.join(_targets(cells, name, targets.get(name)), name, "left").withColumn(f"{name}_target", F.coalesce(f"{name}_target", F.lit(0.0)))
     fitted = cut(fitted.withColumn("weight", F.col("n_tokens").cast("double")))
-    for _ in range(ROUNDS):
+    done = 0
+    while True:
         moved = fitted.withColumn("old", F.col("weight"))
         for name in DIMENSIONS:
             have = F.sum("weight").over(Window.partitionBy(name))
             moved = moved.withColumn("weight", F.when(have > 0, F.col("weight") * F.col(f"{name}_target") / have).otherwise(0.0))
         fitted = cut(moved)
-        worst = fitted.agg(F.max(F.abs(F.col("weight") - F.col("old")) / F.greatest("weight", F.lit(1e-300)))).first()[0]
-        if worst is None or worst < TOLERANCE:
+        moved_by = F.abs(F.col("weight") - F.col("old"))
+        relative, mass = fitted.agg(F.max(moved_by / F.greatest("weight", F.lit(1e-300))), F.max(moved_by)).first()
+        done += 1
+        if relative is None or relative < TOLERANCE or (done >= ROUNDS and mass < SETTLED):
             break
+        if done >= MOST_ROUNDS:
+            raise RuntimeError(f"raking still moves weights by {mass:.1e} after {done} rounds: the margins cannot all hold")
     return fitted.drop("old")
 
 
@@ -122,10 +131,10 @@ def uniform(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep_share: float = KEEP_SHARE, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
-    """(``docs`` with ``_cell``, ``_probability`` and ``_kept``, calibrated cells)."""
+def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep_share: float = KEEP_SHARE, seed: str = SEED, topic: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(``docs`` with ``_cell``, ``_probability`` and ``_kept``, calibrated cells). Columns of these names would be replaced; ``sample_documents`` keeps all."""
     prepare(docs.sparkSession)
-    placed = with_cells(docs)
+    placed = with_cells(docs.drop("_weight", "_probability"), topic)
     cells = cut(placed.groupBy(*(F.col(f"_cell.{n}").alias(n) for n in DIMENSIONS)).agg(F.sum("_cell.n_tokens").alias("n_tokens")))
     fitted = cut(calibrate(rake(cells, targets), keep_share))
     rates = fitted.select(F.struct(*DIMENSIONS).alias("_key"), F.col("weight").alias("_weight"), F.col("probability").alias("_probability"))
@@ -138,8 +147,9 @@ def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep_sha
 
 
 def sample_documents(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep_share: float = KEEP_SHARE, seed: str = SEED) -> DataFrame:
-    """The sampled rows of ``docs``, all its columns."""
-    return mixed(docs, targets, keep_share, seed)[0].filter("_kept").select(*docs.columns)
+    """The sampled rows of ``docs``, all its columns, whatever their names."""
+    packed = docs.select("doc_id", "text", "source", "lang", F.struct("*").alias("_row"))
+    return mixed(packed, targets, keep_share, seed)[0].filter("_kept").select("_row.*")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
