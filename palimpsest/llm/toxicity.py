@@ -248,13 +248,27 @@ def _score(model: Model, names: list[str]):
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` and ``toxic_score``; only ``text`` is read for it."""
+    """All columns of ``docs`` and ``toxic_score``, which replaces a column of that name; only ``text`` is read for it."""
     prepare(docs.sparkSession)
     base = docs.drop("toxic_score")
     schema = StructType([*base.schema.fields, StructField("toxic_score", DoubleType())])
     return base.mapInArrow(_score(model, base.columns), schema)
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, all columns as they are."""
+    prepare(docs.sparkSession)
+    where = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches()
+        scorer = model.scorer()
+        for batch in batches:
+            yield batch.filter(pa.array(scorer.scores(batch.column(where).to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Train on the labelled rows and score every row of ``docs``."""
     return score(docs, train(labelled_sample(docs, labels)))
