@@ -19,17 +19,21 @@ gram occurs again.
 3. A range sorts its suffixes by multikey quicksort, eight bytes a key. The
    common prefix with either neighbour bounds how far a window can repeat;
    windows within that bound are matched by 64-bit hash at each distance from
-   the anchor, and every one but the first in (doc_id, start) order is a repeat.
+   the anchor, and every one but the first in (doc_id, start) order is a repeat
+   if its bytes are those of the first. Were they not, the range would be
+   matched by bytes alone.
 4. Where one leading key fills more than one range, its suffixes are spread
    over them, and the first of each window in a range is compared across the
-   range boundaries by a keyed minimum.
+   range boundaries by a keyed minimum; the key is two independent hashes.
 5. Repeats of a document are united to runs and cut from its bytes.
 
 Null text counts as empty. A row without doc_id has no order and is left as it
 is. Equal rows are one document given twice: neither repeats the other, and
-both get the same result. Different texts of one doc_id are not told apart, so
-doc_id should be a key. Any document length works: long texts are worked on in
-overlapping pieces.
+both get the same result. Different texts of one doc_id stand one after the
+other in order of text, and no string crosses from one to the next; positions
+count through them, so a text that repeats one before it in its id goes. Any
+document length works: long texts are worked on in overlapping pieces. An
+empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -41,7 +45,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm import textbytes as tb
@@ -54,6 +58,10 @@ WIDE = LENGTH + SPAN - 1
 #: Bytes worked on at once; a position in a piece takes 20 bits.
 PIECE = 1 << 19
 SAMPLE = 256
+#: Anchors that a range is made for.
+RANGE = 200_000
+#: Rows that the sort orders by all their keys at once.
+FEW = 512
 PACKED = "kind int, bucket int, doc_id long, lead long, pack binary"
 FOUND, KNOWN, LEAD = 0, 1, 2
 
@@ -123,13 +131,13 @@ def _send_anchors(buckets: int):
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, off = tb.utf8(batch.column("text"))
-        ids = batch.column("doc_id").to_numpy()
+        ids, shift = batch.column("doc_id").to_numpy(), batch.column("shift").to_numpy()
         parts = []
         for lo, hi, a, b in _pieces(off):
             own = np.clip(off[lo : hi + 1], a, b) - a
             pos, _, _, gram = anchors(data[a:b], own)
             row = np.searchsorted(own, pos, "right") - 1
-            parts.append((gram, row + lo, pos + a - off[row + lo], _lead(data[a:b], pos) if len(pos) else np.zeros(0, np.int64)))
+            parts.append((gram, row + lo, pos + a - off[row + lo] + shift[row + lo], _lead(data[a:b], pos) if len(pos) else np.zeros(0, np.int64)))
         if not parts:
             return
         gram, row, pos, lead = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -161,15 +169,37 @@ def _send_anchors(buckets: int):
     return run
 
 
-def _keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, list[tuple]] = {}
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """Packs of one bucket after the other, as rows come in order of bucket."""
+    held, packs = None, []
     for batch in batches:
-        kind = batch.column("kind").to_numpy()
-        rest = batch.filter(pa.array(kind != FOUND))
-        if len(rest):
-            yield rest
-        mine = batch.filter(pa.array(kind == FOUND))
-        for bucket, pack in zip(mine.column("bucket").to_pylist(), mine.column("pack").to_pylist(), strict=True):
+        for bucket, pack in zip(batch.column("bucket").to_pylist(), batch.column("pack").to_pylist(), strict=True):
+            if bucket != held and packs:
+                yield held, packs
+                packs = []
+            held = bucket
+            packs.append(pack)
+    if packs:
+        yield held, packs
+
+
+def _keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of grams that occur twice and more. Rows come in order of (kind, bucket)."""
+    rest: list[pa.RecordBatch] = []
+
+    def found() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = batch.column("kind").to_numpy()
+            other = batch.filter(pa.array(kind != FOUND))
+            if len(other):
+                rest.append(other)
+            yield batch.filter(pa.array(kind == FOUND))
+
+    for _, packs in _buckets(found()):
+        while rest:
+            yield rest.pop()
+        parts = []
+        for pack in packs:
             n, m, k = (int(x) for x in np.frombuffer(pack, "<u4", 3))
             at = 12
 
@@ -184,14 +214,14 @@ def _keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             leads[s] = lead
             mark = np.zeros(n, bool)
             mark[s] = True
-            held.setdefault(bucket, []).append((high.astype(np.uint64) << tb.U(16) | low, ids[index], pos, many, mark, leads))
-    for parts in held.values():
+            parts.append((high.astype(np.uint64) << tb.U(16) | low, ids[index], pos, many, mark, leads))
         gram, doc, pos, many, mark, leads = (np.concatenate(x) for x in zip(*parts, strict=True))
         shared = pd.Series(gram).duplicated(keep=False).to_numpy() | many
         yield from _by_document(doc[shared], pos[shared])
-        found = leads[shared & mark]
-        if len(found):
-            yield _rows(LEAD, np.zeros(len(found)), np.zeros(len(found)), found, [b""] * len(found))
+        some = leads[shared & mark]
+        if len(some):
+            yield _rows(LEAD, np.zeros(len(some)), np.zeros(len(some)), some, [b""] * len(some))
+    yield from rest
 
 
 def _send_contexts(splitters: np.ndarray):
@@ -202,10 +232,11 @@ def _send_contexts(splitters: np.ndarray):
 
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data, off = tb.utf8(batch.column("text"))
-        ids = batch.column("doc_id").to_numpy()
+        ids, shift = batch.column("doc_id").to_numpy(), batch.column("shift").to_numpy()
         wanted = np.zeros(len(data) + 1, bool)
         for i, packs in enumerate(batch.column("packs").to_pylist()):
-            wanted[off[i] + np.frombuffer(b"".join(packs), "<u4").astype(np.int64)] = True
+            own = np.frombuffer(b"".join(packs), "<u4").astype(np.int64) - shift[i]
+            wanted[off[i] + own[(own >= 0) & (own < off[i + 1] - off[i])]] = True
         squeeze = zstandard.ZstdCompressor(level=1).compress
         parts = []
         for lo, hi, a, b in _pieces(off):
@@ -224,7 +255,7 @@ def _send_contexts(splitters: np.ndarray):
             left, right = np.searchsorted(splitters, lead, "left"), np.searchsorted(splitters, lead, "right")
             spread = right - left >= 2
             to = np.where(spread, left + (tb.mix(ids[row].astype(np.uint64)) % (right - left + 1).astype(np.uint64)).astype(np.int64), right)
-            parts.append((to, ids[row], first + a - off[row], pos - first, size, spread, ends, body))
+            parts.append((to, ids[row], first + a - off[row] + shift[row], pos - first, size, spread, ends, body))
         for to, doc, first, left, size, spread, ends, body in parts:
             order = np.argsort(to, kind="stable")
             used, cuts = np.unique(to[order], return_index=True)
@@ -242,31 +273,68 @@ def _send_contexts(splitters: np.ndarray):
 def multikey_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows of ``keys`` and, for each row in it, how many leading keys it shares with the row before.
 
-    Multikey quicksort, all ranges of a depth at once: rows are ordered by one
-    key, and only ranges of equal rows go on to the next.
+    Multikey quicksort: a range is parted in three by one key of a pivot row;
+    rows below and above it are parted again by the same key, equal ones by
+    the next. Ranges of at most ``FEW`` rows are ordered by all keys left.
     """
     n, depth = keys.shape
-    order = np.argsort(keys[:, 0], kind="stable")
+    order = np.arange(n)
+    todo = [(0, n, 0)]
+    while todo:
+        lo, hi, d = todo.pop()
+        if hi - lo < 2 or d == depth:
+            continue
+        rows = order[lo:hi]
+        if hi - lo <= FEW:
+            order[lo:hi] = rows[np.lexsort(keys[rows, d:].T[::-1])]
+            continue
+        value = keys[rows, d]
+        pivot = np.sort(value[:: len(value) // 63])[31]
+        below, above = value < pivot, value > pivot
+        i, j = lo + int(below.sum()), hi - int(above.sum())
+        order[lo:hi] = np.concatenate([rows[below], rows[~below & ~above], rows[above]])
+        todo += [(lo, i, d), (i, j, d + 1), (j, hi, d)]
     same = np.zeros(n, np.int64)
-    tied = keys[order[1:], 0] == keys[order[:-1], 0]
+    tied = np.ones(max(0, n - 1), bool)
     for d in range(depth):
-        same[1:][tied] = d + 1
-        if d + 1 == depth or not tied.any():
+        tied &= keys[order[1:], d] == keys[order[:-1], d]
+        if not tied.any():
             break
-        inside = np.append(False, tied) | np.append(tied, False)
-        at = np.flatnonzero(inside)
-        group = np.cumsum(~np.append(False, tied))[at]
-        rank = np.lexsort((keys[order[at], d + 1], group))
-        order[at] = order[at][rank]
-        still = np.zeros(n - 1, bool)
-        pair = np.flatnonzero(tied)
-        still[pair] = keys[order[pair + 1], d + 1] == keys[order[pair], d + 1]
-        tied = still
+        same[1:] += tied
     return order, same
 
 
-def repeats_in_range(doc: np.ndarray, first: np.ndarray, left: np.ndarray, size: np.ndarray, spread: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs (doc, first start, last start) of repeated windows, and (hash, doc, start) of open first windows of spread keys."""
+def _first_of(values: np.ndarray) -> np.ndarray:
+    """For each value the place where it stands first."""
+    codes, every = pd.factorize(values)
+    first = np.empty(len(every), np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    return first[codes]
+
+
+def _unequal(grid: np.ndarray, refs: np.ndarray) -> bool:
+    """Whether some window that was matched differs in a byte from the one it was matched with; ``refs`` is (context, distance)."""
+    some = refs >= 0
+    head, tail = some.copy(), some.copy()
+    head[:, 1:] &= refs[:, 1:] != refs[:, :-1]
+    tail[:, :-1] &= refs[:, :-1] != refs[:, 1:]
+    who, near = np.nonzero(head)
+    far = np.nonzero(tail)[1]
+    for lo in range(0, len(who), 8192):
+        a, t0, t1 = who[lo : lo + 8192], near[lo : lo + 8192], far[lo : lo + 8192]
+        differ = np.zeros((WIDE + 1, len(a)), np.int16)
+        np.cumsum(grid[:, a] != grid[:, refs[a, t0]], axis=0, dtype=np.int16, out=differ[1:])
+        each = np.arange(len(a))
+        if (differ[SPAN - 1 - t0 + LENGTH, each] != differ[SPAN - 1 - t1, each]).any():
+            return True
+    return False
+
+
+def repeats_in_range(
+    doc: np.ndarray, first: np.ndarray, left: np.ndarray, size: np.ndarray, spread: np.ndarray, body: np.ndarray, by_bytes: bool = False
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs (doc, first start, last start) of repeated windows, and (both hashes, doc, start) of open first windows of spread keys."""
+    given = doc, first, left, size, spread, body
     none = np.zeros(0, np.int64)
     n = len(doc)
     order = np.lexsort((first + left, doc))
@@ -300,23 +368,42 @@ def repeats_in_range(doc: np.ndarray, first: np.ndarray, left: np.ndarray, size:
         return none, none, none, (none, none, none)
     doc, first, left, low, spread, grid = doc[alive], first[alive], left[alive], low[alive], spread[alive], np.ascontiguousarray(grid[:, alive])
     value = tb.BYTE_VALUE
-    roll = np.zeros(len(alive), np.uint64)
+    other, dealt = tb.mix(tb.BYTE_VALUE), np.flatnonzero(spread)
+    place = np.zeros(len(alive), np.int64)
+    place[dealt] = np.arange(len(dealt))
+    roll, roll2 = np.zeros(len(alive), np.uint64), np.zeros(len(dealt), np.uint64)
     for j in range(LENGTH - 1, -1, -1):
         roll = roll * tb.U(tb.BASE) + value[grid[SPAN - 1 + j]]
+        roll2 = roll2 * tb.U(tb.BASE) + other[grid[SPAN - 1 + j, dealt]]
     top = tb.U(pow(tb.BASE, LENGTH, 1 << 64))
     again = np.zeros((SPAN + 2, len(alive)), bool)
+    refs = np.full((len(alive), SPAN), -1, np.int32)
     opened = []
     for t in range(SPAN):
         if t:
-            roll = roll * tb.U(tb.BASE) + value[grid[SPAN - 1 - t]] - value[grid[SPAN - 1 - t + LENGTH]] * top
+            new, old = grid[SPAN - 1 - t], grid[SPAN - 1 - t + LENGTH]
+            roll = roll * tb.U(tb.BASE) + value[new] - value[old] * top
+            roll2 = roll2 * tb.U(tb.BASE) + other[new[dealt]] - other[old[dealt]] * top
         at = np.flatnonzero((low <= t) & (t <= left))
         if len(at):
-            hashed = tb.mix(roll[at] + tb.U(t * 0x2545F4914F6CDD1D & (1 << 64) - 1))
-            twin = pd.Series(hashed).duplicated().to_numpy()
+            salt = tb.U(t * 0x2545F4914F6CDD1D & (1 << 64) - 1)
+            hashed = tb.mix(roll[at] + salt)
+            if by_bytes:
+                windows = np.ascontiguousarray(grid[SPAN - 1 - t : SPAN - 1 - t + LENGTH, at].T).view(f"V{LENGTH}").ravel()
+                _, head, group = np.unique(windows, return_index=True, return_inverse=True)
+                ref = head[group]
+            else:
+                ref = _first_of(hashed)
+            twin = ref != np.arange(len(at))
             again[t + 1, at] = twin
+            refs[at[twin], t] = at[ref[twin]]
             lone = ~twin & spread[at]
             if lone.any():
-                opened.append((hashed[lone].view(np.int64), doc[at[lone]], first[at[lone]] + left[at[lone]] - t))
+                second = tb.mix(roll2[place[at[lone]]] + salt)
+                key = np.ascontiguousarray(np.stack([hashed[lone], second], axis=1)).view("V16").ravel()
+                opened.append((key, doc[at[lone]], first[at[lone]] + left[at[lone]] - t))
+    if not by_bytes and _unequal(grid, refs):
+        return repeats_in_range(*given, by_bytes=True)
     step = again[1:].astype(np.int8) - again[:-1].astype(np.int8)
     who, begin = np.nonzero(step.T == 1)
     _, end = np.nonzero(step.T == -1)
@@ -325,60 +412,75 @@ def repeats_in_range(doc: np.ndarray, first: np.ndarray, left: np.ndarray, size:
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, list[bytes]] = {}
+    """Repeats of one range after the other. Rows come in order of bucket."""
     expand = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
-        for bucket, pack in zip(batch.column("bucket").to_pylist(), batch.column("pack").to_pylist(), strict=True):
-            held.setdefault(bucket, []).append(pack)
-    while held:
-        _, packs = held.popitem()
+    for _, packs in _buckets(batches):
         columns = []
         for squeezed in packs:
             pack = expand(squeezed)
             n = int(np.frombuffer(pack, "<u4", 1)[0])
             columns.append((np.frombuffer(pack, "<i8", n, 4), np.frombuffer(pack, "<u4", n, 4 + 8 * n), np.frombuffer(pack, "u1", n, 4 + 12 * n), np.frombuffer(pack, "u1", n, 4 + 13 * n), np.frombuffer(pack, "?", n, 4 + 14 * n), np.frombuffer(pack, "u1", -1, 4 + 15 * n)))
         doc, first, left, size, spread, body = (np.concatenate(x) for x in zip(*columns, strict=True))
-        del packs, columns
+        del columns
         who, lo, hi, (key, odoc, start) = repeats_in_range(doc, first.astype(np.int64), left.astype(np.int64), size.astype(np.int64), spread, body)
-        for d, a, b, k in ((who, lo, hi, np.zeros(len(who), np.int64)), (odoc, start, start, key)):
+        for d, a, b, keys in ((who, lo, hi, None), (odoc, start, start, key)):
             if len(d):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), k is key)), pa.array(k), pa.array(d), pa.array(a), pa.array(b)], ["open", "key", "doc_id", "lo", "hi"])
+                told = pa.nulls(len(d), pa.binary()) if keys is None else pa.array(keys.tolist(), pa.binary())
+                yield pa.RecordBatch.from_arrays([told, pa.array(d), pa.array(a), pa.array(b)], ["key", "doc_id", "lo", "hi"])
+
+
+def with_shift(texts: DataFrame) -> DataFrame:
+    """Adds ``shift``: where a row's text begins among the different texts of its doc_id, 0 where there is one."""
+    body = F.coalesce("text", F.lit(""))
+    marked = texts.withColumn("mark", F.xxhash64(body))
+    several = marked.groupBy("doc_id").agg(F.min("mark").alias("least"), F.max("mark").alias("most")).filter("least < most").select("doc_id")
+    several = cut(several)
+    if several.isEmpty():
+        return texts.withColumn("shift", F.lit(0).cast("long"))
+    before = Window.partitionBy("doc_id").orderBy("body").rowsBetween(Window.unboundedPreceding, -1)
+    once = marked.join(several, "doc_id", "left_semi").select("doc_id", "mark", body.alias("body")).distinct()
+    shifts = cut(once.select("doc_id", "mark", F.coalesce(F.sum(F.octet_length("body")).over(before), F.lit(0)).cast("long").alias("shift")))
+    return marked.join(shifts, ["doc_id", "mark"], "left").select("doc_id", "text", F.coalesce("shift", F.lit(0).cast("long")).alias("shift"))
 
 
 def repeated_windows(texts: DataFrame) -> DataFrame:
-    """(doc_id, lo, hi): runs of starts of 100-byte windows that also start earlier. ``texts`` has doc_id and text."""
+    """(doc_id, lo, hi): runs of starts of 100-byte windows that also start earlier. ``texts`` has doc_id, text and shift."""
     spark = prepare(texts.sparkSession)
     width = shuffle_width(spark)
     long_enough = texts.filter(F.octet_length("text") >= LENGTH)
-    shared = cut(long_enough.mapInArrow(_send_anchors(width), PACKED).repartition(width, "bucket").mapInArrow(_keep_shared, PACKED))
+    shared = cut(long_enough.mapInArrow(_send_anchors(width), PACKED).repartition(width, "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_keep_shared, PACKED))
+    anchors_left = shared.filter(F.col("kind") == KNOWN).agg(F.sum(F.octet_length("pack"))).first()[0] or 0
+    ranges = max(width, -(-anchors_left // (4 * RANGE)))
     # as many numbers as there are ranges
-    shares = [i / width for i in range(1, width)]
-    found = shared.filter(F.col("kind") == LEAD).agg(F.percentile_approx("lead", shares, 10_000).alias("s")).first()["s"] if shares else None
+    shares = [i / ranges for i in range(1, ranges)]
+    found = shared.filter(F.col("kind") == LEAD).agg(F.percentile_approx("lead", shares, max(10_000, 20 * ranges)).alias("s")).first()["s"] if shares else None
     release(spark)
     splitters = np.array(found or [], np.int64)
     wanted = shared.filter(F.col("kind") == KNOWN).groupBy("doc_id").agg(F.collect_list("pack").alias("packs"))
-    contexts = long_enough.join(wanted, "doc_id").select("doc_id", "text", "packs").mapInArrow(_send_contexts(splitters), PACKED)
+    contexts = long_enough.join(wanted, "doc_id").select("doc_id", "text", "shift", "packs").mapInArrow(_send_contexts(splitters), PACKED)
     del shared, wanted
-    matched = cut(contexts.repartition(width, "bucket").mapInArrow(_match, "open boolean, key long, doc_id long, lo long, hi long"))
+    matched = cut(contexts.repartition(ranges, "bucket").sortWithinPartitions("bucket").mapInArrow(_match, "key binary, doc_id long, lo long, hi long"))
     del contexts
     release(spark)
-    across = matched.filter("open").select("key", "doc_id", "lo")
+    across = matched.filter("key is not null").select("key", "doc_id", "lo")
     least = across.groupBy("key").agg(F.min(F.struct("doc_id", "lo")).alias("least"))
     late = across.join(least, "key").filter(F.struct("doc_id", "lo") > F.col("least")).select("doc_id", "lo", F.col("lo").alias("hi"))
-    return matched.filter("not open").select("doc_id", "lo", "hi").union(late)
+    return matched.filter("key is null").select("doc_id", "lo", "hi").union(late)
 
 
 def _cut_out(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sizes, gone, spans, digests, kept_bytes = batch.column("doc_id"), [], [], [], [], []
-            for text, los, his in zip(batch.column("text").to_pylist(), batch.column("lo").to_pylist(), batch.column("hi").to_pylist(), strict=True):
+            for text, shift, los, his in zip(*(batch.column(n).to_pylist() for n in ("text", "shift", "lo", "hi")), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 n, removed, runs = len(raw), 0, 0
                 if los:
+                    starts, stops = np.array(los) - shift, np.array(his) - shift + LENGTH
+                    own = (starts >= 0) & (stops <= n)
                     edge = np.zeros(n + 1, np.int32)
-                    np.add.at(edge, np.array(los), 1)
-                    np.add.at(edge, np.array(his) + LENGTH, -1)
+                    np.add.at(edge, starts[own], 1)
+                    np.add.at(edge, stops[own], -1)
                     drop = np.cumsum(edge[:-1]) > 0
                     removed, runs = int(drop.sum()), int((drop & ~np.append(False, drop[:-1])).sum())
                     raw = np.frombuffer(raw, np.uint8)[~drop].tobytes()
@@ -397,10 +499,10 @@ def _cut_out(with_text: bool):
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row for each document: sizes, removed bytes and runs, digest of what is left, and that itself if asked for (bytes: a cut may split a character)."""
-    texts = one_text_per_id(docs, id_col, text_col)
+    texts = with_shift(one_text_per_id(docs, id_col, text_col))
     runs = repeated_windows(texts.filter("doc_id is not null")).groupBy("doc_id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return texts.join(runs, "doc_id", "left").select("doc_id", "text", "lo", "hi").mapInArrow(_cut_out(with_text), schema)
+    return texts.join(runs, "doc_id", "left").select("doc_id", "text", "shift", "lo", "hi").mapInArrow(_cut_out(with_text), schema)
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
