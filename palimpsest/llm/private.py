@@ -1,27 +1,38 @@
 """Personal data: detected entities get keyed surrogates of the same type and format.
 
-Kinds: email, phone, ipv4, card, ssn, iban, secret (quoted value of a token,
-key or password) and person (a title and one to three capitalised names).
+Kinds: email, phone, ipv4, ipv6, card, ssn, iban, secret (value of a token, key
+or password, quoted, or with a digit and eight characters) and person (a title
+and one to three capitalised names; other mentions of that name, and of its
+last part, in the same text are the same person).
 
 An entity is its kind and its normal form (case and separators aside), so all
 spellings of one entity, in all documents, get one surrogate (coreference).
+Persons are told by name: a title that says nothing of gender takes the gender
+that other titles of the name say in the corpus, the one said in more documents
+where both are. Mr Kim and Ms Kim are two persons.
 
 Surrogates of all kinds but person are values of a keyed permutation without
 fixed points over the strings of the same format: which characters are digits,
 lower or upper letters stays, as do separators, the country code of a phone
-number, the country of an IBAN, the last label of a mail domain and the Luhn
-property of a card number. Mail domains are mapped by themselves, so addresses
-of one domain stay together. Persons get made-up names of the gender that the
-title tells and of the script of the name, from the HMAC of the normal form.
+number, the country of an IBAN, the last label of a mail domain, the Luhn
+property of a card number and the check digits of an IBAN that has them right.
+Mail domains are mapped by themselves, so addresses of one domain stay
+together. Persons get made-up names of their gender and of the script of the
+name, from the HMAC of the normal form.
 
 Distinctness: the distinct entities of the corpus are counted by surrogate;
-where two share one, or a surrogate is another entity's own value for a person,
+where two share one, or a surrogate is the value of an entity of the corpus,
 all but the least normal form take the next attempt, until none is shared.
-Only these exceptions are looked up when texts are rewritten; all other
-surrogates follow from the key alone. Up to ``MAX_SENT`` exceptions are sent
-to the tasks; more are joined to their documents.
+Made-up names grow with the attempt, so there are always enough. Only these
+exceptions, and names that take another title's gender, are looked up when
+texts are rewritten; all other surrogates follow from the key alone. Up to
+``MAX_SENT`` of them are sent to the tasks; more are joined to their documents.
 
-Null text stays null and has no entities; every input row gives one row.
+The key is the caller's, or one drawn once and kept in the shared folder.
+
+Null text stays null and has no entities; every input row gives one row, also
+repeated rows and those without a doc_id. An empty table gives no rows; extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -29,17 +40,20 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import secrets
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.runtime import cut, prepare
+from palimpsest.llm.runtime import cut, prepare, shared_dir
 
-DEFAULT_KEY = b"change me per corpus"
 MAX_SENT = 50_000
+#: Rounds of attempts without fewer collisions after which the values of some format must be used up.
+STUCK = 50
 
 #: Titles and the gender they tell (m, f, or x for unknown).
 TITLES = {"Mr": "m", "Mister": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Sir": "m", "Господин": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Mme": "f", "Madame": "f", "Mlle": "f", "Señora": "f", "Señorita": "f", "Sra": "f", "Lady": "f", "Госпожа": "f", "Dr": "x", "Prof": "x"}
@@ -52,16 +66,17 @@ PARTS = {
 
 _NAME = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-Я][\w'’-]*[a-zà-öø-ÿα-ωа-я]"
 PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "card": re.compile(r"(?<![\w.-])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![\w-])"),
+    "ipv6": re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])"),
     "ipv4": re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\w|\.[0-9])"),
     "ssn": re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
-    "phone": re.compile(r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3}(?![\w-])"),
-    "secret": re.compile(r"""(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*["']([^"'\s]{6,})["']"""),
+    "phone": re.compile(r"(?<![\w+])(?:\+[0-9]{9,15}|(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3})(?![\w-])"),
+    "secret": re.compile(r"""(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*(?:["']([^"'\s]{6,})["']|((?=[^\s"']*[0-9])[^\s"',;]{8,}))"""),
     "person": re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\.? ({_NAME}(?: {_NAME}){{0,2}})"),
 }
-DIGIT_KINDS = ("iban", "card", "ipv4", "ssn", "phone")
+DIGIT_KINDS = ("iban", "card", "ipv6", "ipv4", "ssn", "phone")
 
 
 def _luhn(digits: str) -> bool:
@@ -72,32 +87,56 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _iban_ok(value: str) -> bool:
+    return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
+
+
 def find(text: str) -> list[tuple[int, int, str, str, str]]:
-    """(start, end, kind, normal form, gender), in order, without overlap; earlier kinds of PATTERNS win."""
+    """(start, end, kind, normal form, gender), in order, without overlap; earlier kinds of PATTERNS win.
+
+    The normal form of a mention of a person's last name alone is that of the
+    person and ``\x1f``; its surrogate is the last part of the person's.
+    """
     found: list[tuple[int, int, str, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    starts: list[int] = []
 
     def add(kind: str, a: int, b: int, normal: str, gender: str = "") -> None:
-        if all(b <= x or a >= y for x, y in taken):
-            taken.append((a, b))
-            found.append((a, b, kind, normal, gender))
+        # spans are kept in order and apart, so only the neighbours can overlap
+        i = bisect_left(starts, a)
+        if (i == 0 or found[i - 1][1] <= a) and (i == len(starts) or starts[i] >= b):
+            starts.insert(i, a)
+            found.insert(i, (a, b, kind, normal, gender))
 
     if "@" in text:
         for m in PATTERNS["email"].finditer(text):
             add("email", *m.span(), m[0].lower())
-    for m in PATTERNS["secret"].finditer(text) if '"' in text or "'" in text else ():
-        add("secret", *m.span(1), m[1])
+    for m in PATTERNS["secret"].finditer(text) if "=" in text or ":" in text else ():
+        k = 1 if m[1] else 2
+        add("secret", *m.span(k), m[k])
     if any(c in text for c in "0123456789"):
         for kind in DIGIT_KINDS:
             for m in PATTERNS[kind].finditer(text):
                 if kind != "phone" or sum(c.isdigit() for c in m[0]) >= 9:
-                    normal = m[0] if kind == "ipv4" else re.sub(r"[^0-9A-Za-z+]", "", m[0])
+                    normal = m[0].lower() if kind.startswith("ip") else re.sub(r"[^0-9A-Za-z+]", "", m[0])
                     add(kind, *m.span(), normal)
     if any(t in text for t in TITLES):
-        for m in PATTERNS["person"].finditer(text):
-            title = re.match(r"\w+", m[0])[0]
-            add("person", *m.span(1), m[1].lower(), TITLES[title])
-    return sorted(found)
+        titled = list(PATTERNS["person"].finditer(text))
+        said: dict[str, str] = {}
+        for m in titled:
+            gender = TITLES[re.match(r"\w+", m[0])[0]]
+            said[m[1]] = gender if said.get(m[1], "x") == "x" else said[m[1]]
+        for m in titled:
+            own = TITLES[re.match(r"\w+", m[0])[0]]
+            add("person", *m.span(1), m[1].lower(), said[m[1]] if own == "x" else own)
+        # untitled mentions: of the whole name, then of its last part alone
+        last = {name.rpartition(" ")[2]: name for name in sorted(said, reverse=True) if " " in name}
+        for names in (said, last):
+            if names:
+                every = "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True))
+                for m in re.finditer(rf"(?<!\w)(?:{every})(?!\w)", text):
+                    name = m[0] if names is said else last[m[0]]
+                    add("person", *m.span(), name.lower() + ("" if names is said else "\x1f"), said[name])
+    return found
 
 
 # ---------------------------------------------------------------- surrogates
@@ -186,7 +225,7 @@ def _person(key: bytes, name: str, gender: str, attempt: int) -> str:
             n, k = divmod(n, len(options))
             return options[k]
 
-        stem = "".join(pick(onsets) + pick(vowels) for _ in range(2 + n % 2)) + pick(onsets)
+        stem = "".join(pick(onsets) + pick(vowels) for _ in range(2 + n % 2 + attempt // 2)) + pick(onsets)
         last = i == len(name.split(" ")) - 1 and i > 0
         out.append((stem + (pick(vowels) if last else pick(endings[gender or "x"]))).capitalize())
     return " ".join(out)
@@ -213,11 +252,17 @@ def surrogate(key: bytes, kind: str, normal: str, gender: str = "", attempt: int
         lead = plus[0] if plus else ""
         return lead + same_format(key, f"{tweak}{lead}", normal[len(lead) :])
     if kind == "iban":
-        return normal[:2] + same_format(key, tweak + normal[:2], normal[2:])
+        body = same_format(key, tweak + normal[:2], normal[4:])
+        if _iban_ok(normal):
+            return next(x for x in (f"{normal[:2]}{98 - i:02d}{body}" for i in range(97)) if _iban_ok(x))
+        return normal[:2] + same_format(key, f"{tweak}check", normal[2:4]) + body
+    if kind == "ipv6":
+        return ":".join(_hexadecimal(key + f"{attempt}/{i}".encode(), part.rjust(4, "0")) for i, part in enumerate(normal.split(":")))
     if kind == "secret":
         return _hexadecimal(key + str(attempt).encode(), normal) or same_format(key, tweak, normal)
     if kind == "person":
-        return _person(key, normal, gender, attempt)
+        whole = _person(key, normal.rstrip("\x1f"), gender, attempt)
+        return whole.rpartition(" ")[2] if normal.endswith("\x1f") else whole
     return same_format(key, tweak, normal)
 
 
@@ -236,12 +281,19 @@ def _cached(key: bytes, kind: str, normal: str, gender: str, attempt: int) -> st
     return surrogate(key, kind, normal, gender, attempt)
 
 
-def rewrite(text: str | None, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str | None, list[dict]]:
+def entity_of(kind: str, normal: str, gender: str) -> str:
+    """The name that an entity is known by: gender/normal form, for a person's last part that of the person."""
+    return f"{gender}/{normal.rstrip(chr(31))}" if kind == "person" else f"/{normal}"
+
+
+def rewrite(text: str | None, key: bytes, told: dict[tuple[str, str], tuple[str, int]]) -> tuple[str | None, list[dict]]:
+    """The text with surrogates; ``told`` gives exceptions: the gender to go by and the attempt."""
     if not text:
         return text, []
     out, at, said = [], 0, []
     for a, b, kind, normal, gender in find(text):
-        new = dressed(kind, text[a:b], _cached(key, kind, normal, gender if kind == "person" else "", attempts.get((kind, f"{gender}/{normal}"), 0)))
+        as_gender, attempt = told.get((kind, entity_of(kind, normal, gender)), (gender, 0))
+        new = dressed(kind, text[a:b], _cached(key, kind, normal, as_gender if kind == "person" else "", attempt))
         out += [text[at:a], new]
         said.append({"kind": kind, "start": a, "length": b - a, "surrogate": new})
         at = b
@@ -251,11 +303,24 @@ def rewrite(text: str | None, key: bytes, attempts: dict[tuple[str, str], int])
 # ---------------------------------------------------------------- on DataFrames
 
 
+def stored_key(spark: SparkSession) -> bytes:
+    """The key in the shared folder; drawn and written there if there is none."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = f"{shared_dir(spark).rstrip('/')}/surrogate-key"
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(conf)
+    if not store.exists(at):
+        out = store.create(at, True)
+        out.writeBytes(secrets.token_hex(32))
+        out.close()
+    return bytes.fromhex(spark.read.text(path).first()["value"])
+
+
 def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kinds, names, docs = [], [], []
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            for kind, name in sorted({(k, f"{g}/{n}") for _, _, k, n, g in find(text or "")}):
+            for kind, name in sorted({(k, entity_of(k, n, g)) for _, _, k, n, g in find(text or "")}):
                 kinds.append(kind)
                 names.append(name)
                 docs.append(doc)
@@ -274,31 +339,43 @@ def _assign(key: bytes):
     return run
 
 
-def assignments(entities: DataFrame, key: bytes = DEFAULT_KEY, rounds: int = 20) -> DataFrame:
-    """(kind, name, attempt, surrogate): distinct surrogates for distinct entities; ``name`` is gender/normal form."""
+def genders(entities: DataFrame) -> DataFrame:
+    """(kind, name, entity): persons whose title says nothing of gender, as the person of that name of whom titles do; the gender said in more documents, m before f where both are as often."""
+    person = entities.filter("kind = 'person'").groupBy("name").agg(F.count(F.lit(1)).alias("n")).withColumn("normal", F.expr("substring(name, 3)"))
+    unknown = person.filter("name like 'x/%'").select("normal", "name")
+    told = person.filter("name not like 'x/%'").groupBy("normal").agg(F.min(F.struct((-F.col("n")).alias("least"), (F.left("name", F.lit(1)) != "m").alias("later"), F.col("name").alias("entity"))).alias("best"))
+    return unknown.join(told, "normal").select(F.lit("person").alias("kind"), "name", F.col("best.entity").alias("entity"))
+
+
+def assignments(entities: DataFrame, key: bytes) -> DataFrame:
+    """(kind, name, attempt, surrogate): distinct surrogates for distinct entities; ``name`` is gender/normal form. No surrogate is the value of an entity."""
     schema = "kind string, name string, attempt int, surrogate string"
-    found = entities.select("kind", "name").distinct()
+    found = entities.select("kind", "name").distinct().repartition("kind", "name")
     given = cut(found.withColumn("attempt", F.lit(0)).mapInArrow(_assign(key), schema))
-    own = given.filter("kind = 'person'").select("kind", F.substring_index("name", "/", -1).alias("surrogate"))
-    for _ in range(rounds):
+    own = given.select("kind", F.expr("substring(name, instr(name, '/') + 1)").alias("surrogate")).distinct()
+    least_seen, stuck = None, 0
+    while True:
         least = given.groupBy("kind", "surrogate").agg(F.min("name").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
         taken = given.join(least, ["kind", "surrogate"]).filter("name <> first").select("kind", "name")
         taken = cut(taken.union(given.join(own, ["kind", "surrogate"], "left_semi").select("kind", "name")).distinct())
-        if taken.isEmpty():
+        n = taken.count()
+        if not n:
             return given
+        least_seen, stuck = (n, 0) if least_seen is None or n < least_seen else (least_seen, stuck + 1)
+        if stuck > STUCK:
+            raise RuntimeError(f"{n} entities are of formats whose values are used up")
         again = given.join(taken, ["kind", "name"]).select("kind", "name", (F.col("attempt") + 1).alias("attempt")).mapInArrow(_assign(key), schema)
         given = cut(given.join(taken, ["kind", "name"], "left_anti").unionByName(again))
-    raise RuntimeError("surrogates still collide; widen the spaces of names")
 
 
-def _apply(key: bytes, sent: dict[tuple[str, str], int]):
+def _apply(key: bytes, sent: dict[tuple[str, str], tuple[str, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         item = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32()), ("surrogate", pa.string())])
         for batch in batches:
             texts, items = [], []
             own = batch.column("own").to_pylist() if "own" in batch.schema.names else [None] * len(batch)
             for text, mine in zip(batch.column("text").to_pylist(), own, strict=True):
-                new, said = rewrite(text, key, {(x["kind"], x["name"]): x["attempt"] for x in mine} if mine else sent)
+                new, said = rewrite(text, key, {(x["kind"], x["name"]): (x["gender"], x["attempt"]) for x in mine} if mine else sent)
                 texts.append(new)
                 items.append(said)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(items, pa.list_(item))], ["doc_id", "text", "entities"])
@@ -306,17 +383,23 @@ def _apply(key: bytes, sent: dict[tuple[str, str], int]):
     return run
 
 
-def replace_private(docs: DataFrame, key: bytes = DEFAULT_KEY, id_col: str = "doc_id", text_col: str = "text", max_sent: int = MAX_SENT) -> DataFrame:
+def replace_private(docs: DataFrame, key: bytes | None = None, id_col: str = "doc_id", text_col: str = "text", max_sent: int = MAX_SENT) -> DataFrame:
     """(doc_id, text, entities): each text with surrogates, and kind, start (in the input), length and surrogate of each."""
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
+    key = key or stored_key(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     seen = cut(texts.mapInArrow(_detect, "doc_id long, kind string, name string"))
-    moved = cut(assignments(seen, key).filter("attempt > 0").select("kind", "name", "attempt"))
+    told = cut(genders(seen))
+    entities = seen.join(told, ["kind", "name"], "left").select("kind", F.coalesce("entity", "name").alias("name"))
+    given = assignments(entities, key).select("kind", F.col("name").alias("entity"), "attempt")
+    other = told.join(given, ["kind", "entity"])
+    plain = given.filter("attempt > 0").select("kind", F.col("entity").alias("name"), "entity", "attempt")
+    moved = cut(other.select("kind", "name", "entity", "attempt").union(plain).select("kind", "name", F.substring_index("entity", "/", 1).alias("gender"), "attempt"))
     schema = "doc_id long, text string, entities array<struct<kind:string,start:int,length:int,surrogate:string>>"
     few = moved.limit(max_sent + 1).collect()
     if len(few) <= max_sent:
-        return texts.mapInArrow(_apply(key, {(r["kind"], r["name"]): r["attempt"] for r in few}), schema)
-    own = seen.join(moved, ["kind", "name"]).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "name", "attempt")).alias("own"))
+        return texts.mapInArrow(_apply(key, {(r["kind"], r["name"]): (r["gender"], r["attempt"]) for r in few}), schema)
+    own = seen.join(moved, ["kind", "name"]).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "name", "gender", "attempt")).alias("own"))
     return texts.join(own, "doc_id", "left").mapInArrow(_apply(key, {}), schema)
 
 
