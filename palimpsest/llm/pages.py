@@ -14,9 +14,14 @@ adverts, forms, comments and several kinds of article markup.
 
 Text: character references are decoded, white space within a block becomes one
 space, blocks stand in page order with an empty line between. Scripts, styles,
-templates and comments are never text. ``br`` is white space; elements that
-HTML closes by itself (p, li, td, ...) are closed as HTML says. Null, empty and
-unparsable pages give an empty text. Every row of the input gives one row.
+templates, frames, comments and what is typed or chosen in forms are never
+text; formulas, and what stands in for an object that is not shown, are. ``br``
+is white space; elements that HTML closes by itself (p, li, td, ...) are closed
+as HTML says. A tag whose quotes do not close before the next tag ends at its
+first ``>``. Reading takes time in proportion to the page. Null, empty and
+unparsable pages give an empty text. Every row of the input gives one row, also
+repeated ones and those without an id; an empty table gives none, and extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -37,7 +43,7 @@ from palimpsest.llm.labelled import labelled_pages
 from palimpsest.llm.runtime import prepare
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe svg math textarea select object canvas audio video".split())
+RAW = frozenset("script style template iframe textarea select".split())
 BLOCK = frozenset(
     "html head body article aside main section nav header footer div p ul ol li dl dt dd h1 h2 h3 h4 h5 h6 table caption thead tbody tfoot tr td th blockquote pre figure figcaption form fieldset legend address details summary hgroup center dialog title button label".split()
 )
@@ -46,13 +52,16 @@ ENDS_P = BLOCK - frozenset("html head body title button label caption thead tbod
 #: Opening the key ends the nearest open element of the value, not beyond the bounds.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "thead": {"tbody"}, "option": {"option"}, "body": {"head", "title"}}
 BOUNDS = frozenset("table ul ol dl article section div body html".split())
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|</([a-zA-Z][^\s>]*)[^>]*>|<[!?][^>]*>|([^<]+|<)""", re.S)
+P_BOUNDS = frozenset({"table", "td", "th", "button"})
+TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/><]*)((?:"[^"<]*"|'[^'<]*'|[^>"'<])*)>|<([a-zA-Z][^\s/><]*)([^<>]*)>?|</([a-zA-Z][^\s><]*)[^><]*>?|<[!?][^>]*>|([^<]+|<)""", re.S
+)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(\bhidden\b)""")
 WORD = re.compile(r"[a-z]+")
 
 #: Words of class, id and role, by what they say of an element.
 HINTS = {
-    "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toc tabs",
+    "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toc",
     "page": "header masthead topbar footer foot bottom colophon copyright legal branding logo",
     "side": "sidebar side aside rail widget widgets related recommended recommendations complementary more trending popular tags meta",
     "notice": "notice cookie cookies consent gdpr banner alert popup modal overlay warning message toast",
@@ -77,87 +86,96 @@ class Node:
     inside: int = 0
 
 
-def parse(page: str) -> list[Node]:
-    """Block elements of a page in document order, the root first."""
-    nodes = [Node("#root", -1)]
-    stack: list[tuple[str, int]] = [("#root", 0)]
-    links, order, at, raw = 0, 0, 0, TOKEN.match
-    size = len(page)
+class _Stack:
+    """Open elements, with how often each name is open, so that what is not open is not looked for."""
+
+    def __init__(self):
+        self.items: list[tuple[str, int]] = [("#root", 0)]
+        self.open: Counter[str] = Counter()
+
+    def push(self, tag: str, node: int) -> None:
+        self.items.append((tag, node))
+        self.open[tag] += 1
 
-    def close(name: str) -> None:
-        nonlocal links
+    def close(self, name: str) -> None:
         while True:
-            tag, _ = stack.pop()
-            links -= tag == "a"
+            tag, _ = self.items.pop()
+            self.open[tag] -= 1
             if tag == name:
                 return
 
-    def nearest(names: set[str] | frozenset[str], bounds: frozenset[str]) -> str | None:
-        for tag, _ in reversed(stack):
+    def nearest(self, names: set[str] | frozenset[str], bounds: frozenset[str]) -> str | None:
+        if not any(self.open[n] for n in names):
+            return None
+        for tag, _ in reversed(self.items):
             if tag in names:
                 return tag
             if tag in bounds:
                 return None
         return None
 
-    fresh = True
+
+def _said(attributes: str) -> tuple[tuple[str, ...], bool]:
+    """What class, id and role of an element hint at, and whether it is hidden."""
+    said, hidden = [], False
+    for name, a, b, c, flag in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), (a or b or c).lower()
+        if name in ("class", "id", "role"):
+            said += [HINT_OF[w] for w in WORD.findall(value) if w in HINT_OF]
+        elif flag or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+            hidden = True
+    return tuple(sorted(set(said))), hidden
+
+
+def parse(page: str) -> list[Node]:
+    """Block elements of a page in document order, the root first."""
+    nodes = [Node("#root", -1)]
+    stack, order, at, size, fresh = _Stack(), 0, 0, len(page), True
     while at < size:
-        m = raw(page, at)
-        if m is None:
-            break
+        m = TOKEN.match(page, at)
         at = m.end()
-        tag = m[1]
-        if m[4] is not None:
-            top = stack[-1][1]
-            runs = nodes[top].runs
+        tag, top = m[1] or m[3], stack.items[-1][1]
+        runs = nodes[top].runs
+        if m[6] is not None:
             if fresh or not runs:
                 order += 1
                 runs.append([order, [], 0])
                 fresh = False
-            runs[-1][1].append(m[4])
-            if links:
-                runs[-1][2] += len(m[4])
+            runs[-1][1].append(m[6])
+            if stack.open["a"]:
+                runs[-1][2] += len(m[6])
         elif tag is not None:
-            tag = tag.lower()
+            tag, attributes = tag.lower(), m[2] if m[1] else m[4]
             if tag in RAW:
-                if not m[2].endswith("/"):
+                if not attributes.endswith("/"):
                     end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                     at = end.end() if end else size
                 continue
             if tag in VOID:
-                if tag in ("br", "hr", "wbr") and nodes[stack[-1][1]].runs and not fresh and tag != "wbr":
-                    nodes[stack[-1][1]].runs[-1][1].append(" ")
+                if tag in ("br", "hr") and runs and not fresh:
+                    runs[-1][1].append(" ")
                 fresh |= tag == "hr"
                 continue
-            if tag in ENDS_P and nearest({"p"}, frozenset({"table", "td", "th", "button"})):
-                close("p")
+            if tag in ENDS_P and stack.nearest({"p"}, P_BOUNDS):
+                stack.close("p")
                 fresh = True
             if tag in SIBLINGS:
-                while (found := nearest(SIBLINGS[tag], BOUNDS - SIBLINGS[tag])) is not None:
-                    close(found)
+                while (found := stack.nearest(SIBLINGS[tag], BOUNDS - SIBLINGS[tag])) is not None:
+                    stack.close(found)
                     fresh = True
             if tag in BLOCK:
-                said, hidden = [], False
-                for name, a, b, c, flag in ATTRIBUTE.findall(m[2]):
-                    name, value = name.lower(), (a or b or c).lower()
-                    if name in ("class", "id", "role"):
-                        said += [HINT_OF[w] for w in WORD.findall(value) if w in HINT_OF]
-                    elif flag or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-                        hidden = True
-                nodes.append(Node(tag, stack[-1][1], tuple(sorted(set(said))), hidden))
-                stack.append((tag, len(nodes) - 1))
+                nodes.append(Node(tag, stack.items[-1][1], *_said(attributes)))
+                stack.push(tag, len(nodes) - 1)
                 fresh = True
             else:
-                stack.append((tag, stack[-1][1]))
-                links += tag == "a"
-        elif m[3] is not None:
-            tag = m[3].lower()
-            if tag == "br" and nodes[stack[-1][1]].runs:
-                nodes[stack[-1][1]].runs[-1][1].append(" ")
-            elif any(t == tag for t, _ in stack[1:]):
-                if tag in BLOCK or nearest({tag}, BLOCK):
-                    close(tag)
-                    fresh |= tag in BLOCK
+                stack.push(tag, stack.items[-1][1])
+        elif m[5] is not None:
+            tag = m[5].lower()
+            if tag == "br" and runs:
+                runs[-1][1].append(" ")
+            elif stack.open[tag] and (tag in BLOCK or stack.nearest({tag}, BLOCK)):
+                stack.close(tag)
+                fresh |= tag in BLOCK
     for node in nodes:
         node.runs = [r for r in ([o, " ".join(entities.unescape("".join(t)).split()), k] for o, t, k in node.runs) if r[1]]
     for i in range(len(nodes) - 1, 0, -1):
