@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import blank_to_null
+from palimpsest.functions.text import COUNTRY_LANGUAGES, blank_to_null, collapse_space, let, lookup, sample_parts
 
 #: Frequent short words of a language.
 STOP_WORDS = {
@@ -88,3 +88,88 @@ def is_fresh(made: Column, changed: Column) -> Column:
 def text_or_ocr(extracted: Column, recognised: Column, least: int = 50) -> Column:
     """The text layer of a page where it has enough, else what OCR gave."""
     return F.when(F.length(F.trim(F.coalesce(extracted, F.lit("")))) >= least, extracted).otherwise(recognised)
+
+
+#: Ranges of characters that are of one language.
+SCRIPTS = {"ko": "\uac00-\ud7a3", "ja": "\u3040-\u30ff", "zh": "\u4e00-\u9fff", "ru": "\u0400-\u04ff", "ar": "\u0600-\u06ff", "th": "\u0e00-\u0e7f"}
+#: Characters of a script that count as one frequent word.
+SCRIPT_WORD = 4
+
+
+def language_scores(body: Column, sample: int = 3000, n: int = 3) -> Column:
+    """The ``n`` likeliest languages and their shares of all hits in a sample of a text: frequent words, and characters of a script."""
+    names = [lang.upper() for lang in (*STOP_WORDS, *SCRIPTS)]
+
+    def hits(some: Column, words: Column) -> Column:
+        stops = [_stop_hits(words, stops) for stops in STOP_WORDS.values()]
+        return F.array(*stops, *(F.floor(F.regexp_count(some, F.lit(f"[{span}]")) / SCRIPT_WORD).cast("int") for span in SCRIPTS.values()))
+
+    def ranked(counts: Column) -> Column:
+        total = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
+        rows = F.zip_with(counts, F.array(*map(F.lit, names)), lambda c, name: F.struct((-c).alias("least"), name.alias("language")))
+        best = F.slice(F.array_sort(F.filter(rows, lambda r: r["least"] < 0)), 1, n)
+        return let(total, lambda t: F.transform(best, lambda r: F.struct(r["language"].alias("language"), F.round(F.try_divide(-r["least"], t), 4).alias("share"))))
+
+    some = sample_parts(body, sample)
+    words = F.split(F.lower(F.regexp_replace(some, r"[.,;:!?]", "")), r"\s+")
+    found = let(F.struct(some.alias("some"), words.alias("words")), lambda v: let(hits(v["some"], v["words"]), ranked))
+    return F.when(F.length(F.trim(body)) >= 10, found)
+
+
+def _stop_hits(words: Column, stops: list[str]) -> Column:
+    return F.size(F.filter(words, lambda w: w.isin(*stops)))
+
+
+def validated_language(country: Column, language: Column, reliable: Column) -> Column:
+    """Whether the language is the country's, and the language to go by: the country's where the guess is not reliable."""
+    expected = F.try_element_at(lookup(COUNTRY_LANGUAGES), F.upper(country))
+    override = ~F.coalesce(reliable, F.lit(False)) & expected.isNotNull()
+    return F.struct((expected == language).alias("country_match"), F.when(override, expected).otherwise(language).alias("language"))
+
+
+def cleaned(body: Column, country: Column) -> Column:
+    """The text with single spaces, its likeliest language, whether that is reliable, and what the country makes of it."""
+
+    def told(clean: Column, best: Column) -> Column:
+        language, reliable = F.coalesce(best["language"], F.lit("UNKNOWN")), F.coalesce(best["share"] >= 0.7, F.lit(False))
+        by = validated_language(country, language, reliable)
+        return F.struct(clean.alias("clean"), language.alias("detected"), reliable.alias("reliable"), by["country_match"].alias("country_match"), by["language"].alias("language"))
+
+    return let(collapse_space(body), lambda clean: let(F.try_element_at(language_scores(clean), F.lit(1)), lambda best: told(clean, best)))
+
+
+#: How products are named, words of a category, and the categories.
+PRODUCT_NAMES = (r"제품\s*[A-Z가-힣0-9]+", r"[A-Z가-힣]+\s*전자담배", r"[A-Z가-힣]+\s*궐련", r"모델\s*[A-Z가-힣0-9]+")
+PRODUCT_KINDS = {"전자담배": "e-cigarette", "궐련": "cigarette", "담배": "tobacco"}
+#: Words of a regulation, and words that go with a category.
+REGULATION_WORDS = ("니코틴", "함량", "제한", "라벨", "크기", "경고", "문구", "배터리", "용량", "인증", "요구사항", "규제", "준수")
+KIND_WORDS = {"e-cigarette": ("전자담배", "베이핑", "액상"), "cigarette": ("궐련", "담배", "연소")}
+
+
+def product_names(body: Column) -> Column:
+    """Names of products in a text, each once, in order."""
+    found = [F.regexp_extract_all(body, F.lit(f"(?i){p}"), F.lit(0)) for p in PRODUCT_NAMES]
+    return F.array_sort(F.array_distinct(F.concat(*found)))
+
+
+def product_kind(body: Column) -> Column:
+    kind = F.lit(None).cast("string")
+    for word, name in reversed(PRODUCT_KINDS.items()):
+        kind = F.when(F.contains(body, F.lit(word)), name).otherwise(kind)
+    return kind
+
+
+def blank_line_pages(body: Column) -> Column:
+    """Pages of a text that two empty lines and more part."""
+    return F.filter(F.transform(F.split(body, "\n\n\n"), lambda p: F.trim(F.regexp_replace(p, r"^\s+|\s+$", ""))), lambda p: p != "")
+
+
+def enriched_keywords(body: Column, kind: Column, nicotine: Column) -> Column:
+    """Words to find a document by: regulation words it has, words of its category, its amount of nicotine; in order."""
+    said = F.filter(F.array(*map(F.lit, REGULATION_WORDS)), lambda w: F.contains(body, w))
+    none = F.array().cast("array<string>")
+    extra = none
+    for name, words in KIND_WORDS.items():
+        extra = F.when(kind == name, F.array(*map(F.lit, words))).otherwise(extra)
+    amount = F.when(nicotine.isNotNull(), F.array(F.concat(nicotine.cast("string"), F.lit("mg")))).otherwise(none)
+    return F.array_sort(F.array_distinct(F.concat(said, extra, amount)))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +34,11 @@ def lookup(values: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named there."""
+    return F.element_at(F.transform(F.array(value), lambda x: use(x)), 1)
+
+
 def blank_to_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
@@ -166,3 +174,47 @@ SEMANTIC_GROUPS = {
     "menthol": ["menthol", "flavor", "flavored", "mint"],
     "flavor": ["flavor", "flavored", "taste", "menthol"],
 }
+
+
+def snippet(body: Column, size: int) -> Column:
+    """The first ``size`` characters; nothing of null."""
+    return F.left(F.coalesce(body, F.lit("")), F.lit(size))
+
+
+def united_keywords(*lists: Column) -> Column:
+    """All keywords of several lists, each once, in order; null lists count as empty."""
+    every = F.flatten(F.array(*(F.coalesce(x, F.array().cast("array<string>")) for x in lists)))
+    return F.array_sort(F.array_distinct(F.filter(every, lambda w: w.isNotNull())))
+
+
+def in_feature(area: Column, feature: Column) -> Column:
+    """Whether an affected area is a feature's name or part of it, both as token keys."""
+    return F.contains(token_key(feature), token_key(area))
+
+
+def filled(template: str, **values: Column) -> Column:
+    """A template with ``{name}`` replaced by columns; ``{{`` and ``}}`` are plain braces, also where a value has braces."""
+    parts, at = [], 0
+    for found in re.finditer(r"\{\{|\}\}|\{(\w+)\}", template):
+        parts.append(F.lit(template[at : found.start()]))
+        parts.append(F.coalesce(values[found[1]].cast("string"), F.lit("")) if found[1] else F.lit(found[0][0]))
+        at = found.end()
+    return F.concat(*parts, F.lit(template[at:]))
+
+
+#: Names of impact levels as lists show them.
+LEVEL_NAMES = {"LOW": "낮음", "MEDIUM": "보통", "HIGH": "높음"}
+
+
+def level_name(level: Column) -> Column:
+    """An impact level as shown; other words as they are."""
+    return F.coalesce(F.try_element_at(lookup(LEVEL_NAMES), F.upper(level)), level, F.lit(""))
+
+
+def shown_time(made: Column, fallback: Column) -> Column:
+    """``yyyy-MM-dd HH:mm:ss``, else the fallback as it is, else nothing."""
+    return F.coalesce(F.date_format(made, "yyyy-MM-dd HH:mm:ss"), fallback.cast("string"), F.lit(""))
+
+
+def iso_time(made: Column) -> Column:
+    return F.concat(F.date_format(made, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))

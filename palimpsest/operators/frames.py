@@ -84,3 +84,23 @@ def search(df: DataFrame, word: str, *columns: str) -> DataFrame:
     for c in columns:
         hit = hit | F.contains(F.lower(F.col(c)), F.lit(word.lower()))
     return df.filter(hit)
+
+
+def nonempty(df: DataFrame, column: str) -> DataFrame:
+    """Rows whose array has an element; null counts as empty."""
+    return df.filter(F.coalesce(F.size(column), F.lit(0)) > 0)
+
+
+def large_contents(df: DataFrame, body: str, least: int = 2000) -> DataFrame:
+    """Rows of more than ``least`` bytes."""
+    return df.filter(F.octet_length(body) > least)
+
+
+def numbered_page(df: DataFrame, order: Sequence[Column], page_no: int, size: int) -> DataFrame:
+    """Page ``page_no`` (from 1) of ``size`` rows in the given order."""
+    return df.orderBy(*order).offset((page_no - 1) * size).limit(size)
+
+
+def capped(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, body: str, size: int) -> DataFrame:
+    """First ``n`` rows of each key, their text cut to ``size`` characters: what a model is shown."""
+    return top_per(df, keys, order, n).withColumn(body, F.left(body, F.lit(size)))

@@ -104,3 +104,120 @@ def run_summary(df: DataFrame, keys: list[str], status: str) -> DataFrame:
 def usage_sets(df: DataFrame, model: str, page: str, amount: str) -> DataFrame:
     """Token totals in all, by model and by page, in one pass."""
     return df.groupingSets([[], [model], [page]], model, page).agg(F.sum(amount).alias("total"))
+
+
+def batch_result(files: DataFrame, keys: list[str], file: str, status: str, began: str, ended: str, tokens: str, pages: str) -> DataFrame:
+    """A run over files: how many, how many went well and their rate, the names of the others, its time, and tokens and pages of those that went well."""
+    ok = F.col(status) == "success"
+    n, good = F.count(F.lit(1)), F.count_if(ok)
+    spent, read = F.sum(F.when(ok, F.col(tokens)).otherwise(0)), F.sum(F.when(ok, F.col(pages)).otherwise(0))
+    seconds = F.unix_timestamp(F.max(ended)) - F.unix_timestamp(F.min(began))
+    return files.groupBy(*keys).agg(
+        n.alias("total_files"), good.alias("succeeded"), (n - good).alias("failed"), F.array_sort(F.collect_list(F.when(~ok, F.col(file)))).alias("failed_files"),
+        seconds.alias("duration_seconds"), F.round(good / n * 100, 1).alias("success_rate"), spent.alias("total_tokens"), read.alias("total_pages"), F.try_divide(spent, read).alias("tokens_per_page"),
+    )
+
+
+def embedding_summary(chunks: DataFrame, keys: list[str], body: str, products: str, section: str) -> DataFrame:
+    """Chunks of a run, their mean length in whole characters, and how many products and sections they name."""
+    return chunks.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("chunks"), F.floor(F.sum(F.length(body)) / F.count(F.lit(1))).alias("mean_length"),
+        F.size(F.array_distinct(F.flatten(F.collect_set(products)))).alias("products"), F.countDistinct(F.coalesce(section, F.lit(""))).alias("sections"),
+    )
+
+
+def list_rows(keynotes: DataFrame) -> DataFrame:
+    """What a list of keynotes shows: id, country, category, summary and the impact's name; and how many rows there are.
+
+    ``keynotes``: keynote_id and ``data``, a map of the keynote's fields.
+    """
+    field = lambda name: F.coalesce(F.try_element_at("data", F.lit(name)), F.lit(""))
+    rows = keynotes.select("keynote_id", field("country").alias("country"), field("category").alias("category"), field("summary").alias("summary"), text.level_name(field("impact")).alias("impact"))
+    return rows.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("today_count"))))
+
+
+def country_rows(keynotes: DataFrame, inferred: DataFrame) -> DataFrame:
+    """Keynotes of a country: title, analysis day, and the impact they state, else the one inferred from their sections, else 1."""
+    field = lambda name: F.try_element_at("data", F.lit(name))
+    stated = F.when(F.upper(field("impact")).isin("LOW", "MEDIUM", "HIGH"), scores.level_number(field("impact")))
+    joined = keynotes.join(inferred.select("keynote_id", F.col("impact").alias("_inferred")), "keynote_id", "left")
+    return joined.select("keynote_id", F.coalesce(field("title"), F.lit("")).alias("title"), F.coalesce(stated, "_inferred", F.lit(1)).alias("impact_level"), F.coalesce(field("analysis_date"), F.lit("")).alias("category"))
+
+
+def detail_rows(keynotes: DataFrame) -> DataFrame:
+    """What a keynote's page shows: a file name from citation, title or id, its dates under either of their names, and when it was collected."""
+    field = lambda *names: F.coalesce(*(text.blank_to_null(F.try_element_at("data", F.lit(n))) for n in names))
+    name = F.coalesce(field("citation_code", "title"), F.concat(F.lit("regulation_"), F.col("keynote_id").cast("string")))
+    return keynotes.select(
+        "keynote_id", name.alias("file_name"), F.coalesce(field("promulgation_date", "promulgationDate"), F.lit("")).alias("promulgated"),
+        F.coalesce(field("effective_date", "effectiveDate"), F.lit("")).alias("effective"), text.shown_time(F.col("generated_at"), field("analysis_date")).alias("collected"),
+    )
+
+
+#: Places of a report, their titles, and the words in a section's title, or its id, that put it there.
+REPORT_PLACES = (
+    ("0. 종합 요약", ("overall", "종합 요약")),
+    ("1. 규제 변경 요약", ("규제 변경 요약", "change")),
+    ("2. 영향받는 제품 목록", ("제품 분석", "products")),
+    ("3. 주요 변경 사항 해석", ("변경 사항", "major", "changes")),
+    ("4. 대응 전략", ("대응 전략", "strategy")),
+    ("5. 영향 평가 근거", ("영향 평가", "impact")),
+    ("6. 참고 및 원문 링크", ("참고", "references")),
+)
+
+
+def placed_sections(sections: DataFrame, key: str, places=REPORT_PLACES) -> DataFrame:
+    """(key, place, title, section_id, content): the first section of a report for each place; one section may fill several.
+
+    ``sections``: the key, pos, section_id, title, content.
+    """
+    slots = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(title).alias("shown"), F.array(*map(F.lit, words)).alias("words")) for i, (title, words) in enumerate(places)))
+    said, ident = F.coalesce("title", F.lit("")), F.coalesce("section_id", F.lit(""))
+    fits = F.filter(slots, lambda s: F.exists(s["words"], lambda w: F.contains(said, w) | (ident == w)))
+    rows = sections.select(key, "pos", "section_id", "content", F.explode(fits).alias("slot"))
+    first = rows.groupBy(key, "slot.place", "slot.shown").agg(F.min_by(F.struct("section_id", "content"), "pos").alias("found"))
+    return first.select(key, "place", F.col("shown").alias("title"), "found.section_id", "found.content")
+
+
+def report_sections(reports: DataFrame, key: str, parts: list[tuple[str, str, str, DataFrame, str]]) -> DataFrame:
+    """(key, place, section_id, kind, title, content): the sections of each report in order.
+
+    Each part is (section_id, kind, title, rows, default): ``rows`` hold the
+    key, pos and line; a report without rows of a part gets the default as its
+    only line, or no line where the default is empty.
+    """
+    out = None
+    for place, (section_id, kind, title, rows, default) in enumerate(parts):
+        lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])
+        content = reports.select(key).distinct().join(rows.groupBy(key).agg(lines.alias("content")), key, "left")
+        none = F.array(F.lit(default)) if default else F.array().cast("array<string>")
+        made = content.select(key, F.lit(place).alias("place"), F.lit(section_id).alias("section_id"), F.lit(kind).alias("kind"), F.lit(title).alias("title"), F.coalesce("content", none).alias("content"))
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def notification(product: Column, n_items: Column, n_unknown: Column) -> Column:
+    named = F.coalesce(text.blank_to_null(product), F.lit("unknown"))
+    return F.concat(F.lit("[Report] product="), named, F.lit(" items="), n_items.cast("string"), F.lit(" unknown="), n_unknown.cast("string"), F.lit(" report generated."))
+
+
+def alert_text(country: Column, title: Column, level: Column, features: Column, product: Column, change: Column) -> Column:
+    """What is sent when a report is ready; ``features`` are those that apply, of which two are named."""
+    named = F.when(F.size(features) > 0, F.array_join(F.slice(F.array_sort(features), 1, 2), ", ")).otherwise(F.lit("없음"))
+    or_else = lambda c, x: F.coalesce(text.blank_to_null(c), F.lit(x))
+    return F.concat(
+        F.lit("보고서 생성 완료 ("), or_else(country, "Unknown"), F.lit(")\n규제명칭: "), or_else(title, "규제명 없음"), F.lit("\n영향도: "), or_else(level, "N/A"),
+        F.lit(" | 매핑 항목: "), F.size(features).cast("string"), F.lit("개 유효 카테고리 ("), named, F.lit(")\n제품: "), or_else(product, "Unknown"),
+        F.lit("\nKey Change: "), or_else(change, "No changes detected"),
+    )
+
+
+def node_output(merged: DataFrame, node: str | None = None) -> DataFrame:
+    """Saved outputs of ``merged_payloads``: all of them, or one node's; and the names there are."""
+    names = F.array_sort(F.map_keys("data")).alias("nodes")
+    return merged.select("*", names) if node is None else merged.withColumn("output", F.try_element_at("data", F.lit(node))).select("*", names)
+
+
+def restored_state(regulations: DataFrame, merged: DataFrame, key: str, nodes: dict[str, str]) -> DataFrame:
+    """Regulations that have saved outputs, each with the output of every node of ``nodes`` under the name given there."""
+    return regulations.join(merged, key).withColumns({name: F.try_element_at("data", F.lit(node)) for node, name in nodes.items()}).drop("data")

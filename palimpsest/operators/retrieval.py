@@ -6,10 +6,14 @@ session's threshold, which Spark checks, and in blocks otherwise.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from palimpsest.functions import scores
 from palimpsest.operators.frames import top_per
@@ -41,8 +45,9 @@ def dense_topk(queries: DataFrame, points: DataFrame, k: int, where: Column | No
     """
     points = points if where is None else points.filter(where)
     normed = points.select("point_id", "embedding", F.sqrt(scores.dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
-    total = queries.count()
-    blocks = [queries] if total <= QUERY_BLOCK else queries.randomSplit([1.0] * (-(-total // QUERY_BLOCK)), 7)
+    n = max(1, -(-queries.count() // QUERY_BLOCK))
+    block_of = F.pmod(F.xxhash64("query_id"), F.lit(n))
+    blocks = [queries] if n == 1 else [queries.filter(block_of == i) for i in range(n)]
     parts = []
     for block in blocks:
         q = block.select("query_id", F.col("embedding").alias("_q"), F.sqrt(scores.dot(F.col("embedding"), F.col("embedding"))).alias("_qn"))
@@ -91,3 +96,44 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, where: Column | None
 def result_rows(results: DataFrame, ident: str, ids: str, distances: str, metadata: str) -> DataFrame:
     """Parallel arrays of a search result as rows."""
     return results.select(ident, F.inline(F.arrays_zip(F.col(ids).alias("id"), F.col(distances).alias("distance"), F.col(metadata).alias("metadata"))))
+
+
+def merged_filters(*filters: Column) -> Column:
+    """One map of filters; a later one wins over an earlier of the same name, null maps count as empty."""
+    kind = "map<string,string>"
+    parts = [F.map_entries(F.coalesce(f.cast(kind), F.create_map().cast(kind))) for f in reversed(filters)]
+    entries = F.concat(*parts)
+    names = F.transform(entries, lambda e: e["key"])
+    return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(names, e["key"]) == i + 1))
+
+
+def product_filter(product: Column) -> Column:
+    """Products do not narrow a search: the empty map."""
+    return F.create_map().cast("map<string,string>")
+
+
+def embedded(df: DataFrame, body: str, model: Callable[[], Callable[[list[str]], list[list[float]]]], size: int = 32, longest: int = 8192) -> DataFrame:
+    """``df`` with ``embedding``: texts in batches of ``size``, cut to ``longest`` words, through a model that is made once for each task."""
+    schema = StructType([*df.schema.fields, StructField("embedding", ArrayType(DoubleType()))])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        embed = model()
+        for frame in frames:
+            texts = [" ".join(t.split(" ")[:longest]) for t in frame[body].fillna("")]
+            vectors = [v for lo in range(0, len(texts), size) for v in embed(texts[lo : lo + size])]
+            yield frame.assign(embedding=vectors)
+
+    return df.mapInPandas(run, schema)
+
+
+def digest_model() -> Callable[[list[str]], list[list[float]]]:
+    """Stands in for an embedding model: bytes of the SHA-256 digest over 255, repeated to 1024."""
+    return lambda texts: [[b / 255 for b in hashlib.sha256(t.encode()).digest()] * 32 for t in texts]
+
+
+def answer_context(found: DataFrame, points: DataFrame, body: str, n: int = 3) -> DataFrame:
+    """(query_id, sources, context): the ``n`` best points of each query and their texts, for an answer."""
+    best = found.filter(F.col("rank") <= n).join(points.select("point_id", F.col(body).alias("_body")), "point_id")
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "point_id", "_body")))
+    grouped = best.groupBy("query_id").agg(ordered.alias("o"))
+    return grouped.select("query_id", F.transform("o", lambda x: x["point_id"]).alias("sources"), F.array_join(F.transform("o", lambda x: x["_body"]), "\n\n").alias("context"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scores, text
-from palimpsest.operators import changes, frames
+from palimpsest.operators import changes, frames, versions
 from palimpsest.plans.registry import query
 from palimpsest.sources.files import table
 
@@ -28,12 +28,10 @@ def section_normalize(spark, sf):
 
 
 @query("""
-SELECT doc_id, array_to_string(list_distinct_ordered, ',') AS words FROM (
-  SELECT doc_id, list_filter(list_concat(d, n), lambda x, i: list_position(list_concat(d, n), x) = i)[1:5] AS list_distinct_ordered FROM (
-    SELECT doc_id, regexp_extract_all(text, '\\b\\w*\\d+\\w*\\b')[1:3] AS d, regexp_extract_all(text, '\\b[A-Z][a-z]+\\b')[1:3] AS n FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')))""")
+SELECT doc_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i)[1:5], ',') AS words FROM (
+  SELECT doc_id, list_concat(list_filter(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+'), lambda x: regexp_matches(x, '\\p{Nd}'))[1:3], list_filter(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+'), lambda x: regexp_full_match(x, '[A-Z][a-z]+'))[1:3]) AS w FROM documents)""")
 def keyword_extract(spark, sf):
-    ascii_ = table(spark, sf, "documents").filter(F.length("text") == F.octet_length("text"))
-    return ascii_.select("doc_id", F.array_join(text.keywords(F.col("text")), ",").alias("words"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(text.keywords(F.col("text")), ",").alias("words"))
 
 
 @query(f"""
@@ -89,28 +87,21 @@ def change_summary(spark, sf):
 
 
 _PAIRS = """
-WITH s AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS seq, text FROM documents WHERE n_chars < 1500),
+WITH s AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS seq, text FROM documents),
 w AS (SELECT DISTINCT source, doc_id, seq, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM s),
 n AS (SELECT doc_id, count(*) AS n FROM w GROUP BY 1),
 j AS (SELECT a.source, a.doc_id AS new_id, b.doc_id AS old_id, count(*) AS shared FROM w a JOIN w b ON a.source = b.source AND a.word = b.word AND a.seq % 2 = 1 AND b.seq % 2 = 0 GROUP BY ALL)
 """
 
 
-def _blocks(spark, sf, which="true"):
-    docs = table(spark, sf, "documents").filter(which).select("doc_id", "source", F.split(F.lower("text"), r"\s+").alias("words"))
+def _blocks(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "source", F.split(F.lower("text"), r"\s+").alias("words"))
     docs = docs.withColumn("seq", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
     return docs.filter("seq % 2 = 1"), docs.filter("seq % 2 = 0")
 
 
 @query(_PAIRS + "SELECT source, new_id, old_id, round(shared / (a.n + b.n - shared), 6) AS score FROM j JOIN n a ON a.doc_id = new_id JOIN n b ON b.doc_id = old_id WHERE shared / (a.n + b.n - shared) >= 0.3")
 def jaccard_candidates(spark, sf):
-    new, old = _blocks(spark, sf, "n_chars < 1500")
-    return changes.block_candidates(new, old, "source", "doc_id", "words").select("source", "new_id", "old_id", F.round("score", 6).alias("score"))
-
-
-@query(_PAIRS.replace(" WHERE n_chars < 1500", "") + "SELECT source, new_id, old_id, round(shared / (a.n + b.n - shared), 6) AS score FROM j JOIN n a ON a.doc_id = new_id JOIN n b ON b.doc_id = old_id WHERE shared / (a.n + b.n - shared) >= 0.3")
-def jaccard_candidates_whole(spark, sf):
-    """Documents of any length."""
     new, old = _blocks(spark, sf)
     return changes.block_candidates(new, old, "source", "doc_id", "words").select("source", "new_id", "old_id", F.round("score", 6).alias("score"))
 
@@ -122,19 +113,11 @@ def jaccard_greedy_match(spark, sf):
 
 
 @query("""
-WITH c AS (SELECT doc_id AS change_id, doc_id % 11 AS section, doc_id % 40 AS chunk, doc_id % 17 AS doc FROM documents WHERE doc_id % 10 = 0),
-k AS (SELECT doc_id AS candidate, row_number() OVER (ORDER BY doc_id) AS pos, CASE WHEN doc_id % 2 = 0 THEN doc_id % 30 END AS section, doc_id % 400 AS chunk, doc_id % 17 AS doc FROM documents WHERE doc_id % 10 = 1),
+WITH c AS (SELECT doc_id AS change_id, doc_id % 11 AS section, doc_id % 40 AS chunk, doc_id % 17 AS doc FROM documents WHERE doc_id % 4 < 2),
+k AS (SELECT doc_id AS candidate, doc_id AS pos, CASE WHEN doc_id % 2 = 0 THEN doc_id % 30 END AS section, doc_id % 400 AS chunk, doc_id % 17 AS doc FROM documents WHERE doc_id % 4 >= 2),
 m AS (SELECT change_id, candidate, pos, 1 AS priority FROM c JOIN k USING (section) UNION ALL SELECT change_id, candidate, pos, 2 FROM c JOIN k USING (chunk) UNION ALL SELECT change_id, candidate, pos, 3 FROM c JOIN k USING (doc))
 SELECT change_id, candidate, pos AS candidate_pos, priority FROM (SELECT *, row_number() OVER (PARTITION BY change_id ORDER BY priority, pos, candidate) AS r FROM m) WHERE r = 1""")
 def change_match_priority(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id")
-    c = d.filter("doc_id % 10 = 0").selectExpr("doc_id AS change_id", "doc_id % 11 AS section", "doc_id % 40 AS chunk", "doc_id % 17 AS doc")
-    k = d.filter("doc_id % 10 = 1").selectExpr("doc_id AS candidate", "CAST((doc_id - 1) / 10 + 1 AS BIGINT) AS pos", "CASE WHEN doc_id % 2 = 0 THEN doc_id % 30 END AS section", "doc_id % 400 AS chunk", "doc_id % 17 AS doc")
-    return changes.match_by_priority(c, k, ["section", "chunk", "doc"], "candidate")
-
-
-@query()
-def change_match_priority_whole(spark, sf):
     """All documents: two changes, then two candidates, by turns of doc_id."""
     d = table(spark, sf, "documents").select("doc_id")
     c = d.filter("doc_id % 4 < 2").selectExpr("doc_id AS change_id", "doc_id % 11 AS section", "doc_id % 40 AS chunk", "doc_id % 17 AS doc")
@@ -159,15 +142,21 @@ n AS (SELECT *, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS a, lower(
   list_sort(regexp_extract_all(text, '\\d+(?:\\.\\d+)?')) AS x, list_sort(regexp_extract_all(coalesce(old_text, ''), '\\d+(?:\\.\\d+)?')) AS y FROM s)
 SELECT doc_id, old_id, CASE WHEN old_text IS NULL THEN 'new_clause' WHEN a = b THEN 'none' WHEN x <> y THEN 'value_change' ELSE 'wording_only' END AS change_type FROM n""")
 def change_verdicts(spark, sf):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    pairs = table(spark, sf, "documents").select("doc_id", F.lag("doc_id").over(w).alias("old_id"), F.lag("text").over(w).alias("old_text"), F.col("text").alias("new_text"))
-    return changes.verdicts(pairs).select("doc_id", "old_id", "change_type")
+    return changes.verdicts(_with_previous(spark, sf)).select("doc_id", "old_id", "change_type")
+
 
+def _with_previous(spark, sf):
+    """Every document beside the one before in its source: ids are paired, and texts then joined by id."""
+    docs = table(spark, sf, "documents").select("source", "doc_id", "text")
+    pairs = versions.previous(docs, ["source"], "doc_id").withColumnRenamed("previous", "old_id")
+    old = docs.select(F.col("doc_id").alias("old_id"), F.col("text").alias("old_text"))
+    return pairs.join(docs.select("doc_id", F.col("text").alias("new_text")), "doc_id").join(old, "old_id", "left")
 
-@query("SELECT doc_id, true AS needs_embedding FROM documents a WHERE NOT EXISTS (SELECT 1 FROM documents b WHERE b.doc_id % 3 = 0 AND b.source = a.source AND b.lang = a.lang) AND doc_id % 3 = 1")
+
+@query("SELECT doc_id, true AS needs_embedding FROM documents a WHERE NOT EXISTS (SELECT 1 FROM documents b WHERE b.doc_id % 3 = 0 AND b.source = a.source AND b.lang = a.lang) AND doc_id % 3 <> 0")
 def new_without_legacy(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.concat_ws("/", "source", "lang").alias("k"), (F.col("doc_id") % 3).alias("m"))
-    return changes.without_legacy(d.filter("m = 1"), d.filter("m = 0"), "k").select("doc_id", "needs_embedding")
+    return changes.without_legacy(d.filter("m <> 0"), d.filter("m = 0"), "k").select("doc_id", "needs_embedding")
 
 
 @query("""
@@ -186,23 +175,15 @@ c AS (SELECT source, 1 - len(list_intersect(a, b)) / (len(a) + len(b) - len(list
 SELECT source, count(*) AS n, count(*) FILTER (({_LEVEL}) = 'HIGH') AS high, round(avg(c), 6) AS mean FROM c GROUP BY 1""")
 def source_changes(spark, sf):
     """The flagship: how far each document of a source is from the one before."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    words = F.array_distinct(F.split(F.lower(text.collapse_space(F.col("text"))), " "))
-    docs = table(spark, sf, "documents").select("source", "doc_id", words.alias("words")).withColumn("old", F.lag("words").over(w)).filter("old is not null")
-    c = docs.select("source", (1 - text.jaccard(F.col("words"), F.col("old"))).alias("c"))
+    words = lambda c: F.array_distinct(F.split(F.lower(text.collapse_space(F.col(c))), " "))
+    c = _with_previous(spark, sf).filter("old_text is not null").select("source", (1 - text.jaccard(words("new_text"), words("old_text"))).alias("c"))
     return c.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(scores.confidence_level(F.col("c")) == "HIGH").alias("high"), F.round(F.avg("c"), 6).alias("mean"))
 
 
 @query("""
 WITH f AS (SELECT DISTINCT l.doc_id, l.quality FROM labels l)
-SELECT d.doc_id, f.quality AS prior FROM documents d LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM f GROUP BY 1) f USING (doc_id) WHERE d.doc_id % 3 = 0""")
+SELECT d.doc_id, f.quality AS prior FROM documents d LEFT JOIN (SELECT doc_id, min(quality)  AS quality FROM f GROUP BY 1) f USING (doc_id)""")
 def prior_verdicts(spark, sf):
-    prior = table(spark, sf, "labels").groupBy("doc_id").agg(F.min("quality").alias("prior"))
-    return changes.previous_verdict(table(spark, sf, "documents").filter("doc_id % 3 = 0").select("doc_id"), prior, "doc_id")
-
-
-@query()
-def prior_verdicts_whole(spark, sf):
     prior = table(spark, sf, "labels").groupBy("doc_id").agg(F.min("quality").alias("prior"))
     return changes.previous_verdict(table(spark, sf, "documents").select("doc_id"), prior, "doc_id")
 

@@ -63,19 +63,19 @@ def chunk_sections(spark, sf):
 _ENTITIES = """
 e AS (SELECT n_regionkey AS doc, n_nationkey * 10 AS pos, n_name AS name, 'Organization' AS type, CASE WHEN n_nationkey % 2 = 0 THEN 'a' END AS context FROM nation
   UNION ALL SELECT r_regionkey, 1, r_name, 'Regulation', 'a' FROM region UNION ALL SELECT n_regionkey, n_nationkey * 10 + 3, lower(n_name), 'Organization', '' FROM nation WHERE n_nationkey % 3 = 0
-  UNION ALL SELECT s_suppkey % 5, 1000 + s_suppkey, s_name, 'Chemical', 'b' FROM supplier WHERE s_suppkey < 40)"""
+  UNION ALL SELECT s_suppkey % 5, 1000 + s_suppkey, s_name, 'Chemical', 'b' FROM supplier)"""
 _EDGES = """
 g AS (SELECT a.doc, a.name AS source, b.name AS target, 'enforces' AS relation FROM e a JOIN e b ON a.doc = b.doc AND a.type = 'Organization' AND b.type = 'Regulation'
   UNION ALL SELECT a.doc, a.name, b.name, 'regulates' FROM e a JOIN e b ON a.doc = b.doc AND a.type = 'Regulation' AND b.type = 'Chemical'
   UNION ALL SELECT doc, name, t, 'related_to' FROM (SELECT *, lead(name) OVER (PARTITION BY doc, coalesce(nullif(context, ''), 'unknown') ORDER BY pos) AS t FROM e) WHERE t IS NOT NULL)"""
 
 
-def _entities(spark, sf, which="s_suppkey < 40"):
+def _entities(spark, sf):
     n = table(spark, sf, "nation")
     a = n.selectExpr("n_regionkey AS doc", "n_nationkey * 10 AS pos", "n_name AS name", "'Organization' AS type", "CASE WHEN n_nationkey % 2 = 0 THEN 'a' END AS context")
     b = table(spark, sf, "region").selectExpr("r_regionkey AS doc", "1 AS pos", "r_name AS name", "'Regulation' AS type", "'a' AS context")
     c = n.filter("n_nationkey % 3 = 0").selectExpr("n_regionkey AS doc", "n_nationkey * 10 + 3 AS pos", "lower(n_name) AS name", "'Organization' AS type", "'' AS context")
-    d = table(spark, sf, "supplier").filter(which).selectExpr("CAST(s_suppkey % 5 AS INT) AS doc", "CAST(1000 + s_suppkey AS INT) AS pos", "s_name AS name", "'Chemical' AS type", "'b' AS context")
+    d = table(spark, sf, "supplier").selectExpr("CAST(s_suppkey % 5 AS INT) AS doc", "CAST(1000 + s_suppkey AS INT) AS pos", "s_name AS name", "'Chemical' AS type", "'b' AS context")
     return a.union(b).union(c).union(d).withColumn("doc", F.col("doc").cast("long"))
 
 
@@ -95,22 +95,6 @@ def graph_density(spark, sf):
     return graphs.summary(e, graphs.edges(e, "doc"), "doc").withColumn("density", F.round("density", 8))
 
 
-@query()
-def entity_nodes_whole(spark, sf):
-    return graphs.nodes(_entities(spark, sf, "true"), "doc").select("doc", "name", "type")
-
-
-@query()
-def entity_graph_whole(spark, sf):
-    return graphs.edges(_entities(spark, sf, "true"), "doc")
-
-
-@query()
-def graph_density_whole(spark, sf):
-    e = _entities(spark, sf, "true")
-    return graphs.summary(e, graphs.edges(e, "doc"), "doc").withColumn("density", F.round("density", 8))
-
-
 @query("""
 SELECT conv_id, turn, CASE WHEN n = 0 THEN NULL ELSE (array_agg(v) FILTER (v IS NOT NULL) OVER w)[1] END AS title FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN left(text, 10) END AS v, count(CASE WHEN turn % 2 = 1 THEN 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
 WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")

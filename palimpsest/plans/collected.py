@@ -22,31 +22,31 @@ def crawl_targets(spark, sf):
 
 @query("""
 SELECT o_orderkey, o_orderpriority || CASE WHEN o_orderkey % 2 = 0 THEN ' site:x.org' ELSE '' END || ' after:' || CASE WHEN o_orderkey % 3 = 0 THEN '2023-12-02' ELSE strftime(o_orderdate, '%Y-%m-%d') END
-  || CASE WHEN o_orderstatus = 'F' THEN ' filetype:pdf' WHEN o_orderkey % 5 = 0 THEN ' filetype:html' ELSE '' END AS query FROM orders WHERE o_orderkey % 5 <> 0 OR o_orderstatus <> 'F'""")
+  || CASE WHEN o_orderkey % 5 = 0 THEN ' filetype:html' WHEN o_orderstatus = 'F' THEN ' filetype:pdf' ELSE '' END AS query FROM orders""")
 def search_texts(spark, sf):
     k = F.col("o_orderkey")
-    o = table(spark, sf, "orders").filter("o_orderkey % 5 <> 0 or o_orderstatus <> 'F'")
+    o = table(spark, sf, "orders")
     said = ingest.search_text(F.col("o_orderpriority"), F.when(k % 2 == 0, "x.org").otherwise(""), F.when(k % 3 != 0, F.col("o_orderdate").cast("date")), F.when(k % 5 == 0, "html"), F.when(F.col("o_orderstatus") == "F", "Reg").otherwise("news"), F.lit("2024-03-11").cast("date"))
     return o.select("o_orderkey", said.alias("query"))
 
 
 @query("""
-SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'a-b-' || doc_id ELSE concat_ws('-', 'FDA', CASE WHEN doc_id % 2 = 0 THEN lang END, nullif(array_to_string(regexp_extract_all(left(text, 60), '\\b[A-Z][a-z]+\\b')[1:3], '-'), '')) END AS id FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')""")
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'a-b-' || doc_id ELSE concat_ws('-', 'FDA', CASE WHEN doc_id % 2 = 0 THEN lang END, nullif(array_to_string(list_filter(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+'), lambda x: regexp_full_match(x, '[A-Z][a-z]+'))[1:3], '-'), '')) END AS id FROM documents""")
 def regulation_ids(spark, sf):
-    d = table(spark, sf, "documents").filter(F.length("text") == F.octet_length("text"))
+    d = table(spark, sf, "documents")
     k = F.col("doc_id")
-    return d.select("doc_id", ingest.regulation_id(F.lit("FDA"), F.when(k % 2 == 0, F.col("lang")).otherwise(""), F.when(k % 4 != 0, F.left("text", F.lit(60))), F.concat(F.lit("x/a b."), k.cast("string"), F.lit(".pdf"))).alias("id"))
+    return d.select("doc_id", ingest.regulation_id(F.lit("FDA"), F.when(k % 2 == 0, F.col("lang")).otherwise(""), F.when(k % 4 != 0, F.col("text")), F.concat(F.lit("x/a b."), k.cast("string"), F.lit(".pdf"))).alias("id"))
 
 
 @query("""
 SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE array_to_string((list_concat(CASE WHEN p_partkey % 4 = 1 THEN [] ELSE string_split(p_name, ' ') END, [p_size::VARCHAR, p_brand]))[1:5], ' ') END AS query,
-  'tar' || ' ' || p_size || ' ' || CASE WHEN p_partkey % 4 IN (0, 1) THEN CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_size::VARCHAR END ELSE array_to_string(string_split(p_name, ' ')[1:2], ' ') END AS hinted FROM part WHERE len(string_split(p_name, ' ')) > 1""")
+  'tar' || ' ' || p_size || ' ' || array_to_string((list_concat(CASE WHEN p_partkey % 4 > 1 THEN string_split(p_name, ' ')[1:3] ELSE [] END, CASE WHEN p_partkey % 4 > 0 THEN [p_size::VARCHAR] ELSE [] END))[1:2], ' ') AS hinted FROM part""")
 def change_queries(spark, sf):
     k = F.col("p_partkey") % 4
     words = F.when(k > 1, F.split("p_name", " ")).otherwise(F.array().cast("array<string>"))
     numbers = F.when(k > 0, F.array(F.struct(F.col("p_brand").alias("field"), F.col("p_size").cast("string").alias("new_value")))).otherwise(F.array().cast("array<struct<field:string,new_value:string>>"))
     own = F.transform(numbers, lambda n: F.struct(F.lit("tar").alias("field"), n["new_value"].alias("new_value")))
-    p = table(spark, sf, "part").filter(F.size(F.split("p_name", " ")) > 1)
+    p = table(spark, sf, "part")
     return p.select("p_partkey", ingest.change_query(words, numbers).alias("query"), ingest.hinted_query(F.lit("tar"), F.col("p_size").cast("string"), words, own).alias("hinted"))
 
 

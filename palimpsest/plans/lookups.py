@@ -101,21 +101,12 @@ def legacy_asof(spark, sf):
 
 @query("""
 WITH j AS (SELECT a.o_orderkey, b.o_orderkey AS found_id, row_number() OVER (PARTITION BY a.o_orderkey ORDER BY b.o_orderdate DESC, b.o_orderkey DESC) AS k
-  FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND strftime(b.o_orderdate, '%m%d') < strftime(a.o_orderdate, '%m%d') WHERE a.o_orderkey % 5 = 0)
+  FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND strftime(b.o_orderdate, '%m%d') < strftime(a.o_orderdate, '%m%d'))
 SELECT o_orderkey, found_id FROM j WHERE k = 1""")
 def legacy_month_day(spark, sf):
-    return _month_day(spark, sf, "o_orderkey % 5 = 0")
-
-
-@query()
-def legacy_month_day_whole(spark, sf):
-    return _month_day(spark, sf, "true")
-
-
-def _month_day(spark, sf, which):
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
     right = orders.select("o_custkey", F.col("o_orderkey").alias("found_id"), F.col("o_orderdate").alias("found_time"))
-    found = versions.month_day_before(orders.filter(which), right, ["o_custkey"], "o_orderdate", "found_time", "o_orderkey", "found_id", [F.desc("found_time"), F.desc("found_id")])
+    found = versions.month_day_before(orders, right, ["o_custkey"], "o_orderdate", "found_time", "o_orderkey", "found_id", [F.desc("found_time"), F.desc("found_id")])
     return found.filter("found_id is not null").select("o_orderkey", "found_id")
 
 
@@ -158,9 +149,12 @@ def object_listing(spark, sf):
     return rows.select("url", "name", "country", F.regexp_replace(F.lower(F.split("key", "/")[0]), "[^a-z0-9]+", "-").alias("title"))
 
 
-@query("SELECT page_id, regexp_replace(regexp_replace(string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1], '[\\\\/:*?\"<>|]', '_', 'g'), '\\s+', '_', 'g') || '.pdf' AS name, 'raw/' || page_id || '/' || regexp_replace(lower(trim('Page (' || page_id || ') Title')), '[()]', '', 'g').replace(' ', '-') AS path FROM pages WHERE string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1] <> ''")
+@query("""
+WITH t AS (SELECT page_id, 'Page (' || page_id || ') Title' AS title, string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1] AS tail FROM pages),
+n AS (SELECT *, regexp_replace(regexp_replace(CASE WHEN tail = '' THEN title ELSE tail END, '[\\\\/:*?\"<>|]', '_', 'g'), '\\s+', '_', 'g') AS safe FROM t)
+SELECT page_id, left(safe, 200) || '.pdf' AS name, 'raw/' || page_id || '/' || replace(regexp_replace(lower(title), '[()]', '', 'g'), ' ', '-') AS path FROM n""")
 def file_names(spark, sf):
-    p = table(spark, sf, "pages").filter(F.substring_index(F.regexp_replace("url", r"[?#].*$", ""), "/", -1) != "")
+    p = table(spark, sf, "pages")
     title = F.concat(F.lit("Page ("), F.col("page_id").cast("string"), F.lit(") Title"))
     return p.select("page_id", text.file_name(F.lit(None).cast("string"), F.col("url"), title).alias("name"), text.object_key(F.lit("raw"), F.lit(""), F.col("page_id").cast("string"), text.title_key(title)).alias("path"))
 
@@ -189,17 +183,8 @@ def text_metadata(spark, sf):
     return table(spark, sf, "documents").select("doc_id", meta(F.col("text")).alias("m")).select("doc_id", "m.*")
 
 
-@query("SELECT c_custkey, o_orderkey, count(*) OVER (PARTITION BY c_custkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 9 = 0")
+@query("SELECT c_custkey, o_orderkey, count(*) OVER (PARTITION BY c_custkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
 def eager_children(spark, sf):
-    return _children(spark, sf, "c_custkey % 9 = 0")
-
-
-@query()
-def eager_children_whole(spark, sf):
-    return _children(spark, sf, "true")
-
-
-def _children(spark, sf, which):
-    c, o = table(spark, sf, "customer").filter(which).select("c_custkey"), table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    c, o = table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
     grouped = c.join(o, "c_custkey", "left").groupBy("c_custkey").agg(F.collect_list("o_orderkey").alias("orders"), F.count(F.lit(1)).alias("n"))
     return grouped.select("c_custkey", F.explode_outer("orders").alias("o_orderkey"), "n")

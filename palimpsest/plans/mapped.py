@@ -86,14 +86,14 @@ def feature_queries(spark, sf):
 
 
 _HINTS = """
-k AS (SELECT DISTINCT n_nationkey AS change_id, lower(n_name) AS keyword FROM nation UNION SELECT 100 + p_partkey, split_part(p_name, ' ', 1) FROM part WHERE p_partkey < 60),
+k AS (SELECT DISTINCT n_nationkey AS change_id, lower(n_name) AS keyword FROM nation UNION SELECT 100 + p_partkey, split_part(p_name, ' ', 1) FROM part),
 f AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS feature FROM part UNION SELECT 'an' UNION SELECT DISTINCT split_part(p_type, ' ', 3) FROM part),
 h AS (SELECT change_id, keyword, feature FROM k JOIN f ON contains(translate(lower(keyword), ' -.', '___'), translate(lower(feature), ' -.', '___')) OR contains(translate(lower(feature), ' -.', '___'), translate(lower(keyword), ' -.', '___')))"""
 
 
-def _hints(spark, sf, which="p_partkey < 60"):
+def _hints(spark, sf):
     p = table(spark, sf, "part")
-    k = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("change_id"), F.lower("n_name").alias("keyword")).union(p.filter(which).select(F.col("p_partkey") + 100, F.split_part("p_name", F.lit(" "), F.lit(1)))).distinct()
+    k = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("change_id"), F.lower("n_name").alias("keyword")).union(p.select(F.col("p_partkey") + 100, F.split_part("p_name", F.lit(" "), F.lit(1)))).distinct()
     f = p.select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("feature")).union(p.select(F.split_part("p_type", F.lit(" "), F.lit(3)))).union(spark.createDataFrame([("an",)], "feature string")).distinct()
     return k, mapping.hints(k, f)
 
@@ -109,16 +109,6 @@ def unknown_requirements(spark, sf):
     return mapping.unknown_requirements(k, h)
 
 
-@query()
-def feature_hints_whole(spark, sf):
-    return _hints(spark, sf, "true")[1]
-
-
-@query(f"WITH {_HINTS.replace(' WHERE p_partkey < 60', '')} SELECT change_id, keyword FROM k WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.change_id = k.change_id AND h.keyword = k.keyword)")
-def unknown_requirements_whole(spark, sf):
-    return mapping.unknown_requirements(*_hints(spark, sf, "true"))
-
-
 @query(f"""
 WITH {_FEATURE_SQL}, h AS (SELECT unnest(['tar', 'menthol', 'battery']) AS feature), m AS (SELECT f.*, h.feature IS NOT NULL AS hint FROM f LEFT JOIN h USING (feature)),
 s AS (SELECT *, bool_or(hint) OVER (PARTITION BY product_id) AS hinted FROM m) SELECT product_id, feature FROM s WHERE NOT hinted OR hint""")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.functions import jsonx, text
-from palimpsest.operators import reports
+from palimpsest.functions import ingest, jsonx
+from palimpsest.operators import reports, versions
 from palimpsest.plans.registry import query
 from palimpsest.sources.files import table
 
@@ -67,10 +67,12 @@ def node_json_merge(spark, sf):
     return merged.select("user_id", F.size("data").cast("long").alias("n_nodes"), F.array_join(F.transform(F.map_entries("data"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("data"))
 
 
-@query("SELECT u.user_id, coalesce(s.status, 'unknown') AS status FROM (SELECT unnest(range(0, 50))::BIGINT AS user_id) u LEFT JOIN (SELECT user_id, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS status FROM events GROUP BY 1) s USING (user_id)")
+@query("SELECT u.user_id, coalesce(s.status, 'unknown') AS status FROM (SELECT user_id FROM events UNION SELECT c_custkey FROM customer) u LEFT JOIN (SELECT user_id, arg_max(event_type, struct_pack(a := ts, b := event_id)) AS status FROM events GROUP BY 1) s USING (user_id)")
 def job_status_latest(spark, sf):
-    latest = reports.latest_status(table(spark, sf, "events"), "user_id", "event_type", "ts", "event_id")
-    return reports.status_of(spark.range(50).select(F.col("id").alias("user_id")), latest, "user_id").select("user_id", "status")
+    e = table(spark, sf, "events")
+    latest = reports.latest_status(e, "user_id", "event_type", "ts", "event_id")
+    wanted = e.select(F.col("user_id").cast("long").alias("user_id")).union(table(spark, sf, "customer").select("c_custkey")).distinct()
+    return reports.status_of(wanted, latest, "user_id").select("user_id", "status")
 
 
 _ITEMS = """
@@ -110,17 +112,16 @@ SELECT doc_id, CASE WHEN expected = upper(lang) THEN true ELSE false END AS coun
 def lang_country_validate(spark, sf):
     k = F.col("doc_id") % 4
     country = F.when(k == 0, "us").when(k == 1, "DE").when(k == 2, "FR").otherwise("ES")
-    expected = F.try_element_at(text.lookup(text.COUNTRY_LANGUAGES), F.upper(country))
-    found = F.upper("lang")
-    return table(spark, sf, "documents").select("doc_id", (expected == found).alias("country_match"), F.when((k == 0) & expected.isNotNull(), expected).otherwise(found).alias("language"))
+    told = ingest.validated_language(country, F.upper("lang"), k != 0)
+    return table(spark, sf, "documents").select("doc_id", told.alias("t")).select("doc_id", "t.country_match", "t.language")
 
 
 @query("SELECT prev || ' → ' || lang AS transition, count(*) AS n FROM (SELECT lang, lag(lang) OVER (PARTITION BY source ORDER BY doc_id) AS prev FROM documents) WHERE prev IS NOT NULL GROUP BY 1")
 def lang_transitions(spark, sf):
-    from pyspark.sql import Window
-
-    d = table(spark, sf, "documents").select("lang", F.lag("lang").over(Window.partitionBy("source").orderBy("doc_id")).alias("prev")).filter("prev is not null")
-    return reports.count_by(d.select(F.concat_ws(" → ", "prev", "lang").alias("transition")), "transition")
+    d = table(spark, sf, "documents").select("source", "doc_id", "lang")
+    old = d.select(F.col("doc_id").alias("previous"), F.col("lang").alias("prev"))
+    pairs = versions.previous(d, ["source"], "doc_id").join(d.select("doc_id", "lang"), "doc_id").join(old, "previous")
+    return reports.count_by(pairs.select(F.concat_ws(" → ", "prev", "lang").alias("transition")), "transition")
 
 
 @query("SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS changed, max(CASE WHEN value > 400 THEN 3 WHEN value > 200 THEN 2 ELSE 1 END) AS level, count(DISTINCT user_id) AS products, (ceil(count(*) * 1.2::DOUBLE) + 1)::BIGINT AS axis FROM events GROUP BY 1, 2")

@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scores, text
-from palimpsest.operators import changes, frames, mapping, retrieval
+from palimpsest.operators import changes, frames, mapping, reports, retrieval
+from palimpsest.operators.workflow import Workflow
 from palimpsest.plans.registry import query
+from palimpsest.sources import store
 from palimpsest.sources.files import table
 
 
-def detect_changes(blocks: DataFrame, matches: DataFrame | None = None) -> dict[str, DataFrame]:
+def detect_changes(blocks: DataFrame, matches: DataFrame | None = None, max_blocks: int | None = None) -> dict[str, DataFrame]:
     """All results, filtered results, summary and index.
 
+    ``max_blocks`` of each side are compared where it is given (a model's prompt
+    holds ``changes.MAX_BLOCKS``); without it, all are.
+
     ``blocks``: pair_id, side (old or new), block_id, section_ref, body,
     keywords. Blocks match by keywords unless a table of matches is given; new
     blocks without a match are new clauses.
     """
-    w = Window.partitionBy("pair_id", "side").orderBy("block_id")
-    few = blocks.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= changes.MAX_BLOCKS)
-    new, old = few.filter("side = 'new'"), few.filter("side = 'old'")
+    if max_blocks is not None:
+        w = Window.partitionBy("pair_id", "side").orderBy("block_id")
+        blocks = blocks.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= max_blocks)
+    new, old = blocks.filter("side = 'new'"), blocks.filter("side = 'old'")
     if matches is None:
         matches = changes.greedy_matches(changes.block_candidates(new, old, "pair_id", "block_id", "keywords"), "pair_id")
     a = new.select("pair_id", F.col("block_id").alias("new_id"), "section_ref", F.col("body").alias("new_text"), F.col("keywords").alias("new_words"))
@@ -36,8 +42,8 @@ def detect_changes(blocks: DataFrame, matches: DataFrame | None = None) -> dict[
     return {"all": leveled, "results": kept, "summary": summary, "index": frames.last_wins(kept.filter("change_detected"), ["section"], "pos")}
 
 
-def map_products(features: DataFrame, queries: DataFrame, points: DataFrame, changed: DataFrame, top_k: int = 10, alpha: float = 0.7) -> dict[str, DataFrame]:
-    """Mapping items and targets of a country's products.
+def map_products(features: DataFrame, queries: DataFrame, points: DataFrame, changed: DataFrame, top_k: int = 10, alpha: float = 0.7, within: Column | None = None) -> dict[str, DataFrame]:
+    """Mapping items and targets of a country's products; ``within`` narrows the points, to a country and a regulation.
 
     ``features``: product_id, feature, value, unit. ``queries``: a dense vector
     for each distinct feature. ``points``: point_id, embedding, doc_id, body.
@@ -45,7 +51,7 @@ def map_products(features: DataFrame, queries: DataFrame, points: DataFrame, cha
     """
     named = queries.select(F.col("feature").alias("query_id"), "embedding")
     words = retrieval.tokens(queries.select(F.col("feature").alias("query_id"), "query"), "query_id", "query").withColumnRenamed("n", "query_n")
-    found = retrieval.hybrid_search(named, words, points, retrieval.tokens(points, "point_id", "body"), top_k, alpha)
+    found = retrieval.hybrid_search(named, words, points, retrieval.tokens(points, "point_id", "body"), top_k, alpha, within)
     ranked = found.join(points.select("point_id", "doc_id", "body"), "point_id").withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id")))
     capped = mapping.cap_per_document(ranked, "query_id", "doc_id", "point_id", "pos")
     chunks = capped.select(F.col("query_id").alias("feature"), "point_id", "pos", F.split(F.lower("body"), r"\s+").alias("words"), F.regexp_extract("body", r"(\d+(?:\.\d+)?)", 1).alias("_number")).withColumn("required_value", F.nullif("_number", F.lit("")))
@@ -81,3 +87,60 @@ def product_mapping_run(spark, sf):
     features = mapping.unpivot_features(parts, "product_id", ["nicotine", "label"])
     out = map_products(features, queries, points, docs)
     return out["items"].select("product_id", "feature", "point_id", "applies", "gap")
+
+
+def regulation_flow(spark, sf, folder: str) -> Workflow:
+    """The whole run over saved tables: blocks, changes, points of what changed, mapped products, strategies, impact, report.
+
+    A feature of the products is the key from mapping on. Where no document
+    changed, nothing is embedded, and the stages after it are empty.
+    """
+
+    def preprocess(t):
+        return _pairs(spark, sf)
+
+    def changed(t):
+        return detect_changes(t["preprocess"])["results"].select("pair_id", "section", "pos", "change_type", "change_detected", "level", "confidence")
+
+    def embed(t):
+        docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("body"))
+        due = t["detect_changes"].filter("change_detected").select(F.expr("pos div 1000").alias("doc_id")).distinct()
+        return docs.join(due, "doc_id", "left_semi").select(F.col("doc_id").alias("point_id"), "doc_id", "body", scores.pseudo_embedding(F.col("body")).alias("embedding"))
+
+    def mapped(t):
+        names = spark.createDataFrame([("nicotine", "the concentration"), ("label", "warning text")], "feature string, query string")
+        queries = names.withColumn("embedding", scores.pseudo_embedding(F.col("query")))
+        parts = table(spark, sf, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_size").alias("nicotine"), F.col("p_brand").alias("label"))
+        items = map_products(mapping.unpivot_features(parts, "product_id", ["nicotine", "label"]), queries, t["embed"], t["detect_changes"])["items"]
+        return items.select("product_id", "feature", "point_id", "applies", "required_value", "gap")
+
+    def strategies(t):
+        due = t["map_products"].filter("applies").groupBy("feature").agg(F.countDistinct("product_id").alias("products"), F.min("required_value").alias("least"))
+        line = F.concat(F.lit("bring "), F.col("feature"), F.lit(" of "), F.col("products").cast("string"), F.lit(" products to "), F.coalesce("least", F.lit("what is asked")))
+        return due.select("feature", line.alias("strategy"))
+
+    def impact(t):
+        share = F.countDistinct(F.when(F.col("applies"), F.col("product_id"))) / F.countDistinct("product_id")
+        found = t["map_products"].groupBy("feature").agg(share.alias("share"), F.max(F.col("applies").cast("int")).alias("direct"))
+        band = scores.scope_band(F.col("share"))
+        factors = {"directness": F.col("direct"), "legal_severity": band, "scope": band, "regulatory_urgency": F.lit(1), "operational_urgency": F.lit(1), "response_cost": band}
+        total = scores.impact_score(factors)
+        return found.select("feature", F.round(total.cast("double"), 2).alias("score"), scores.impact_level(total).alias("level"))
+
+    def report(t):
+        line = lambda rows, said: rows.select("feature", F.lit(0).alias("pos"), said.alias("line"))
+        overall = line(t["score_impact"], F.concat_ws(" ", "level", F.col("score").cast("string")))
+        plans = line(t["generate_strategy"], F.col("strategy"))
+        kinds = t["detect_changes"].filter("change_detected").groupBy("change_type").agg(F.count(F.lit(1)).alias("n"))
+        found = t["score_impact"].select("feature").join(F.broadcast(kinds)).select("feature", F.col("change_type").alias("pos"), F.concat_ws(" ", "change_type", F.col("n").cast("string")).alias("line"))
+        parts = [("overall_summary", "list", "0. 종합 요약", overall, ""), ("change_summary", "list", "1. 규제 변경 요약", found, "변경 사항 없음"), ("strategy", "list", "5. 대응 전략 제안", plans, "(빈값 대응) 전략 수립 데이터 부족")]
+        return reports.report_sections(t["score_impact"], "feature", parts)
+
+    stages = {"preprocess": preprocess, "detect_changes": changed, "embed": embed, "map_products": mapped, "generate_strategy": strategies, "score_impact": impact, "report": report}
+    return Workflow(spark, folder, stages)
+
+
+@query()
+def regulation_run(spark, sf):
+    out = regulation_flow(spark, sf, store.work_folder(spark, "regulation-run")).run({})["report"]
+    return out.select("feature", "place", "section_id", F.array_join("content", "|").alias("content"))

@@ -11,22 +11,24 @@ from palimpsest.sources.files import table
 
 _DENSE = """
 dn AS (SELECT query_id, point_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM (
-  SELECT q.vec_id AS query_id, p.vec_id AS point_id, round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings p WHERE q.vec_id < 5))"""
+  SELECT q.vec_id AS query_id, p.vec_id AS point_id, round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings p WHERE q.vec_id % 20 = 0))"""
 _SPARSE = """
-t AS (SELECT doc_id AS point_id, w AS token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(trim(text)), '\\s+')) AS w FROM documents WHERE doc_id < 500) WHERE w <> '' GROUP BY ALL),
-u AS (SELECT item_id AS query_id, w AS token, count(*) AS n FROM (SELECT item_id, unnest(regexp_split_to_array(lower(trim(text)), '\\s+')) AS w FROM benchmark WHERE item_id < 5) WHERE w <> '' GROUP BY ALL),
+t AS (SELECT doc_id AS point_id, w AS token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(trim(text)), '\\s+')) AS w FROM documents) WHERE w <> '' GROUP BY ALL),
+u AS (SELECT item_id AS query_id, w AS token, count(*) AS n FROM (SELECT item_id, unnest(regexp_split_to_array(lower(trim(text)), '\\s+')) AS w FROM benchmark WHERE item_id % 20 = 0) WHERE w <> '' GROUP BY ALL),
 sp AS (SELECT query_id, point_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM (
   SELECT query_id, point_id, sum(t.n * u.n)::DOUBLE AS score FROM t JOIN u USING (token) GROUP BY ALL))"""
 
 
-def _vectors(spark, sf, which="vec_id < 5"):
+def _vectors(spark, sf):
+    """Every twentieth vector as a query, against all points."""
     e = table(spark, sf, "embeddings")
-    return e.filter(which).select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("point_id"), "embedding")
+    return e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("point_id"), "embedding")
 
 
-def _words(spark, sf, which="item_id < 5", docs="doc_id < 500"):
-    q = retrieval.tokens(table(spark, sf, "benchmark").filter(which).withColumnRenamed("item_id", "query_id"), "query_id", "text").withColumnRenamed("n", "query_n")
-    return q, retrieval.tokens(table(spark, sf, "documents").filter(docs).withColumnRenamed("doc_id", "point_id"), "point_id", "text")
+def _words(spark, sf):
+    """Every twentieth item as a query, against all documents."""
+    q = retrieval.tokens(table(spark, sf, "benchmark").filter("item_id % 20 = 0").withColumnRenamed("item_id", "query_id"), "query_id", "text").withColumnRenamed("n", "query_n")
+    return q, retrieval.tokens(table(spark, sf, "documents").withColumnRenamed("doc_id", "point_id"), "point_id", "text")
 
 
 @query(f"WITH {_DENSE} SELECT query_id, point_id, score, rank FROM dn WHERE rank <= 10")
@@ -37,7 +39,7 @@ def dense_topk(spark, sf):
 
 @query("""
 SELECT query_id, point_id, score FROM (SELECT q.vec_id AS query_id, p.vec_id AS point_id, round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6) DESC, p.vec_id) AS k
-  FROM embeddings q, embeddings p WHERE q.vec_id < 5 AND p.label = 1) WHERE k <= 5""")
+  FROM embeddings q, embeddings p WHERE q.vec_id % 20 = 0 AND p.label = 1) WHERE k <= 5""")
 def filtered_nearest(spark, sf):
     q, _ = _vectors(spark, sf)
     points = table(spark, sf, "embeddings").select(F.col("vec_id").alias("point_id"), "embedding", "label")
@@ -61,34 +63,6 @@ def hybrid_rrf(spark, sf):
     return retrieval.hybrid_search(q, qt, p, pt, 10).select("query_id", "point_id", F.round("score", 8).alias("score"))
 
 
-#: The whole job, without SQL: every twentieth row as a query, against all points and all documents.
-_VECTORS, _ITEMS = "vec_id % 20 = 0", "item_id % 20 = 0"
-
-
-@query()
-def dense_topk_whole(spark, sf):
-    return retrieval.dense_topk(*_vectors(spark, sf, _VECTORS), 10).withColumn("rank", F.col("rank").cast("long"))
-
-
-@query()
-def filtered_nearest_whole(spark, sf):
-    q, _ = _vectors(spark, sf, _VECTORS)
-    points = table(spark, sf, "embeddings").select(F.col("vec_id").alias("point_id"), "embedding", "label")
-    return retrieval.nearest(q, points, 5, F.col("label") == 1).select("query_id", "point_id", "score")
-
-
-@query()
-def sparse_topk_whole(spark, sf):
-    return retrieval.sparse_topk(*_words(spark, sf, _ITEMS, "true"), 10).withColumn("rank", F.col("rank").cast("long"))
-
-
-@query()
-def hybrid_rrf_whole(spark, sf):
-    q, p = _vectors(spark, sf, _VECTORS)
-    qt, pt = _words(spark, sf, _ITEMS, "true")
-    return retrieval.hybrid_search(q, qt, p, pt, 10).select("query_id", "point_id", F.round("score", 8).alias("score"))
-
-
 @query("SELECT doc_id, token, n FROM (SELECT doc_id, w AS token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(trim(text)), '\\s+')) AS w FROM documents) WHERE w <> '' GROUP BY ALL)")
 def bag_of_words(spark, sf):
     return retrieval.tokens(table(spark, sf, "documents"), "doc_id", "text")

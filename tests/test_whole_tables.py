@@ -1,4 +1,4 @@
-"""Queries over whole tables, which have no SQL, against plain versions."""
+"""Queries over whole tables against plain versions."""
 
 import re
 from collections import Counter, defaultdict
@@ -55,7 +55,7 @@ def close(found, want):
 
 def test_dense_search_of_all_queries(spark, read):
     e = read("embeddings")
-    for name, k, keep in (("dense_topk_whole", 10, lambda x: True), ("filtered_nearest_whole", 5, lambda x: x == 1)):
+    for name, k, keep in (("dense_topk", 10, lambda x: True), ("filtered_nearest", 5, lambda x: x == 1)):
         found = {(q, p): (s,) for q, p, s in rows(spark, name, "query_id", "point_id", "score")}
         scored = plain_dense(e, keep)
         assert close(found, first(scored, k)) and len({q for q, _ in found}) == (e.vec_id % 20 == 0).sum()
@@ -64,7 +64,7 @@ def test_dense_search_of_all_queries(spark, read):
 
 def test_sparse_search_of_all_documents(spark, read):
     docs, items = read("documents"), read("benchmark")
-    found = {(q, p): (s, r) for q, p, s, r in rows(spark, "sparse_topk_whole", "query_id", "point_id", "score", "rank")}
+    found = {(q, p): (s, r) for q, p, s, r in rows(spark, "sparse_topk", "query_id", "point_id", "score", "rank")}
     assert found == first(plain_sparse(docs, items), 10)
     assert max(p for _, p in found) >= 500
 
@@ -72,7 +72,7 @@ def test_sparse_search_of_all_documents(spark, read):
 def test_hybrid_search_of_all(spark, read):
     dense, sparse = first(plain_dense(read("embeddings")), 20), first(plain_sparse(read("documents"), read("benchmark")), 20)
     fused = {k: (0.7 / (dense[k][1] + 60) if k in dense else 0) + (0.3 / (sparse[k][1] + 60) if k in sparse else 0) for k in dense.keys() | sparse.keys()}
-    found = {(q, p): (s,) for q, p, s in rows(spark, "hybrid_rrf_whole", "query_id", "point_id", "score")}
+    found = {(q, p): (s,) for q, p, s in rows(spark, "hybrid_rrf", "query_id", "point_id", "score")}
     assert close(found, first(fused, 10))
 
 
@@ -94,7 +94,7 @@ def plain_matches(docs, least):
 
 def test_documents_of_any_length_are_matched(spark, read):
     docs = read("documents")
-    assert rows(spark, "jaccard_candidates_whole", "source", "new_id", "old_id", "score") == plain_matches(docs, 0.3)[0]
+    assert rows(spark, "jaccard_candidates", "source", "new_id", "old_id", "score") == plain_matches(docs, 0.3)[0]
     found = rows(spark, "jaccard_greedy_match", "source", "new_id", "old_id")
     assert found == plain_matches(docs, 0.1)[1]
     long_ = set(docs.doc_id[docs.n_chars >= 1500])
@@ -129,14 +129,14 @@ def test_all_customers_and_orders(spark, read):
     for c, o, d in zip(orders.o_custkey, orders.o_orderkey, orders.o_orderdate, strict=True):
         by[c].append((d, o))
     ids = sorted(read("customer").c_custkey)
-    found = {(c, o, n) for c, o, n in rows_any(spark, "eager_children_whole", "c_custkey", "o_orderkey", "n")}
+    found = {(c, o, n) for c, o, n in rows_any(spark, "eager_children", "c_custkey", "o_orderkey", "n")}
     assert found == {(c, o, max(1, len(by[c]))) for c in ids for o in ([o for _, o in by[c]] or [None])}
     want = set()
     for made in by.values():
         for d, o in made:
             earlier = [x for x in made if (x[0].month, x[0].day) < (d.month, d.day)]
             want |= {(o, max(earlier)[1])} if earlier else set()
-    assert set(rows_any(spark, "legacy_month_day_whole", "o_orderkey", "found_id")) == want
+    assert set(rows_any(spark, "legacy_month_day", "o_orderkey", "found_id")) == want
 
 
 def rows_any(spark, name, *columns):
@@ -146,14 +146,14 @@ def rows_any(spark, name, *columns):
 def test_all_documents_have_a_role_and_a_verdict(spark, read):
     ids = read("documents").doc_id.tolist()
     prior = read("labels").groupby("doc_id").quality.min().to_dict()
-    assert set(rows_any(spark, "prior_verdicts_whole", "doc_id", "prior")) == {(d, prior.get(d)) for d in ids}
+    assert set(rows_any(spark, "prior_verdicts", "doc_id", "prior")) == {(d, prior.get(d)) for d in ids}
     old = [d for d in ids if d % 4 >= 2]
     want = set()
     for c in (d for d in ids if d % 4 < 2):
         tests = (lambda k, c=c: k % 2 == 0 and k % 30 == c % 11, lambda k, c=c: k % 400 == c % 40, lambda k, c=c: k % 17 == c % 17)
         best = [(p + 1, k) for p, t in enumerate(tests) for k in old if t(k)]
         want |= {(c, min(best)[1], min(best)[0])} if best else set()
-    assert set(rows_any(spark, "change_match_priority_whole", "change_id", "candidate", "priority")) == want
+    assert set(rows_any(spark, "change_match_priority", "change_id", "candidate", "priority")) == want
 
 
 def test_all_parts_and_suppliers(spark, read):
@@ -163,12 +163,12 @@ def test_all_parts_and_suppliers(spark, read):
     names = {word(x, 1) for x in part.p_name} | {word(x, 2) for x in part.p_type} | {"an"}
     plain = lambda x: re.sub("[ .-]", "_", x.lower())
     hints = {(i, k, f) for i, k in keys for f in names if plain(f) in plain(k) or plain(k) in plain(f)}
-    assert set(rows_any(spark, "feature_hints_whole", "change_id", "keyword", "feature")) == hints
-    assert set(rows_any(spark, "unknown_requirements_whole", "change_id", "keyword")) == keys - {(i, k) for i, k, _ in hints}
+    assert set(rows_any(spark, "feature_hints", "change_id", "keyword", "feature")) == hints
+    assert set(rows_any(spark, "unknown_requirements", "change_id", "keyword")) == keys - {(i, k) for i, k, _ in hints}
     suppliers = read("supplier")
-    nodes = set(rows_any(spark, "entity_nodes_whole", "doc", "name"))
+    nodes = set(rows_any(spark, "entity_nodes", "doc", "name"))
     assert {(k % 5, n) for k, n in zip(suppliers.s_suppkey, suppliers.s_name, strict=True)} <= nodes
-    edges = rows_any(spark, "entity_graph_whole", "doc", "source", "target")
+    edges = rows_any(spark, "entity_graph", "doc", "source", "target")
     assert {t for _, _, t in edges} >= set(suppliers.s_name)
     count = {d: len({e for e in edges if e[0] == d}) for d in range(5)}
-    assert {d: n for d, n in rows_any(spark, "graph_density_whole", "doc", "n_edges")} == count
+    assert {d: n for d, n in rows_any(spark, "graph_density", "doc", "n_edges")} == count
