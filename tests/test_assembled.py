@@ -190,3 +190,27 @@ def test_embeddings_come_in_batches(spark):
     found = {r["i"]: r["embedding"] for r in retrieval.embedded(rows, "t", model, 3, 4).collect()}
     sizes = [found[i][0] for i in range(8)]
     assert sizes == [3.0] * 6 + [2.0] * 2 and found[6][1] == 4.0 and found[7][1] == 0.0
+
+
+def test_chunkers_and_parsers_over_whole_tables(spark):
+    import pandas as pd
+    import xxhash
+
+    from palimpsest.functions.html import plain_text
+
+    docs, pages = pd.read_parquet(f"{DATA}/documents.parquet"), pd.read_parquet(f"{DATA}/pages.parquet")
+    rows = lambda name: sorted(tuple(r) for r in catalog.queries()[name](spark, DATA).collect())
+    headers, parts, packs, vectors = [], [], [], []
+    for doc, body in zip(docs.doc_id, docs.text, strict=True):
+        lines = [f"{'#' * (i // 5 % 3 + 1)} {x[:30]}" if i % 5 == 0 else x for i, x in enumerate(body.split("\n"))]
+        headers += [(doc, i, " > ".join(c["hierarchy"]), len(c["body"])) for i, c in enumerate(chunking.split_headers("\n".join(lines)))]
+        parts += [(doc, i, len(x)) for i, x in enumerate(chunking.split_long(body, 200, 300, 50))]
+        packs += [(doc, i, len(x)) for i, x in enumerate(chunking.pack_lines(body, 1000))]
+        words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", body.strip(" ").lower()) if w]
+        vectors.append((doc, len({xxhash.xxh64_intdigest(w.encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest(w.encode(), 42) >> 63) for w in words}), float(len(words))))
+    assert rows("chunk_headers") == sorted(headers) and rows("chunk_split") == sorted(parts) and rows("chunk_pack") == sorted(packs)
+    found = rows("sparse_vectors")
+    assert [(d, w) for d, _, w in found] == [(d, w) for d, _, w in sorted(vectors)]
+    # buckets are shared by few words
+    assert all(n - 3 * n * n / retrieval.BUCKETS - 3 <= k <= n for (_, k, _), (_, n, _) in zip(found, sorted(vectors), strict=True))
+    assert rows("html_to_text") == sorted((i, plain_text(h)) for i, h in zip(pages.page_id, pages.html, strict=True))
