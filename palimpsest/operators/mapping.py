@@ -30,9 +30,25 @@ def unpivot_features(products: DataFrame, ident: str, features: Sequence[str]) -
     return products.select(F.col(ident).alias("product_id"), F.inline(items)).filter("value is not null and value <> ''")
 
 
+def _grams(key: Column) -> Column:
+    """All runs of one to three characters of a key, each once, and the empty one."""
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(key), F.lit(1))), lambda i: F.array(*(F.substr(key, i, F.lit(n)) for n in (1, 2, 3))))
+    return F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(runs)))
+
+
 def hints(keywords: DataFrame, features: DataFrame) -> DataFrame:
-    """(change_id, keyword, feature) where one names the other. Both sides are vocabularies of a product line."""
-    return keywords.join(features, text.hinted(F.col("keyword"), F.col("feature")))
+    """(change_id, keyword, feature) where one names the other, as token keys.
+
+    What lies in a key begins with a run of it: both ways are joins on the first
+    three characters of one side and the runs of the other, and then compared.
+    """
+    k = keywords.withColumn("_k", text.token_key(F.col("keyword")))
+    f = features.withColumn("_f", text.token_key(F.col("feature")))
+    head = lambda c: F.left(c, F.lit(3)).alias("_g")
+    inside = k.select("*", F.explode(_grams(F.col("_k"))).alias("_g")).join(f.select("*", head("_f")), "_g").filter(F.contains("_k", F.col("_f")))
+    around = f.select("*", F.explode(_grams(F.col("_f"))).alias("_g")).join(k.select("*", head("_k")), "_g").filter(F.contains("_f", F.col("_k")))
+    names = [*keywords.columns, *features.columns]
+    return inside.select(*names).union(around.select(*names)).distinct()
 
 
 def unknown_requirements(keywords: DataFrame, found: DataFrame) -> DataFrame:
