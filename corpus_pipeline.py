@@ -41,7 +41,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     gone = classes.filter("class_id <> doc_id").select(F.col("doc_id").alias("id"))
     again = classes.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("id"))
     row = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
-    left = row.join(gone, "id", "left_anti")
+    # by shuffle at every size: what goes grows with the corpus
+    left = row.join(gone.hint("merge"), "id", "left_anti")
     if again.isEmpty():
         return left.select("row.*")
     first = Window.partitionBy("id").orderBy(F.col("row.text").asc_nulls_first())
