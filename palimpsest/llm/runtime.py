@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import sys
@@ -9,6 +11,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,11 +95,14 @@ def release(spark: SparkSession) -> None:
 
 
 def drop_caches() -> None:
-    """In a Python worker: forget the token pieces of an earlier operator. Workers live on from one to the next."""
+    """In a Python worker: forget the token pieces of an earlier operator and give their memory back. Workers live on from one to the next."""
     held = sys.modules.get("palimpsest.llm.tokens")
-    if held is not None:
+    if held is not None and held.encoder.cache_info().currsize:
         held.encoder.cache_clear()
         gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def shuffle_width(spark: SparkSession) -> int:

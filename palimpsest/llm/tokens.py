@@ -204,7 +204,7 @@ class PieceEncoder:
     MARKS = ".,;:!?$%&*#"
     MARKED = "[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f][.,;:!?$%&*#]$"
     #: Pieces that a worker remembers, code points of the longest of them, and bytes of texts encoded at once.
-    KEEP, LONG, SLICE = 1_000_000, 40, 1 << 23
+    KEEP, LONG, SLICE = 700_000, 40, 1 << 22
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -223,14 +223,24 @@ class PieceEncoder:
         self.forget()
 
     def forget(self) -> None:
-        """Start with no piece known. Piece k has the ids from ``start[k]`` on, ``size[k]`` of them."""
+        """Start with no piece known. Piece k has the ids from ``start[k]`` on, ``size[k]`` of them; ``again`` tells if it was met again."""
         self.known: dict[str, int] = {}
         self.heads: dict[str, int] = {}
         self.marks: dict[str, int] = {}
-        self.ids, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.start, self.size, self.again = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
         ids = self._ids(list(self.MARKS))
         self._store(self.marks, list(self.MARKS), np.concatenate(ids), np.array([len(x) for x in ids]))
 
+    def thin_out(self) -> None:
+        """Forget the pieces that were not met again since they were learnt, or since this was last done; all, if most were."""
+        kept = [p for p, k in self.known.items() if self.again[k]]
+        numbers = np.array([self.known[p] for p in kept], np.int64)
+        if len(kept) > self.KEEP * 0.7:
+            kept, numbers = [], numbers[:0]
+        ids, size = self._gather(self.start[numbers], self.size[numbers]), self.size[numbers]
+        self.forget()
+        self._store(self.known, kept, ids, size)
+
     def _odd(self, text: str) -> bool:
         return any(c in text for c in self.ODD)
 
@@ -261,12 +271,15 @@ class PieceEncoder:
         self.ids = np.concatenate([self.ids, ids])
         self.start = np.concatenate([self.start, begin + np.cumsum(sizes) - sizes])
         self.size = np.concatenate([self.size, sizes])
+        self.again = np.concatenate([self.again, np.zeros(len(sizes), bool)])
         known.update(zip(pieces, range(first, first + len(pieces)), strict=True))
 
     def _gather(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The ids of pieces, one after the other."""
         ends = np.cumsum(size)
-        return self.ids[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        at = np.repeat((start - (ends - size)).astype(np.int32), size)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.ids[at]
 
     def _learn(self, pieces: list[str]) -> None:
         """Number new pieces; one that starts with a line break has no space before its word."""
@@ -284,6 +297,7 @@ class PieceEncoder:
     def _numbers(self, pieces: list[str], known: dict[str, int], learn) -> np.ndarray:
         """The number of each of the distinct ``pieces``."""
         found = list(map(known.get, pieces))
+        self.again[[k for k in found if k is not None]] = True
         new = {p for p, k in zip(pieces, found, strict=True) if k is None}
         if new:
             learn(sorted(new))
@@ -296,7 +310,7 @@ class PieceEncoder:
 
     def _by_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) + len(self.heads) > self.KEEP:
-            self.forget()
+            self.thin_out()
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         off = split.offsets.to_numpy()
         numbered = pc.dictionary_encode(split.values)
