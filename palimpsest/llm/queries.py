@@ -17,6 +17,7 @@ WHERE = {
     "op8_html_extraction": "pages",
     "op9_private_surrogates": "private",
     "op10_near_duplicates": "neardup",
+    "op11_cross_tokenizer": "crosstok",
     "op13_fill_in_middle": "infill",
 }
 

@@ -74,10 +74,10 @@ class Tables:
         self.spark = prepare(spark)
         self.base = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
-    def put(self, name: str, df: DataFrame) -> DataFrame:
-        """Write ``df`` and go on from the written rows."""
+    def put(self, name: str, df: DataFrame, by: str | None = None) -> DataFrame:
+        """Write ``df``, in a folder for each value of ``by`` where that is given, and go on from the written rows."""
         path = f"{self.base}/{name}"
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
