@@ -18,6 +18,7 @@ WHERE = {
     "op9_private_surrogates": "private",
     "op10_near_duplicates": "neardup",
     "op11_cross_tokenizer": "crosstok",
+    "op12_substring_dedup": "relative",
     "op13_fill_in_middle": "infill",
 }
 
