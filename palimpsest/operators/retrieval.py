@@ -1,27 +1,21 @@
-"""Dense, sparse and hybrid search as joins of a query table with a point table.
-
-Queries are the small side: they are joined by broadcast if they fit the
-session's threshold, which Spark checks, and in blocks otherwise.
-"""
+"""Dense, sparse and hybrid search of a query table in a point table, through inverted lists and an inverted index."""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from palimpsest.functions import scores
 from palimpsest.operators.frames import top_per
+from palimpsest.operators.postings import Index
+from palimpsest.operators.vectorlists import Lists
 
 BUCKETS = 50_000
 RANK_BASE = 60
-#: Queries that are sent to all tasks at once.
-QUERY_BLOCK = 4096
 
 
 def tokens(df: DataFrame, ident: str, body: str) -> DataFrame:
@@ -37,36 +31,24 @@ def sparse_vector(df: DataFrame, ident: str, body: str, buckets: int = BUCKETS)
     return summed.groupBy(ident).agg(F.array_sort(F.collect_list(F.struct("index", "value"))).alias("sparse"))
 
 
-def dense_topk(queries: DataFrame, points: DataFrame, k: int, where: Column | None = None) -> DataFrame:
-    """(query_id, point_id, score, rank): exact cosine top k. Both frames have an id and ``embedding``.
-
-    Queries in blocks of ``QUERY_BLOCK`` are held against all points where they
-    are read; ranks are limited in each task before rows move.
-    """
-    points = points if where is None else points.filter(where)
-    normed = points.select("point_id", "embedding", F.sqrt(scores.dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
-    n = max(1, -(-queries.count() // QUERY_BLOCK))
-    block_of = F.pmod(F.xxhash64("query_id"), F.lit(n))
-    blocks = [queries] if n == 1 else [queries.filter(block_of == i) for i in range(n)]
-    parts = []
-    for block in blocks:
-        q = block.select("query_id", F.col("embedding").alias("_q"), F.sqrt(scores.dot(F.col("embedding"), F.col("embedding"))).alias("_qn"))
-        pairs = normed.join(F.broadcast(q))
-        parts.append(pairs.select("query_id", "point_id", F.round(scores.dot(F.col("embedding"), F.col("_q")) / (F.col("norm") * F.col("_qn")), 6).alias("score")))
-    return ranked(reduce(DataFrame.unionByName, parts), k)
-
-
-def sparse_topk(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """(query_id, point_id, score, rank): sum over shared tokens of the product of counts. Frames from ``tokens``."""
-    shared = points.join(queries, "token").groupBy("query_id", "point_id").agg(F.sum(F.col("n") * F.col("query_n")).cast("double").alias("score"))
-    return ranked(shared, k)
+def dense_topk(queries: DataFrame, points: DataFrame | Lists, k: int, where: Column | None = None) -> DataFrame:
+    """(query_id, point_id, score, rank): exact cosine top k from inverted lists, built here where no index is given."""
+    if isinstance(points, Lists):
+        return points.search(queries, k, where)
+    return Lists.build(points if where is None else points.filter(where)).search(queries, k)
 
 
-def ranked(scored: DataFrame, k: int) -> DataFrame:
-    from pyspark.sql import Window
+def sparse_topk(queries: DataFrame, points: DataFrame | Index, k: int, allowed: DataFrame | None = None) -> DataFrame:
+    """(query_id, point_id, score, rank): sum over shared tokens of the product of counts, from an inverted index, built here where none is given.
 
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("point_id").asc())
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    ``queries``: query_id, token, query_n. ``points``: an index, or point_id,
+    token, n. ``allowed``: the point_id that may be found.
+    """
+    if isinstance(points, Index):
+        return points.search(queries, k, allowed)
+    # an index for this search alone holds no other tokens than those asked for
+    points = points.join(queries.select("token").distinct(), "token", "left_semi")
+    return Index.build(points if allowed is None else points.join(allowed.select("point_id"), "point_id", "left_semi")).search(queries, k)
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, limit: int, alpha: float = 0.7) -> DataFrame:
@@ -79,17 +61,19 @@ def fuse(dense: DataFrame, sparse: DataFrame, limit: int, alpha: float = 0.7) ->
     return top_per(both, ["query_id"], [F.col("score").desc(), F.col("dense_rank").asc_nulls_last(), F.col("sparse_rank").asc_nulls_last(), F.col("point_id").asc()], limit)
 
 
-def hybrid_search(query_vectors: DataFrame, query_tokens: DataFrame, points: DataFrame, point_tokens: DataFrame, limit: int = 10, alpha: float = 0.7, filters: Column | None = None, strategy: str = "hybrid") -> DataFrame:
-    """Dense and sparse top 2 * limit, fused. ``filters`` hold for both sides."""
+def hybrid_search(
+    query_vectors: DataFrame, query_tokens: DataFrame, points: DataFrame | Lists, point_tokens: DataFrame | Index, limit: int = 10, alpha: float = 0.7, filters: Column | None = None, strategy: str = "hybrid"
+) -> DataFrame:
+    """Dense and sparse top 2 * limit, fused. ``filters`` hold for both sides; written indexes serve many searches and filters."""
     if strategy != "hybrid":
         raise ValueError(f"no such strategy: {strategy}")
+    allowed = None
     if filters is not None:
-        points = points.filter(filters)
-        point_tokens = point_tokens.join(points.select("point_id"), "point_id", "left_semi")
-    return fuse(dense_topk(query_vectors, points, 2 * limit), sparse_topk(query_tokens, point_tokens, 2 * limit), limit, alpha)
+        allowed = (points.table("members") if isinstance(points, Lists) else points).filter(filters).select("point_id")
+    return fuse(dense_topk(query_vectors, points, 2 * limit, filters), sparse_topk(query_tokens, point_tokens, 2 * limit, allowed), limit, alpha)
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, where: Column | None = None) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame | Lists, k: int, where: Column | None = None) -> DataFrame:
     return dense_topk(queries, points, k, where)
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import scores
 from palimpsest.operators import retrieval
+from palimpsest.operators.postings import Index
+from palimpsest.operators.vectorlists import Lists
 from palimpsest.plans.registry import query
 from palimpsest.sources.files import table
 
@@ -52,6 +54,34 @@ def sparse_topk(spark, sf):
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
+@query()
+def dense_lists_topk(spark, sf):
+    """From as many lists as hold a recall of 0.95 on the queries that it is measured on."""
+    q, p = _vectors(spark, sf)
+    index = Lists.build(p)
+    return index.search(q, 10, probed=index.calibrated(q, 10, 0.95)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query()
+def dense_probes(spark, sf):
+    """How many lists each exact search probes first and after, and how many it skips; points compared, of all."""
+    q, p = _vectors(spark, sf)
+    index = Lists.build(p)
+    of = lambda n: F.sum(F.when(n, 1).otherwise(0))
+    probes = index.plan(q, 10)["probes"]
+    rings = index.table("rings")
+    compared = probes.filter("round is not null").select("query_id", "list", F.explode(F.sequence("low", "high")).alias("ring")).join(rings, ["list", "ring"]).groupBy("query_id").agg(F.sum("size").alias("compared"))
+    told = probes.groupBy("query_id").agg(of(F.col("round") == 1).alias("first"), of(F.col("round") == 2).alias("after"), of(F.col("round").isNull()).alias("skipped"))
+    return told.join(compared, "query_id").crossJoin(rings.agg(F.sum("size").alias("points")))
+
+
+@query()
+def sparse_effort(spark, sf):
+    """Blocks read and skipped, points met and scored, of each search."""
+    q, p = _words(spark, sf)
+    return Index.build(p).effort(q, 10)
+
+
 @query(f"""
 WITH {_DENSE}, {_SPARSE}, f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.point_id, b.point_id) AS point_id, a.rank AS dr, b.rank AS sr,
   coalesce(0.7::DOUBLE / (a.rank + 60), 0.0) + coalesce(0.3::DOUBLE / (b.rank + 60), 0.0) AS score
