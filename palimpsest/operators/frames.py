@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.sources.store import work_folder
+
 
 def page(df: DataFrame, key: str, skip: int = 0, limit: int = 100) -> DataFrame:
     """Rows ``skip`` to ``skip + limit`` in order of the key."""
@@ -104,3 +106,21 @@ def numbered_page(df: DataFrame, order: Sequence[Column], page_no: int, size: in
 def capped(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, body: str, size: int) -> DataFrame:
     """First ``n`` rows of each key, their text cut to ``size`` characters: what a model is shown."""
     return top_per(df, keys, order, n).withColumn(body, F.left(body, F.lit(size)))
+
+
+def placed(df: DataFrame, order: Sequence[Column], name: str = "place") -> DataFrame:
+    """Adds the place of each row in an order over all rows, from 1.
+
+    Rows are sorted by range and written; the sizes of the ranges, one number
+    each, tell where every range begins.
+    """
+    where = work_folder(df.sparkSession, "placed")
+    df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()).write.parquet(where)
+    rows = df.sparkSession.read.parquet(where).withColumn("_range", F.shiftright("_id", 33))
+    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).orderBy("_range").collect()
+    starts, total = [], 0
+    for r in sizes:
+        starts.append((r["_range"], total))
+        total += r["n"]
+    begin = F.broadcast(df.sparkSession.createDataFrame(starts, "_range long, _begin long"))  # one row a range
+    return rows.join(begin, "_range").withColumn(name, F.col("_begin") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1).drop("_id", "_range", "_begin")

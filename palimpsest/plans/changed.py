@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scores, text
@@ -95,9 +94,11 @@ j AS (SELECT a.source, a.doc_id AS new_id, b.doc_id AS old_id, count(*) AS share
 
 
 def _blocks(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "source", F.split(F.lower("text"), r"\s+").alias("words"))
-    docs = docs.withColumn("seq", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
-    return docs.filter("seq % 2 = 1"), docs.filter("seq % 2 = 0")
+    """Documents of odd and of even number in their source; ids are numbered alone, texts are joined to them."""
+    docs = table(spark, sf, "documents")
+    numbers = versions.numbered(docs, ["source"], "doc_id").select("doc_id", "seq")
+    words = docs.select("doc_id", "source", F.split(F.lower("text"), r"\s+").alias("words")).join(numbers, "doc_id")
+    return words.filter("seq % 2 = 1"), words.filter("seq % 2 = 0")
 
 
 @query(_PAIRS + "SELECT source, new_id, old_id, round(shared / (a.n + b.n - shared), 6) AS score FROM j JOIN n a ON a.doc_id = new_id JOIN n b ON b.doc_id = old_id WHERE shared / (a.n + b.n - shared) >= 0.3")

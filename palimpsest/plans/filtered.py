@@ -35,8 +35,7 @@ def reports_filtered(spark, sf):
 def crawl_list(spark, sf):
     """Targets of a category, those enabled first."""
     rows = frames.optional(table(spark, sf, "customer"), c_mktsegment="MACHINERY").select("c_custkey", (F.col("c_acctbal") >= 0).alias("enabled"))
-    ordered = rows.groupBy().agg(F.array_sort(F.collect_list(F.struct((-F.col("enabled").cast("int")).alias("last"), "c_custkey", "enabled"))).alias("all"))
-    return ordered.select(F.posexplode("all").alias("place", "x")).select("x.c_custkey", "x.enabled", (F.col("place") + 1).cast("long").alias("place"))
+    return frames.placed(rows, [F.col("enabled").desc(), F.col("c_custkey")])
 
 
 @query("SELECT doc_id, len(string_split(text, chr(10))) - 1 AS n FROM documents WHERE len(string_split(text, chr(10))) > 1")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scores, text
-from palimpsest.operators import changes, frames, mapping, reports, retrieval
+from palimpsest.operators import changes, frames, mapping, reports, retrieval, versions
 from palimpsest.operators.workflow import Workflow
 from palimpsest.plans.registry import query
 from palimpsest.sources import store
@@ -59,15 +59,23 @@ def map_products(features: DataFrame, queries: DataFrame, points: DataFrame, cha
     return {"items": items, "targets": mapping.targets(items, ["product_id", "feature"])}
 
 
+#: More lines than a document has; a block's id is doc_id times this, and its line.
+LINES = 1 << 28
+
+
 def _pairs(spark, sf) -> DataFrame:
-    """Lines of every document beside those of the one before in its source: a document is new in its own pair and old in the next."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    docs = table(spark, sf, "documents").withColumn("seq", F.row_number().over(w)).withColumn("last", F.lead("doc_id").over(w).isNull())
-    roles = docs.select("source", "seq", "doc_id", "text", "last", F.explode(F.array(F.lit("new"), F.lit("old"))).alias("side")).filter("side = 'new' or not last")
+    """Lines of every document beside those of the one before in its source: a document is new in its own pair and old in the next.
+
+    Ids are numbered alone; texts are joined to them.
+    """
+    docs = table(spark, sf, "documents")
+    numbers = versions.numbered(docs, ["source"], "doc_id")
+    sides = F.when(F.col("seq") < F.col("of"), F.array(F.lit("new"), F.lit("old"))).otherwise(F.array(F.lit("new")))
+    roles = numbers.select("source", "seq", "doc_id", F.explode(sides).alias("side"))
     pair_id = F.concat_ws("/", "source", (F.col("seq") + F.when(F.col("side") == "old", 1).otherwise(0)).cast("string"))
-    lines = roles.select(pair_id.alias("pair_id"), "side", (F.col("doc_id") * 1000).alias("base"), F.posexplode(F.split("text", "\n")).alias("i", "body"))
-    block = lines.select("pair_id", "side", (F.col("base") + F.col("i")).alias("block_id"), F.concat(F.lit("§ "), F.col("i").cast("string"), F.lit("."), (F.col("base") / 1000 % 7).cast("int").cast("string")).alias("section_ref"), "body")
-    return block.withColumn("keywords", text.keywords(F.col("body")))
+    lines = roles.select("doc_id", "side", pair_id.alias("pair_id")).join(docs.select("doc_id", "text"), "doc_id").select("pair_id", "side", "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "body"))
+    section = F.concat(F.lit("§ "), F.col("i").cast("string"), F.lit("."), (F.col("doc_id") % 7).cast("string"))
+    return lines.select("pair_id", "side", (F.col("doc_id") * LINES + F.col("i")).alias("block_id"), section.alias("section_ref"), "body").withColumn("keywords", text.keywords(F.col("body")))
 
 
 @query()
@@ -104,7 +112,7 @@ def regulation_flow(spark, sf, folder: str) -> Workflow:
 
     def embed(t):
         docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("body"))
-        due = t["detect_changes"].filter("change_detected").select(F.expr("pos div 1000").alias("doc_id")).distinct()
+        due = t["detect_changes"].filter("change_detected").select(F.expr(f"pos div {LINES}").alias("doc_id")).distinct()
         return docs.join(due, "doc_id", "left_semi").select(F.col("doc_id").alias("point_id"), "doc_id", "body", scores.pseudo_embedding(F.col("body")).alias("embedding"))
 
     def mapped(t):

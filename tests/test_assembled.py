@@ -170,7 +170,7 @@ def test_the_whole_run(spark, tmp_path):
     flow = runs.regulation_flow(spark, DATA, str(tmp_path / "run"))
     tables = flow.run({})
     assert flow.made == list(flow.stages)
-    due = {r["d"] for r in tables["detect_changes"].filter("change_detected").select(F.expr("pos div 1000").alias("d")).collect()}
+    due = {r["d"] for r in tables["detect_changes"].filter("change_detected").select(F.expr(f"pos div {runs.LINES}").alias("d")).collect()}
     assert {r["doc_id"] for r in tables["embed"].collect()} == due
     features = {r["feature"] for r in tables["score_impact"].collect()}
     assert {(r["feature"], r["place"]) for r in tables["report"].collect()} == {(f, p) for f in features for p in range(3)}

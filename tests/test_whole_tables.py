@@ -110,7 +110,7 @@ def test_every_document_is_held_against_the_one_before(spark, read):
         for i in range(len(ids)):
             for side, k in (("new", i), ("old", i - 1)):
                 if k >= 0:
-                    want |= {(f"{source}/{i + 1}", side, ids[k] * 1000 + n, line) for n, line in enumerate(texts[k].split("\n"))}
+                    want |= {(f"{source}/{i + 1}", side, ids[k] * runs.LINES + n, line) for n, line in enumerate(texts[k].split("\n"))}
     found = [tuple(r) for r in runs._pairs(spark, DATA).select("pair_id", "side", "block_id", "body").collect()]
     assert len(found) == len(want) and set(found) == want
     pairs = {r[0] for r in rows(spark, "change_detection_run", "pair_id")}
