@@ -40,15 +40,35 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
 
 def staged_write(df: DataFrame, path: str) -> None:
-    """Write beside ``path`` and rename when all is written: readers see the old table or the new one, never a part."""
+    """Write beside ``path`` and swap when all is written. For one table that nobody reads meanwhile.
+
+    The old table is moved aside before the new one is moved in, and removed
+    after that: between the two moves there is none at ``path``, and ``recover`` puts
+    the old one back if the driver dies there. Use ``units.Store`` where readers
+    must find a table at every moment.
+    """
     spark = df.sparkSession
-    staged = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    recover(spark, path)
+    staged, aside = f"{path.rstrip('/')}-{uuid.uuid4().hex}", f"{path.rstrip('/')}-old"
     df.write.parquet(staged)
-    store, old = _path(spark, path)
-    new = _path(spark, staged)[1]
-    store.delete(old, True)
-    if not store.rename(new, old):
+    store, at = _path(spark, path)
+    old, new = _path(spark, aside)[1], _path(spark, staged)[1]
+    if store.exists(at) and not store.rename(at, old):
+        raise OSError(f"{path} could not be moved aside")
+    if not store.rename(new, at):
         raise OSError(f"{staged} could not be renamed to {path}")
+    store.delete(old, True)
+
+
+def recover(spark: SparkSession, path: str) -> bool:
+    """Put back a table that a swap has moved aside and not replaced; whether there was one."""
+    store, at = _path(spark, path)
+    old = _path(spark, f"{path.rstrip('/')}-old")[1]
+    if not store.exists(old):
+        return False
+    if store.exists(at):
+        return not store.delete(old, True)
+    return store.rename(old, at)
 
 
 def create_table(spark: SparkSession, name: str, schema: StructType | str) -> None:
