@@ -69,29 +69,11 @@ def _byte_level() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
 
 
-class Growing:
-    """Numbers one after the other in an array that doubles when it is full."""
-
-    def __init__(self, kind: type):
-        self.held, self.n = np.zeros(1024, kind), 0
-
-    def add(self, more: np.ndarray) -> None:
-        if self.n + len(more) > len(self.held):
-            wider = np.zeros(max(2 * len(self.held), self.n + len(more)), self.held.dtype)
-            wider[: self.n] = self.held[: self.n]
-            self.held = wider
-        self.held[self.n : self.n + len(more)] = more
-        self.n += len(more)
-
-    def __getitem__(self, at: np.ndarray) -> np.ndarray:
-        return self.held[at]
-
-
 class Side:
     """The ids of one tokeniser for numbered segments."""
 
     def __init__(self):
-        self.ids, self.start, self.size = Growing(np.int32), Growing(np.int64), Growing(np.int64)
+        self.ids, self.start, self.size = tb.Growing(np.int32), tb.Growing(np.int64), tb.Growing(np.int64)
 
     def add(self, ids: np.ndarray, size: np.ndarray) -> None:
         self.start.add(self.ids.n + np.cumsum(size) - size)
@@ -175,7 +157,7 @@ class Tools:
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.sides = Side(), Side()
-        self.right, self.again = Growing(bool), Growing(bool)
+        self.right, self.again = tb.Growing(bool), tb.Growing(bool)
 
     def thin_out(self) -> None:
         """Forget the segments that were not met again since they were learnt, or since this was last done; all, if most were."""

@@ -25,6 +25,24 @@ PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _POWERS: dict[str, np.ndarray] = {}
 
 
+class Growing:
+    """Numbers one after the other in an array that doubles when it is full."""
+
+    def __init__(self, kind: type):
+        self.held, self.n = np.zeros(1024, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.held):
+            wider = np.zeros(max(2 * len(self.held), self.n + len(more)), self.held.dtype)
+            wider[: self.n] = self.held[: self.n]
+            self.held = wider
+        self.held[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.held[at]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64."""
     x = x ^ (x >> U(30))

@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.runtime import one_text_per_id, prepare, shared_dir, shuffle_width
+from palimpsest.llm.textbytes import Growing
 
 BLOCK = 128
 PERCENTILES = (50, 75, 90, 95, 98, 100)
@@ -203,8 +204,8 @@ class PieceEncoder:
     #: Marks that are split from the end of a word, and where they stand: after a Latin letter or a digit.
     MARKS = ".,;:!?$%&*#"
     MARKED = "[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f][.,;:!?$%&*#]$"
-    #: Pieces that a worker remembers, code points of the longest of them, and bytes of texts encoded at once.
-    KEEP, LONG, SLICE = 700_000, 40, 1 << 22
+    #: Pieces that a worker remembers, code points of the longest of them, ids of all of them, and bytes of texts encoded at once.
+    KEEP, LONG, IDS, SLICE = 700_000, 40, 12_000_000, 1 << 22
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -227,13 +228,13 @@ class PieceEncoder:
         self.known: dict[str, int] = {}
         self.heads: dict[str, int] = {}
         self.marks: dict[str, int] = {}
-        self.ids, self.start, self.size, self.again = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.ids, self.start, self.size, self.again = Growing(np.uint32), Growing(np.int64), Growing(np.int64), Growing(bool)
         ids = self._ids(list(self.MARKS))
         self._store(self.marks, list(self.MARKS), np.concatenate(ids), np.array([len(x) for x in ids]))
 
     def thin_out(self) -> None:
         """Forget the pieces that were not met again since they were learnt, or since this was last done; all, if most were."""
-        kept = [p for p, k in self.known.items() if self.again[k]]
+        kept = [p for p, k in self.known.items() if self.again.held[k]]
         numbers = np.array([self.known[p] for p in kept], np.int64)
         if len(kept) > self.KEEP * 0.7:
             kept, numbers = [], numbers[:0]
@@ -267,11 +268,11 @@ class PieceEncoder:
 
     def _store(self, known: dict[str, int], pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         """Number new pieces, whose ids are given one after the other."""
-        first, begin = len(self.start), len(self.ids)
-        self.ids = np.concatenate([self.ids, ids])
-        self.start = np.concatenate([self.start, begin + np.cumsum(sizes) - sizes])
-        self.size = np.concatenate([self.size, sizes])
-        self.again = np.concatenate([self.again, np.zeros(len(sizes), bool)])
+        first = self.start.n
+        self.start.add(self.ids.n + np.cumsum(sizes) - sizes)
+        self.ids.add(ids)
+        self.size.add(sizes)
+        self.again.add(np.zeros(len(sizes), bool))
         known.update(zip(pieces, range(first, first + len(pieces)), strict=True))
 
     def _gather(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -294,22 +295,33 @@ class PieceEncoder:
                 ids = self._ids([p or " "])[0]
                 self._store(self.known, [p], ids, np.array([len(ids)]))
 
-    def _numbers(self, pieces: list[str], known: dict[str, int], learn) -> np.ndarray:
-        """The number of each of the distinct ``pieces``."""
-        found = list(map(known.get, pieces))
-        self.again[[k for k in found if k is not None]] = True
-        new = {p for p, k in zip(pieces, found, strict=True) if k is None}
-        if new:
-            learn(sorted(new))
-            found = list(map(known.__getitem__, pieces))
-        return np.array(found, np.int64)
+    def _numbers(self, stems: list[str], heads: list[str]) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
+        """The numbers of distinct stems and heads, and how many pieces and ids stay: what is longer than ``LONG`` is learnt last, for one slice."""
+        todo = []
+        for pieces, known, learn in ((stems, self.known, self._learn), (heads, self.heads, self._learn_heads)):
+            found = list(map(known.get, pieces))
+            self.again.held[[k for k in found if k is not None]] = True
+            new = sorted({p for p, k in zip(pieces, found, strict=True) if k is None})
+            short = [p for p in new if len(p) <= self.LONG]
+            todo.append((known, learn, [p for p in new if len(p) > self.LONG]))
+            if short:
+                learn(short)
+        stay = self.start.n, self.ids.n
+        for _, learn, long_ in todo:
+            if long_:
+                learn(long_)
+        numbers = [np.array(list(map(known.__getitem__, pieces)), np.int64) for pieces, (known, _, _) in zip((stems, heads), todo, strict=True)]
+        for known, _, long_ in todo:
+            for p in long_:
+                del known[p]
+        return *numbers, stay
 
     def _learn_heads(self, heads: list[str]) -> None:
         found = self._ids(heads)
         self._store(self.heads, heads, np.concatenate(found), np.array([len(f) for f in found]))
 
     def _by_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) + len(self.heads) > self.KEEP:
+        if len(self.known) + len(self.heads) > self.KEEP or self.ids.n > self.IDS:
             self.thin_out()
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         off = split.offsets.to_numpy()
@@ -319,18 +331,19 @@ class PieceEncoder:
         mark = np.full(len(pieces), -1)
         mark[marked] = [self.marks[c] for c in pc.utf8_slice_codeunits(pieces.filter(pa.array(marked)), -1).to_pylist()]
         stems = pc.if_else(pa.array(marked), pc.utf8_slice_codeunits(pieces, 0, -1), pieces).to_pylist()
-        piece, mark = self._numbers(stems, self.known, self._learn)[which], mark[which]
         # the first piece of a text has no space before it
         heads = pc.dictionary_encode(split.values.take(pa.array(off[:-1])))
-        piece[off[:-1]] = self._numbers(heads.dictionary.to_pylist(), self.heads, self._learn_heads)[heads.indices.to_numpy()]
+        of_stems, of_heads, stay = self._numbers(stems, heads.dictionary.to_pylist())
+        piece, mark = of_stems[which], mark[which]
+        piece[off[:-1]] = of_heads[heads.indices.to_numpy()]
         mark[off[:-1]] = -1
         after = mark >= 0
         first = off[:-1] + np.concatenate([[0], np.cumsum(after)])[off[:-1]]
         piece = np.insert(piece, np.flatnonzero(after) + 1, mark[after])
         size = self.size[piece]
         ids, counts = self._gather(self.start[piece], size), np.add.reduceat(size, first)
-        for p in [p for p in stems if len(p) > self.LONG]:
-            self.known.pop(p, None)
+        self.start.n = self.size.n = self.again.n = stay[0]
+        self.ids.n = stay[1]
         return ids, counts
 
     def encode(self, texts: list[str]) -> list[bytes]:
