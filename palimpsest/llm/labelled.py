@@ -10,6 +10,8 @@ SYLLABLES = "ka lo mi ren tas ver un do si pel gar nu".split()
 class _Maker:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        #: A page of an article without the usual boxes around and beside it.
+        self.bare = self.r.random() < 0.35
         self.text: list[str] = []
 
     def words(self, lo: int, hi: int) -> str:
@@ -39,14 +41,14 @@ class _Maker:
         return self.r.choice([f"<nav>{body}</nav>", f'<div class="menu">{body}</div>', f'<div id="navigation">{body}</div>', f'<nav class="breadcrumb">{self.links(3, "span")}</nav>'])
 
     def top(self) -> str:
-        return self.r.choice([f"<header><h1>{self.words(1, 3)}</h1><p>{self.words(3, 8)}</p></header>", f'<div class="masthead"><div class="logo">{self.words(1, 2)}</div>{self.menu()}</div>', f"<header><div>{self.words(1, 3)}</div>{self.menu()}</header>"])
+        return self.r.choice([f"<header><h1>{self.words(1, 3)}</h1></header>", f"<header><h1>{self.words(1, 3)}</h1><p>{self.words(3, 8)}</p></header>", f'<div class="masthead"><div class="logo">{self.words(1, 2)}</div>{self.menu()}</div>', f"<header><div>{self.words(1, 3)}</div>{self.menu()}</header>"])
 
     def bottom(self) -> str:
         return self.r.choice([f"<footer>&copy; {self.words(1, 3)} &middot; {self.sentence()}</footer>", f"<footer><p>{self.prose()}</p><ul>{self.links(4)}</ul></footer>", f'<div class="footer"><p>&copy; {self.prose()}</p></div>', f'<div id="footer">{self.words(2, 6)} <a href="/p">{self.words(1, 2)}</a></div>'])
 
     def side(self) -> str:
         body = f"<h3>{self.words(1, 3)}</h3><ul>{self.links(self.r.randint(2, 6))}</ul>" + self.some(0.6, lambda: f"<p>{self.prose()}</p>")
-        return self.r.choice([f"<aside>{body}</aside>", f'<div class="sidebar">{body}</div>', f'<aside class="related">{body}</aside>', f'<div class="widget">{body}</div>', f'<section class="related"><h2>{self.words(1, 3)}</h2><p>{self.prose()}</p></section>'])
+        return self.r.choice([f"<aside>{body}</aside>", f'<div class="sidebar">{body}</div>', f'<aside class="related">{body}</aside>', f'<div class="widget">{body}</div>', f'<section class="related"><h2>{self.words(1, 3)}</h2><p>{self.prose()}</p></section>', f"<aside>{self.sentence()}</aside>", f"<aside><p>{self.prose()}</p></aside>"])
 
     def advert(self) -> str:
         return self.r.choice([f'<div class="ad">{self.sentence()}</div>', f'<div class="advert"><p>{self.prose()}</p></div>', f'<div class="sponsored"><a href="/x">{self.words(2, 6)}</a><p>{self.sentence()}</p></div>', f'<aside class="promo"><p>{self.prose()}</p></aside>', f'<section id="ads"><div>{self.prose()}</div></section>'])
@@ -94,7 +96,13 @@ class _Maker:
             return f"<{tag}>" + "".join(f"<li>{self.keep(self.r.choice([self.sentence, lambda: self.words(2, 6)])())}</li>" for _ in range(self.r.randint(2, 4))) + f"</{tag}>"
         if r < 0.93:
             return "<blockquote>" + self.r.choice([self.paragraph, lambda: self.keep(self.sentence())])() + "</blockquote>"
-        if r < 0.96:
+        if r < 0.94:
+            return "<dl>" + "".join(f"<dt>{self.keep(self.words(1, 3))}</dt><dd>{self.keep(self.sentence())}</dd>" for _ in range(2)) + "</dl>"
+        if r < 0.95:
+            return f'<p><a href="/l">{self.keep(self.sentence())}</a></p>'
+        if r < 0.955:
+            return f"<pre>{self.keep(self.words(3, 9))}</pre>"
+        if r < 0.98:
             return "<table>" + "".join("<tr>" + "".join(f"<td>{self.keep(self.words(1, 4))}</td>" for _ in range(2)) + "</tr>" for _ in range(2)) + "</table>"
         return f"<figure><img src=x><figcaption>{self.keep(self.sentence())}</figcaption></figure>"
 
@@ -104,25 +112,39 @@ class _Maker:
         head = r.choice([f"<h1>{title}</h1>", f"<h1>{title}</h1>", f"<header><h1>{title}</h1></header>", f"<h1 class=\"title\">{title}</h1>"])
         self.keep(title)
         body = head
+        if r.random() < 0.2:
+            self.text.pop()
+            body = ""
         for _ in range(r.randint(1, 9)):
             body += self.piece()
-            if r.random() < 0.12:
-                body += r.choice([self.advert, self.share, self.side, self.form, self.notice])()
+            if r.random() < 0.22:
+                body += r.choice([self.advert, self.share, self.side, self.form, self.notice, lambda: f"<aside>{r.choice([self.sentence(), self.words(2, 6)])}</aside>"])()
         if r.random() < 0.25:
             body = f'<div class="{r.choice(["entry-content", "article-body", "text", "post-content"])}">{body}</div>'
         if r.random() < 0.2:
             body += self.comments()
+        if r.random() < (0.7 if self.bare else 0.2):
+            return body
         return r.choice([f"<article>{body}</article>"] * 3 + [f"<main>{body}</main>", f"<main><article>{body}</article></main>", f'<div class="post">{body}</div>', f'<div id="content">{body}</div>', f'<section class="article">{body}</section>', f'<div id="main"><div class="story">{body}</div></div>'])
 
+    def wrapped(self, body: str, most: int) -> str:
+        """Boxes that say nothing, or little."""
+        for _ in range(self.r.randint(0, most)):
+            said = self.r.choice(["", "", ' class="wrap"', ' class="container"', ' id="page"', ' class="row"', ' class="inner"', ' class="content"'])
+            body = f"<div{said}>{body}</div>"
+        return body
+
     def page(self) -> tuple[str, str]:
-        before = self.some(0.4, self.top) + self.some(0.8, self.menu) + self.some(0.3, self.notice) + self.some(0.5, self.advert) + self.some(0.2, self.form)
-        middle = self.story()
-        after = self.some(0.3, self.comments) + self.some(0.4, self.side) + self.some(0.2, self.form) + self.some(0.2, self.advert) + self.some(0.9, self.bottom) + self.some(0.15, self.notice)
+        often = (lambda chance: chance / 6) if self.bare else (lambda chance: chance)
+        some = lambda chance, make: self.some(often(chance), make)
+        before = some(0.4, self.top) + some(0.8, self.menu) + some(0.3, self.notice) + some(0.5, self.advert) + some(0.2, self.form)
+        middle = self.wrapped(self.story(), 3)
+        after = some(0.3, self.comments) + some(0.4, self.side) + some(0.2, self.form) + some(0.2, self.advert) + some(0.9, self.bottom) + some(0.15, self.notice)
         if self.r.random() < 0.2:
-            middle = f'<div class="wrapper">{self.some(0.5, self.side)}{middle}</div>'
-        head = f"<head><title>{self.words(2, 6)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>"
-        return f"<!DOCTYPE html><html>{head}<body>{before}{middle}{after}</body></html>", "\n\n".join(self.text)
+            middle = f'<div class="wrapper">{some(0.5, self.side)}{middle}</div>'
+        head = f"<head><title>{self.words(2, 6)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>" if self.r.random() < 0.8 else ""
+        return f"<!DOCTYPE html><html>{head}<body>{self.wrapped(before + middle + after, 3)}</body></html>", "\n\n".join(self.text)
 
 
-def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[str, str]]:
+def labelled_pages(n: int = 480, seed: int = 7) -> list[tuple[str, str]]:
     return [_Maker(seed * 100_003 + i).page() for i in range(n)]

@@ -1,8 +1,9 @@
 """Main text of web pages by a tree-structured graphical model of the DOM.
 
-Block elements are the nodes. Each node is content or not; its potential comes
+Block elements are the nodes; a box around one single element counts as that
+element, so that wrappers of any depth say the same. Each node is content or not; its potential comes
 from features of the element (tag, words of class, id and role, amount of own
-text, share of text in links), and each parent-child edge has a potential for
+text, share of text in links, what the boxes above it say, share of the page's text below it), and each parent-child edge has a potential for
 the four combinations of their states. Sum-product messages go from the leaves
 to the root and back; a node's own text is taken if its marginal is above 0.5.
 
@@ -10,7 +11,8 @@ Weights are those of greatest conditional likelihood on labelled pages (HTML
 and the text that belongs to it), found by gradient ascent with the same
 messages giving the expectations. ``labelled_pages`` makes the pages that the
 registered query trains on: layouts with menus, headers, sidebars, notices,
-adverts, forms, comments and several kinds of article markup.
+adverts, forms, comments and several kinds of article markup, and bare pages
+of an article alone, under wrappers of several depths.
 
 Text: character references are decoded, white space within a block becomes one
 space, blocks stand in page order with an empty line between. Scripts, styles,
@@ -43,10 +45,14 @@ from palimpsest.llm.labelled import labelled_pages
 from palimpsest.llm.runtime import prepare
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template iframe textarea select".split())
+RAW = frozenset("script style template iframe textarea select svg".split())
 BLOCK = frozenset(
     "html head body article aside main section nav header footer div p ul ol li dl dt dd h1 h2 h3 h4 h5 h6 table caption thead tbody tfoot tr td th blockquote pre figure figcaption form fieldset legend address details summary hgroup center dialog title button label".split()
 )
+#: Boxes that say nothing.
+PLAIN = frozenset("#root html body div center section".split())
+#: Elements that say something about all that is in them.
+TELLING = frozenset("nav header footer aside form article main fieldset dialog address".split())
 #: Opening one of these ends an open p.
 ENDS_P = BLOCK - frozenset("html head body title button label caption thead tbody tfoot tr td th".split())
 #: Opening the key ends the nearest open element of the value, not beyond the bounds.
@@ -87,13 +93,15 @@ class Node:
 
 
 class _Stack:
-    """Open elements, with how often each name is open, so that what is not open is not looked for."""
+    """Open elements, and for each name how deep its open ones stand, so that the nearest of some names is found without a walk."""
 
     def __init__(self):
         self.items: list[tuple[str, int]] = [("#root", 0)]
         self.open: Counter[str] = Counter()
+        self.depths: dict[str, list[int]] = {}
 
     def push(self, tag: str, node: int) -> None:
+        self.depths.setdefault(tag, []).append(len(self.items))
         self.items.append((tag, node))
         self.open[tag] += 1
 
@@ -101,18 +109,20 @@ class _Stack:
         while True:
             tag, _ = self.items.pop()
             self.open[tag] -= 1
+            held = self.depths[tag]
+            held.pop()
+            if not held:
+                del self.depths[tag]
             if tag == name:
                 return
 
+    def _deepest(self, names: set[str] | frozenset[str]) -> tuple[int, str | None]:
+        few = names if len(names) < len(self.depths) else self.depths
+        return max(((self.depths[n][-1], n) for n in few if n in names and n in self.depths), default=(-1, None))
+
     def nearest(self, names: set[str] | frozenset[str], bounds: frozenset[str]) -> str | None:
-        if not any(self.open[n] for n in names):
-            return None
-        for tag, _ in reversed(self.items):
-            if tag in names:
-                return tag
-            if tag in bounds:
-                return None
-        return None
+        depth, found = self._deepest(names)
+        return found if found is not None and depth >= self._deepest(bounds)[0] else None
 
 
 def _said(attributes: str) -> tuple[tuple[str, ...], bool]:
@@ -181,22 +191,66 @@ def parse(page: str) -> list[Node]:
     for i in range(len(nodes) - 1, 0, -1):
         nodes[i].inside += sum(len(r[1]) for r in nodes[i].runs)
         nodes[nodes[i].parent].inside += nodes[i].inside
-    return nodes
+    return _without_wrappers(nodes)
+
+
+def _without_wrappers(nodes: list[Node]) -> list[Node]:
+    """A box that says nothing, around one single element, is that element; so depth says nothing."""
+    children = Counter(n.parent for n in nodes)
+    kept, number, passed = [], [0] * len(nodes), {}
+    for i, node in enumerate(nodes):
+        if i:
+            up = passed.pop(node.parent, None) if children[node.parent] == 1 else None
+            if up is not None:
+                node.hints = tuple(sorted({*node.hints, *up.hints}))
+                node.hidden |= up.hidden
+                node.parent = up.parent
+            else:
+                node.parent = number[node.parent]
+            if node.tag in PLAIN and not node.runs and children[i] == 1 and not {*node.hints} - {"main"}:
+                passed[i] = node
+                continue
+        number[i] = len(kept)
+        kept.append(node)
+    return kept
 
 
 # ---------------------------------------------------------------- model
 
 
 def features(nodes: list[Node]) -> list[list[str]]:
-    out = []
+    name = lambda tag: "box" if tag in PLAIN else tag
+    out: list[list[str]] = []
+    #: whether an article or main element is in each node, or is it
+    holds = [n.tag in ("article", "main") and "comment" not in n.hints for n in nodes]
+    for i in range(len(nodes) - 1, 0, -1):
+        holds[nodes[i].parent] |= holds[i]
+    #: what the boxes above each node say
+    above: list[frozenset[str]] = []
     for node in nodes:
+        if node.parent < 0:
+            above.append(frozenset())
+        else:
+            up = nodes[node.parent]
+            said = {*up.hints, *([up.tag] if up.tag in TELLING else [])}
+            above.append(above[node.parent] | said if said - above[node.parent] else above[node.parent])
         own = sum(len(r[1]) for r in node.runs)
         linked = sum(r[2] for r in node.runs)
         words = sum(r[1].count(" ") + 1 for r in node.runs)
         up = nodes[node.parent].tag if node.parent >= 0 else "#none"
-        out.append(
-            ["bias", f"tag {node.tag}", f"under {up} {node.tag}", *(f"hint {h}" for h in node.hints), f"own {min(4, int(math.log2(words + 1) / 1.5)) if words else 'none'}", *(["linked"] if own and linked > own / 2 else []), *(["hidden"] if node.hidden else []), *(["stop"] if any(r[1][-1] in ".!?:;\"'”»" for r in node.runs) else [])]
-        )
+        row = ["bias", f"tag {name(node.tag)}", f"under {name(up)} {name(node.tag)}", f"own {min(4, int(math.log2(words + 1) / 1.5)) if words else 'none'}"]
+        row += [f"hint {h}" for h in node.hints] + [f"above {a}" for a in sorted(above[-1])]
+        if own and linked > own / 2:
+            row += ["linked", "linked long" if words > 4 else "linked short"]
+        if node.hidden:
+            row.append("hidden")
+        if holds[0] and not holds[len(above) - 1] and not above[-1] & {"article", "main"}:
+            row.append("beside the article")
+        if any(r[1][-1] in ".!?:;\"'”»" for r in node.runs):
+            row.append("stop")
+        if not own and node.inside:
+            row.append(f"share {int(3 * node.inside / nodes[0].inside)}")
+        out.append(row)
     return out
 
 
