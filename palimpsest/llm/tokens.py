@@ -33,6 +33,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -299,22 +300,22 @@ class PieceEncoder:
         """The numbers of distinct stems and heads, and how many pieces and ids stay: what is longer than ``LONG`` is learnt last, for one slice."""
         todo = []
         for pieces, known, learn in ((stems, self.known, self._learn), (heads, self.heads, self._learn_heads)):
-            found = list(map(known.get, pieces))
-            self.again.held[[k for k in found if k is not None]] = True
-            new = sorted({p for p, k in zip(pieces, found, strict=True) if k is None})
-            short = [p for p in new if len(p) <= self.LONG]
-            todo.append((known, learn, [p for p in new if len(p) > self.LONG]))
-            if short:
+            number = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
+            fresh = np.flatnonzero(number < 0)
+            self.again.held[number[number >= 0]] = True
+            new = [pieces[i] for i in fresh.tolist()]
+            if short := sorted(p for p in new if len(p) <= self.LONG):
                 learn(short)
+            todo.append((known, learn, number, fresh, new))
         stay = self.start.n, self.ids.n
-        for _, learn, long_ in todo:
+        for known, learn, number, fresh, new in todo:
+            long_ = [p for p in new if len(p) > self.LONG]
             if long_:
                 learn(long_)
-        numbers = [np.array(list(map(known.__getitem__, pieces)), np.int64) for pieces, (known, _, _) in zip((stems, heads), todo, strict=True)]
-        for known, _, long_ in todo:
+            number[fresh] = list(map(known.__getitem__, new))
             for p in long_:
                 del known[p]
-        return *numbers, stay
+        return todo[0][2], todo[1][2], stay
 
     def _learn_heads(self, heads: list[str]) -> None:
         found = self._ids(heads)
