@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.plans.registry import QUERIES, SQL
 
-MODULES = ("lookups", "changed", "mapped", "searched", "chunked", "reported", "collected", "assembled", "filtered", "runs")
+MODULES = ("lookups", "changed", "mapped", "searched", "chunked", "reported", "collected", "assembled", "filtered", "runs", "inspected")
 
 
 def _load() -> None:

@@ -173,3 +173,28 @@ def enriched_keywords(body: Column, kind: Column, nicotine: Column) -> Column:
         extra = F.when(kind == name, F.array(*map(F.lit, words))).otherwise(extra)
     amount = F.when(nicotine.isNotNull(), F.array(F.concat(nicotine.cast("string"), F.lit("mg")))).otherwise(none)
     return F.array_sort(F.array_distinct(F.concat(said, extra, amount)))
+
+
+#: How a case names its parts, and what is behind the number of a specification.
+CASE_PARTS = {"section": "섹션: ", "regulation": "규제 내용: ", "products": "관련 제품: ", "specs": "제품 특성: ", "keywords": "관련 키워드: "}
+CASE_SPECS = {"nicotine": ("니코틴 함량: ", "mg"), "battery_capacity": ("배터리 용량: ", "mAh"), "label_size": ("라벨 크기: ", "cm"), "category": ("제품 카테고리: ", "")}
+
+
+def combined_text(section: Column, regulation: Column, products: Column, specs: Column) -> Column:
+    """A case in one text: section, regulation, products, specifications and keywords, those it has, an empty line between.
+
+    ``products``: array<string>. ``specs``: map<string,string> in the order to
+    be named; its category and nicotine add to the keywords.
+    """
+    said = lambda part, body: F.when(F.coalesce(body, F.lit("")) != "", F.concat(F.lit(CASE_PARTS[part]), body))
+
+    def named(e: Column) -> Column:
+        out = F.concat(e["key"], F.lit(": "), e["value"])
+        for key, (label, unit) in CASE_SPECS.items():
+            out = F.when(e["key"] == key, F.concat(F.lit(label), e["value"], F.lit(unit))).otherwise(out)
+        return out
+
+    regulation = F.coalesce(regulation, F.lit(""))
+    listed = F.array_join(F.transform(F.map_entries(specs), named), ", ")
+    words = F.array_join(enriched_keywords(regulation, F.try_element_at(specs, F.lit("category")), F.try_element_at(specs, F.lit("nicotine"))), ", ")
+    return F.concat_ws("\n\n", said("section", section), said("regulation", regulation), said("products", F.array_join(products, ", ")), said("specs", listed), said("keywords", words))

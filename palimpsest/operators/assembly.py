@@ -87,6 +87,43 @@ def batch_structures(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
     return pages.groupBy(*keys).agg(F.count(F.lit(1)).alias("pages"), F.avg("complexity").alias("complexity"), F.sum("tokens").alias("tokens"))
 
 
+def unified_structures(pages: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """One structure for each batch of pages, as if the batch had been one page.
+
+    ``pages``: the keys, ``order``, ``structure`` (see ``jsonx.page_structure``),
+    complexity and tokens. Texts stand one after the other, an empty line
+    between; blocks keep their order, their lines counted from the batch's start. Each field
+    of the metadata is the first that a page knows. Entities of one name and
+    type are one, the first. Tables of one caption and head are one, with all
+    rows; a table without a caption stands alone. A page without a structure adds its complexity and tokens only.
+    The order of pages decides, not how they are partitioned; a batch is the pages of one call.
+    """
+    said = F.struct(F.col(order).alias("at"), F.col("structure").alias("s"))
+    batch = pages.groupBy(*keys).agg(F.array_sort(F.collect_list(said)).alias("all"), F.count(F.lit(1)).alias("pages"), F.avg("complexity").alias("complexity"), F.sum("tokens").alias("tokens"))
+    batch = batch.withColumn("all", F.transform(F.filter("all", lambda p: p["s"].isNotNull()), lambda p: p["s"]))
+    texts = F.transform("all", lambda s: F.coalesce(s["markdown_content"], F.lit("")))
+    height = lambda t: F.size(F.split(t, "\n")) + 1  # noqa: E731  (and the empty line behind it)
+    joined = lambda name: F.flatten(F.transform("all", lambda s: s[name]))
+
+    def moved(s: Column, i: Column) -> Column:
+        above = F.aggregate(F.slice(F.col("_texts"), F.lit(1), i), F.lit(0), lambda n, t: n + height(t))
+        return F.transform(s["reference_blocks"], lambda b: F.struct(b["section_ref"].alias("section_ref"), (b["start_line"] + above).alias("start_line"), (b["end_line"] + above).alias("end_line"), b["keywords"].alias("keywords")))
+
+    fields = ("title", "jurisdiction_code", "authority", "citation_code", "language", "effective_date")
+    known = lambda name: F.try_element_at(F.filter(F.transform("all", lambda s: F.nullif(s["metadata"][name], F.lit(""))), lambda v: v.isNotNull()), F.lit(1)).alias(name)
+    entity = lambda e: F.struct(e["name"], e["type"])
+    head = lambda t: F.struct(t["caption"], t["headers"])
+    batch = batch.withColumn("_texts", texts).withColumn("_entities", joined("entities")).withColumn("_tables", joined("tables"))
+    first_entity = F.filter("_entities", lambda e, i: F.array_position(F.transform("_entities", entity), entity(e)) == i + 1)
+    nameless = lambda t: F.coalesce(t["caption"], F.lit("")) == ""
+    first_table = F.filter("_tables", lambda t, i: nameless(t) | (F.array_position(F.transform("_tables", head), head(t)) == i + 1))
+    rows = lambda t: F.when(nameless(t), t["rows"]).otherwise(F.flatten(F.transform(F.filter("_tables", lambda o: head(o) == head(t)), lambda o: F.coalesce(o["rows"], F.array().cast("array<array<string>>")))))
+    tables = F.transform(first_table, lambda t: F.struct(t["caption"].alias("caption"), t["headers"].alias("headers"), rows(t).alias("rows")))
+    blocks = F.flatten(F.transform("all", moved))
+    structure = F.struct(F.lit(1).alias("page_num"), F.array_join("_texts", "\n\n").alias("markdown_content"), blocks.alias("reference_blocks"), F.struct(*map(known, fields)).alias("metadata"), first_entity.alias("entities"), tables.alias("tables"))
+    return batch.withColumn("structure", structure).select(*keys, "pages", "complexity", "tokens", "structure")
+
+
 def case_chunk(case_id: Column, body: Column, products: Column, strategy: Column, country: Column) -> Column:
     """A case as a chunk: the text to embed, and its metadata; cases without a country are of US, which alone is in English."""
     said = F.when(F.coalesce(body, F.lit("")) != "", F.concat(F.lit("Regulation: "), body))

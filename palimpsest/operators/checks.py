@@ -1,7 +1,7 @@
 """Rules that rows must keep, as columns that are true where they do: mappings, strategies, impact scores, and API values.
 
-Rules that need a reader (is the strategy feasible, is the reasoning sound) have
-no expression; what can be told from the row is here.
+Some rules ask what only a reader can tell (is the strategy feasible, is the
+reasoning sound). Of these, what the row itself and its history tell is checked.
 """
 
 from __future__ import annotations
@@ -46,6 +46,51 @@ def impact_rules(factors: dict[str, Column], weighted: Column, reasoning: Column
     return {"I2": ranged & summed, "I4": _given(*factors.values(), weighted) & (F.trim(F.coalesce(reasoning, F.lit(""))) != "")}
 
 
+def words_of(body: Column) -> Column:
+    """The distinct words of a text, lower-cased, without marks."""
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(body, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+
+
+def grounded_mapping(kind: Column, condition: Column, text: Column, kinds: tuple[str, ...]) -> dict[str, Column]:
+    """M1: the requirement is of a known kind, and every word of its condition stands in the regulation's text."""
+    return {"M1": F.coalesce(kind.isin(*kinds), F.lit(False)) & (F.size(F.array_except(words_of(condition), words_of(text))) == 0)}
+
+
+#: Kinds of product, and words that a step begins with or holds.
+PRODUCT_WORDS = {"liquid": ("liquid", "flavour", "액상"), "device": ("device", "battery", "기기"), "packaging": ("packaging", "pack", "포장"), "labeling": ("label", "labeling", "라벨")}
+ACTIONS = ("reduce", "replace", "add", "remove", "change", "test", "register", "submit", "train", "bring", "review", "검토", "변경", "제출")
+
+
+def strategy_fit(summary: Column, product_kinds: Column, history: Column, actions: tuple[str, ...] = ACTIONS, least: float = 0.2) -> dict[str, Column]:
+    """S2: it names no kind of product that is not the product's. S3: it says what to do. S5: where the feature has earlier strategies, it is like one of them.
+
+    ``product_kinds``: array<string> of ``PRODUCT_WORDS``. ``history``: array<string> of earlier strategies, null or empty where there are none.
+    """
+    said = words_of(summary)
+    foreign = F.lit(False)
+    for kind, names in PRODUCT_WORDS.items():
+        foreign = foreign | (F.arrays_overlap(said, F.array(*map(F.lit, names))) & ~F.array_contains(product_kinds, kind))
+
+    def alike(earlier: Column) -> Column:
+        other = words_of(earlier)
+        return F.coalesce(F.try_divide(F.size(F.array_intersect(said, other)), F.size(F.array_union(said, other))), F.lit(0.0)) >= least
+
+    known = F.coalesce(F.size(history), F.lit(0)) > 0
+    return {"S2": ~foreign, "S3": F.arrays_overlap(said, F.array(*map(F.lit, actions))), "S5": ~known | F.coalesce(F.exists(history, alike), F.lit(False))}
+
+
+def impact_fit(reasoning: Column, sources: Column, difficulty: Column, urgency: Column, cost: Column, least_words: int = 5) -> dict[str, Column]:
+    """I1: the reasoning has some length and a word of each of its sources (regulation, strategy, mapping). I3: a hard strategy has no low urgency or cost, a simple one no extreme ones.
+
+    ``sources``: array<string>. ``difficulty``: High, Medium or Low; ``urgency`` and ``cost`` lie in 1 to 5.
+    """
+    said = words_of(reasoning)
+    based = F.forall(sources, lambda s: F.arrays_overlap(said, words_of(s)))
+    hard, simple = F.lower(difficulty) == "high", F.lower(difficulty) == "low"
+    coherent = ~(hard & (F.least(urgency, cost) <= 1)) & ~(simple & (F.greatest(urgency, cost) >= 5))
+    return {"I1": (F.size(said) >= least_words) & F.coalesce(based, F.lit(False)), "I3": F.coalesce(coherent, F.lit(True))}
+
+
 def user_name(name: Column, least: int = 3) -> Column:
     return F.length(F.coalesce(name, F.lit(""))) >= least
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scores, text
-from palimpsest.operators.frames import first_wins
+from palimpsest.operators.frames import first_wins, top_per
 
 
 def count_by(df: DataFrame, column: str) -> DataFrame:
@@ -89,6 +89,29 @@ def trace_append(existing: Column, new: Column) -> Column:
     return F.concat(F.coalesce(existing, F.array().cast("array<string>")), F.coalesce(new, F.array().cast("array<string>")))
 
 
+def trace_updated(trace: Column, new: Column, at: Column) -> Column:
+    """A trace (entries, last_updated) with ``new`` entries behind its own; the time stays where there are none."""
+    entries = trace_append(trace["entries"], new)
+    return F.struct(entries.alias("entries"), F.when(F.coalesce(F.size(new), F.lit(0)) > 0, at).otherwise(trace["last_updated"]).alias("last_updated"))
+
+
+def run_digest(runs: DataFrame, key: str, items: DataFrame, changes: DataFrame, strategies: DataFrame, n_changes: int = 5, n_strategies: int = 3) -> DataFrame:
+    """What is shown of each run: how many items apply, of how many, and its first changes and strategies.
+
+    ``items``: the key and applies. ``changes`` and ``strategies``: the key,
+    pos and line. Only the first lines of each run are collected.
+    """
+    counts = items.groupBy(key).agg(F.count_if("applies").alias("applies"), F.count(F.lit(1)).alias("items"))
+
+    def first(lines: DataFrame, n: int, name: str) -> DataFrame:
+        ordered = F.array_sort(F.collect_list(F.struct("pos", "line")))
+        return top_per(lines.select(key, "pos", "line"), [key], [F.col("pos"), F.col("line")], n).groupBy(key).agg(F.transform(ordered, lambda x: x["line"]).alias(name))
+
+    out = runs.select(key).join(counts, key, "left").join(first(changes, n_changes, "changes"), key, "left").join(first(strategies, n_strategies, "strategies"), key, "left")
+    none = F.array().cast("array<string>")
+    return out.select(key, F.coalesce("applies", F.lit(0)).alias("applies"), F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("changes", none).alias("changes"), F.coalesce("strategies", none).alias("strategies"))
+
+
 def validation(items: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """(rule, failed): how many rows break each rule; null counts as broken."""
     counted = items.agg(*(F.count_if(~F.coalesce(ok, F.lit(False))).alias(name) for name, ok in rules.items()))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, MapType, StringType, StructField, StructType
 
 from palimpsest.operators.frames import top_per
 from palimpsest.operators.postings import Index
@@ -110,6 +112,72 @@ def embedded(df: DataFrame, body: str, model: Callable[[], Callable[[list[str]],
     return df.mapInPandas(run, schema)
 
 
+#: What a model gives for a batch of texts: dense vectors, and for each text the weights of its words, or None if it has no such.
+Encoded = tuple[list[list[float]], list[dict[str, float]] | None]
+
+
+def encoded(df: DataFrame, body: str, model: Callable[[], Callable[[list[str]], Encoded]], size: int = 32, longest: int = 8192) -> DataFrame:
+    """``df`` with ``embedding`` and ``lexical`` (map of word to weight) from one call of a model for each batch of texts.
+
+    Texts are cut to ``longest`` words and go to the model in order of length,
+    ``size`` at a time, so a batch holds little padding; rows keep their order.
+    A model without word weights gives dense vectors alone: these are brought to
+    length 1, and ``lexical`` is null. Null and empty texts are not sent: both
+    columns are null.
+    """
+    schema = StructType([*df.schema.fields, StructField("embedding", ArrayType(DoubleType())), StructField("lexical", MapType(StringType(), DoubleType()))])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = model()
+        for frame in frames:
+            texts = [" ".join((t or "").split(" ")[:longest]) if isinstance(t, str) else "" for t in frame[body]]
+            order = sorted((i for i, t in enumerate(texts) if t.strip()), key=lambda i: (len(texts[i]), i))
+            dense: list = [None] * len(texts)
+            lexical: list = [None] * len(texts)
+            for lo in range(0, len(order), size):
+                some = order[lo : lo + size]
+                vectors, weights = encode([texts[i] for i in some])
+                for k, i in enumerate(some):
+                    vector = [float(x) for x in vectors[k]]
+                    if weights is None:
+                        norm = sum(x * x for x in vector) ** 0.5
+                        vector = [x / norm for x in vector] if norm else vector
+                    else:
+                        lexical[i] = {w: float(v) for w, v in weights[k].items()}
+                    dense[i] = vector
+            yield frame.assign(embedding=pd.Series(dense, index=frame.index, dtype=object), lexical=pd.Series(lexical, index=frame.index, dtype=object))
+
+    return df.mapInPandas(run, schema)
+
+
+def merged_weights(*maps: Column) -> Column:
+    """Word weights of several parts of a point in one map, those of one word added; null maps count as empty."""
+    kind = "map<string,double>"
+    zero = F.lit(0.0)
+    return reduce(lambda a, b: F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, zero) + F.coalesce(y, zero)), [F.coalesce(m.cast(kind), F.create_map().cast(kind)) for m in maps])
+
+
+def weight_rows(points: DataFrame, ident: str = "point_id", weights: str = "lexical") -> DataFrame:
+    """(id, token, n): what an inverted index is built from."""
+    return points.select(ident, F.explode(weights).alias("token", "n")).filter("n > 0")
+
+
+def digest_lexical_model() -> Callable[[list[str]], Encoded]:
+    """Stands in for a model of both kinds: digest vectors of length 1, and each word's part of the text."""
+
+    def encode(texts: list[str]) -> Encoded:
+        vectors, weights = [], []
+        for text in texts:
+            raw = [b / 255 for b in hashlib.sha256(text.encode()).digest()] * 32
+            norm = sum(x * x for x in raw) ** 0.5
+            vectors.append([x / norm for x in raw])
+            words = text.lower().split()
+            weights.append({w: n / len(words) for w, n in Counter(words).items()})
+        return vectors, weights
+
+    return encode
+
+
 def digest_model() -> Callable[[list[str]], list[list[float]]]:
     """Stands in for an embedding model: bytes of the SHA-256 digest over 255, repeated to 1024."""
     return lambda texts: [[b / 255 for b in hashlib.sha256(t.encode()).digest()] * 32 for t in texts]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions import scores, text
-from palimpsest.operators import changes, frames, mapping, reports, retrieval, versions
+from palimpsest.functions import jsonx, scores, text
+from palimpsest.operators import changes, checks, frames, mapping, reports, retrieval, versions
 from palimpsest.operators.workflow import Workflow
 from palimpsest.plans.registry import query
 from palimpsest.sources import store
@@ -97,11 +99,15 @@ def product_mapping_run(spark, sf):
     return out["items"].select("product_id", "feature", "point_id", "applies", "gap")
 
 
-def regulation_flow(spark, sf, folder: str) -> Workflow:
-    """The whole run over saved tables: blocks, changes, points of what changed, mapped products, strategies, impact, report.
+def regulation_flow(spark, sf, folder: str, ask: bool = False) -> Workflow:
+    """The whole run over saved tables: blocks, changes, points of what changed, mapped products, strategies, impact, report, translation.
 
     A feature of the products is the key from mapping on. Where no document
-    changed, nothing is embedded, and the stages after it are empty.
+    changed, nothing is embedded, and the stages after it are empty. When impact
+    is scored, mapping, strategies and scores are checked by their rules, and
+    the first stage that breaks one is made anew, twice at most. With ``ask`` the run
+    stops before the report until it is approved. A translator stands outside:
+    its answer is read as JSON, and here it is the report itself.
     """
 
     def preprocess(t):
@@ -144,11 +150,25 @@ def regulation_flow(spark, sf, folder: str) -> Workflow:
         parts = [("overall_summary", "list", "0. 종합 요약", overall, ""), ("change_summary", "list", "1. 규제 변경 요약", found, "변경 사항 없음"), ("strategy", "list", "5. 대응 전략 제안", plans, "(빈값 대응) 전략 수립 데이터 부족")]
         return reports.report_sections(t["score_impact"], "feature", parts)
 
-    stages = {"preprocess": preprocess, "detect_changes": changed, "embed": embed, "map_products": mapped, "generate_strategy": strategies, "score_impact": impact, "report": report}
-    return Workflow(spark, folder, stages)
+    def translated(t):
+        said = F.to_json(F.struct("content"))
+        return t["report"].withColumn("content", F.from_json(jsonx.repaired(jsonx.fenced(said)), "content array<string>")["content"]).withColumn("language", F.lit("en"))
+
+    def keeps(stage: str, rules):
+        """Whether every row of a stage keeps all rules."""
+        return lambda t: t[stage].filter(~F.coalesce(reduce(lambda a, b: a & b, rules.values()), F.lit(False))).isEmpty()
+
+    rules = {
+        "map_products": keeps("map_products", {"M2": F.col("applies") | F.col("gap").isNull(), "M5": F.col("applies").isNotNull() & F.col("feature").isNotNull()}),
+        "generate_strategy": keeps("generate_strategy", checks.strategy_fit(F.col("strategy"), F.array(*map(F.lit, checks.PRODUCT_WORDS)), F.lit(None).cast("array<string>"))),
+        "score_impact": keeps("score_impact", {"I2": F.col("score").between(0, 5), "I4": F.col("level").isin("High", "Medium", "Low")}),
+    }
+    questions = {"report": lambda t: f"report on {t['score_impact'].count()} features?"} if ask else {}
+    stages = {"preprocess": preprocess, "detect_changes": changed, "embed": embed, "map_products": mapped, "generate_strategy": strategies, "score_impact": impact, "report": report, "translate": translated}
+    return Workflow(spark, folder, stages, questions, rules, "score_impact")
 
 
 @query()
 def regulation_run(spark, sf):
-    out = regulation_flow(spark, sf, store.work_folder(spark, "regulation-run")).run({})["report"]
+    out = regulation_flow(spark, sf, store.work_folder(spark, "regulation-run")).run({})["translate"]
     return out.select("feature", "place", "section_id", F.array_join("content", "|").alias("content"))

@@ -177,7 +177,12 @@ def test_the_whole_run(spark, tmp_path):
     lines = {r["feature"]: r["content"][0] for r in tables["report"].filter("section_id = 'overall_summary'").collect()}
     assert all(re.fullmatch(r"(High|Medium|Low) \d+\.\d+", x) for x in lines.values())
     flow.rerun({}, "score_impact")
-    assert flow.made == ["score_impact", "report"]
+    assert flow.made == ["score_impact", "report", "translate"] and flow.retried == 0
+    assert {tuple(r["content"]) for r in tables["translate"].collect()} == {tuple(r["content"]) for r in tables["report"].collect()}
+    asked = runs.regulation_flow(spark, DATA, str(tmp_path / "run"), ask=True)
+    assert "report" not in asked.run({}, start="report") and asked.question == {"stage": "report", "text": f"report on {len(features)} features?"}
+    asked.answer("yes")
+    assert "translate" in runs.regulation_flow(spark, DATA, str(tmp_path / "run"), ask=True).run({})
 
 
 def test_embeddings_come_in_batches(spark):
