@@ -2,8 +2,15 @@
 
 Kinds: email, phone, ipv4, ipv6, card, ssn, iban, secret (value of a token, key
 or password, quoted, or with a digit and eight characters) and person (a title
-and one to three capitalised names; other mentions of that name, and of its
-last part, in the same text are the same person).
+and one to four names, capitalised or all in capitals, with initials and with
+particles as in "de la Cruz").
+
+Other mentions of a person in the same text are found by the whole name or by
+its last words ("Smith", "de la Cruz"), with or without a title. Such a mention
+is the person named so whose last mention before it is the nearest, of those
+that its title's gender allows; where none is named before, the first one named
+after. A titled last name that fits no whole name of the text is a person by
+itself. A name without any title in its text, and a given name alone, stay.
 
 An entity is its kind and its normal form (case and separators aside), so all
 spellings of one entity, in all documents, get one surrogate (coreference).
@@ -18,7 +25,8 @@ number, the country of an IBAN, the last label of a mail domain, the Luhn
 property of a card number and the check digits of an IBAN that has them right.
 Mail domains are mapped by themselves, so addresses of one domain stay
 together. Persons get made-up names of their gender and of the script of the
-name, from the HMAC of the normal form.
+name, from the HMAC of the normal form; particles stay, initials are initials,
+and a mention in capitals gets capitals.
 
 Distinctness: the distinct entities of the corpus are counted by surrogate;
 where two share one, or a surrogate is the value of an entity of the corpus,
@@ -41,11 +49,13 @@ import hashlib
 import hmac
 import re
 import secrets
+import time
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,17 +74,33 @@ PARTS = {
     "greek": ("β γ δ ζ θ κ λ μ ν π ρ σ τ φ".split(), "α ε ι ο".split(), {"m": "ος ης ας ων ις ευς".split(), "f": "α η ια ινα ελα αρα".split(), "x": "ι ω ο ε υ ιω".split()}),
 }
 
-_NAME = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-Я][\w'’-]*[a-zà-öø-ÿα-ωа-я]"
+#: Titles that are also read in capitals, and particles of names.
+CAPITAL_TITLES = ("Mr", "Mrs", "Dr", "Prof", "Herr", "Frau", "Señor", "Señora")
+PARTICLES = "af al av bin da das de del della den der di dos du e el ibn la las le los ten ter van von y zu zum zur".split()
+
+TITLES |= {t.upper(): TITLES[t] for t in CAPITAL_TITLES}
+_BIG, _SMALL = "A-ZÀ-ÖØ-ÞĀ-ſΑ-ΩЁА-Я", "a-zß-öø-ÿĀ-ſα-ωёа-я"
+_NOT_TITLE = rf"(?!(?:{'|'.join(TITLES)})(?!\w))"
+# a name does not take the ending of a genitive, nor the title of whoever comes next
+_NAME = rf"{_NOT_TITLE}(?:[{_BIG}](?:(?!['’]s(?!\w))[\w'’-])*[{_SMALL}]|[{_BIG}]\.(?= ))"
+_CAPITALS = rf"{_NOT_TITLE}[{_BIG}](?:(?!['’]S(?!\w))[{_BIG}'’-])*[{_BIG}](?!\w)"
+
+
+def _names(name: str, particles: list[str]) -> str:
+    lead = rf"(?:(?:{'|'.join(particles)}) ){{0,3}}"
+    return rf"{lead}{name}(?: {lead}{name}){{0,3}}"
+
+
 PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}"),
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    "card": re.compile(r"(?<![\w.-])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![\w-])"),
+    "card": re.compile(r"(?<![\w.-])(?:(?:[0-9]{4}[ -]?){3}[0-9]{4}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5})(?![\w-])"),
     "ipv6": re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])"),
     "ipv4": re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\w|\.[0-9])"),
     "ssn": re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
     "phone": re.compile(r"(?<![\w+])(?:\+[0-9]{9,15}|(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,3})(?![\w-])"),
     "secret": re.compile(r"""(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*(?:["']([^"'\s]{6,})["']|((?=[^\s"']*[0-9])[^\s"',;]{8,}))"""),
-    "person": re.compile(rf"(?<!\w)(?:{'|'.join(TITLES)})\.? ({_NAME}(?: {_NAME}){{0,2}})"),
+    "person": re.compile(rf"(?<!\w)({'|'.join(TITLES)})\.? ({_names(_NAME, PARTICLES)}|{_names(_CAPITALS, [p.upper() for p in PARTICLES])})"),
 }
 DIGIT_KINDS = ("iban", "card", "ipv6", "ipv4", "ssn", "phone")
 
@@ -91,11 +117,90 @@ def _iban_ok(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
+def _endings(name: str) -> list[str]:
+    """A name and what is left of it without its first words, longest first."""
+    words = name.split(" ")
+    return [" ".join(words[i:]) for i in range(len(words))]
+
+
+def _untitled(text: str, names: set[str]) -> Iterator[tuple[int, int]]:
+    """Spans of the longest of ``names`` at each word, in order, without overlap; time follows the length of the text."""
+    heads = {re.match(r"\W*\w+", n)[0] for n in names}
+    longest = max(len(re.findall(r"\w+", n)) for n in names)
+    words = [m.span() for m in re.finditer(r"\w+", text)]
+    upto = 0
+    for i, (a, b) in enumerate(words):
+        if a >= upto and text[a:b] in heads:
+            for _, end in reversed(words[i : i + longest]):
+                if text[a:end] in names:
+                    upto = end
+                    yield a, end
+                    break
+
+
+def persons(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, normal form, gender) of mentions of persons, in order, without overlap."""
+    titled = [(*m.span(2), m[2].lower(), TITLES[m[1]]) for m in PATTERNS["person"].finditer(text)]
+    if not titled:
+        return []
+    # genders by which each name is titled, and the names that end in other words said with a title
+    said: dict[str, set[str]] = {}
+    for _, _, name, gender in titled:
+        said.setdefault(name, set()).add(gender)
+    whole: dict[str, list[str]] = {}
+    for name in said:
+        for ending in _endings(name)[1:]:
+            whole.setdefault(ending, []).append(name)
+    # a person without a known gender takes that of a titled last name, if only one person has it
+    for name in list(said):
+        if len(whole.get(name, ())) == 1 and said[whole[name][0]] == {"x"}:
+            said[whole[name][0]] |= said[name]
+    told = {name: sorted(genders - {"x"}) or ["x"] for name, genders in said.items()}
+
+    spelled = {text[a:b] for a, b, _, _ in titled}
+    forms = {e for name in spelled for e in _endings(name) if e.lower() not in PARTICLES}
+    mentions = [(a, b, name, gender) for a, b, name, gender in titled]
+    taken = [(a, b) for a, b, _, _ in titled]
+    mixed = {" ".join(w.lower() if w.lower() in PARTICLES else w.title() for w in f.split(" ")) for f in forms if f.isupper()}
+    for a, b in _untitled(text, forms | mixed | {f.upper() for f in forms}):
+        i = bisect_left(taken, (a, b))
+        if (i == 0 or taken[i - 1][1] <= a) and (i == len(taken) or taken[i][0] >= b):
+            mentions.append((a, b, text[a:b].lower(), "x"))
+    mentions.sort()
+
+    # for each ending and gender: who was mentioned last, and who is named first in the text
+    first: dict[tuple[str, str], tuple[int, str, str]] = {}
+    for at, _, name, gender in titled:
+        for g in told[name] if gender == "x" else [gender]:
+            for ending in _endings(name):
+                if ending != name or name not in whole:
+                    first.setdefault((ending, g), (at, name, g))
+    last: dict[tuple[str, str], tuple[int, str, str]] = {}
+    out = []
+    for a, b, name, gender in mentions:
+        allowed = ("m", "f", "x") if gender == "x" else (gender, "x")
+        before = [last[name, g] for g in allowed if (name, g) in last]
+        after = [first[name, g] for g in allowed if (name, g) in first]
+        if before:
+            _, person, told_gender = max(before)
+        elif after:
+            _, person, told_gender = min(after)
+        else:
+            # a titled last name whose gender no whole name of the text has
+            person, told_gender = name, gender
+        for ending in _endings(person):
+            last[ending, told_gender] = (a, person, told_gender)
+        words = 0 if person == name else name.count(" ") + 1
+        out.append((a, b, person + "\x1f" * words, told_gender))
+    return out
+
+
 def find(text: str) -> list[tuple[int, int, str, str, str]]:
     """(start, end, kind, normal form, gender), in order, without overlap; earlier kinds of PATTERNS win.
 
-    The normal form of a mention of a person's last name alone is that of the
-    person and ``\x1f``; its surrogate is the last part of the person's.
+    The normal form of a mention of a person by the last words of the name is
+    that of the person and a ``\x1f`` for each word; its surrogate are as many
+    last words of the person's.
     """
     found: list[tuple[int, int, str, str, str]] = []
     starts: list[int] = []
@@ -116,26 +221,13 @@ def find(text: str) -> list[tuple[int, int, str, str, str]]:
     if any(c in text for c in "0123456789"):
         for kind in DIGIT_KINDS:
             for m in PATTERNS[kind].finditer(text):
-                if kind != "phone" or sum(c.isdigit() for c in m[0]) >= 9:
-                    normal = m[0].lower() if kind.startswith("ip") else re.sub(r"[^0-9A-Za-z+]", "", m[0])
-                    add(kind, *m.span(), normal)
+                normal = m[0].lower() if kind.startswith("ip") else re.sub(r"[^0-9A-Za-z+]", "", m[0])
+                if kind == "phone" and sum(c.isdigit() for c in normal) < 9 or kind == "card" and len(normal) == 15 and not _luhn(normal):
+                    continue
+                add(kind, *m.span(), normal)
     if any(t in text for t in TITLES):
-        titled = list(PATTERNS["person"].finditer(text))
-        said: dict[str, str] = {}
-        for m in titled:
-            gender = TITLES[re.match(r"\w+", m[0])[0]]
-            said[m[1]] = gender if said.get(m[1], "x") == "x" else said[m[1]]
-        for m in titled:
-            own = TITLES[re.match(r"\w+", m[0])[0]]
-            add("person", *m.span(1), m[1].lower(), said[m[1]] if own == "x" else own)
-        # untitled mentions: of the whole name, then of its last part alone
-        last = {name.rpartition(" ")[2]: name for name in sorted(said, reverse=True) if " " in name}
-        for names in (said, last):
-            if names:
-                every = "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True))
-                for m in re.finditer(rf"(?<!\w)(?:{every})(?!\w)", text):
-                    name = m[0] if names is said else last[m[0]]
-                    add("person", *m.span(), name.lower() + ("" if names is said else "\x1f"), said[name])
+        for a, b, name, gender in persons(text):
+            add("person", a, b, name, gender)
     return found
 
 
@@ -217,7 +309,10 @@ def _script(name: str) -> str:
 def _person(key: bytes, name: str, gender: str, attempt: int) -> str:
     onsets, vowels, endings = PARTS[_script(name)]
     out = []
-    for i, _ in enumerate(name.split(" ")):
+    for i, word in enumerate(name.split(" ")):
+        if word in PARTICLES:
+            out.append(word)
+            continue
         n = _prf(key, "person", gender, attempt, i, name)
 
         def pick(options: list[str]) -> str:
@@ -226,6 +321,9 @@ def _person(key: bytes, name: str, gender: str, attempt: int) -> str:
             return options[k]
 
         stem = "".join(pick(onsets) + pick(vowels) for _ in range(2 + n % 2 + attempt // 2)) + pick(onsets)
+        if word.endswith("."):
+            out.append(stem[0].upper() + ".")
+            continue
         last = i == len(name.split(" ")) - 1 and i > 0
         out.append((stem + (pick(vowels) if last else pick(endings[gender or "x"]))).capitalize())
     return " ".join(out)
@@ -262,13 +360,13 @@ def surrogate(key: bytes, kind: str, normal: str, gender: str = "", attempt: int
         return _hexadecimal(key + str(attempt).encode(), normal) or same_format(key, tweak, normal)
     if kind == "person":
         whole = _person(key, normal.rstrip("\x1f"), gender, attempt)
-        return whole.rpartition(" ")[2] if normal.endswith("\x1f") else whole
+        return " ".join(whole.split(" ")[-normal.count("\x1f") :])
     return same_format(key, tweak, normal)
 
 
 def dressed(kind: str, seen: str, new: str) -> str:
     """A surrogate's normal form in the spelling of the text: separators and case of what stood there."""
-    if kind == "email" and seen == seen.upper():
+    if kind in ("email", "person") and seen == seen.upper():
         return new.upper()
     if kind in ("card", "phone", "iban", "ssn"):
         given = iter(new)
@@ -310,10 +408,20 @@ def stored_key(spark: SparkSession) -> bytes:
     at = jvm.org.apache.hadoop.fs.Path(path)
     store = at.getFileSystem(conf)
     if not store.exists(at):
-        out = store.create(at, True)
-        out.writeBytes(secrets.token_hex(32))
-        out.close()
-    return bytes.fromhex(spark.read.text(path).first()["value"])
+        try:
+            out = store.create(at, False)
+            out.writeBytes(secrets.token_hex(32))
+            out.close()
+        except Py4JJavaError:
+            # another driver has drawn it in between: its key holds
+            if not store.exists(at):
+                raise
+    for _ in range(60):
+        row = spark.read.text(path).first()
+        if row and len(row["value"]) == 64:
+            return bytes.fromhex(row["value"])
+        time.sleep(1)
+    raise RuntimeError(f"no whole key in {path}")
 
 
 def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
