@@ -137,8 +137,11 @@ WITH c AS (SELECT l_orderkey, CASE WHEN l_suppkey % 10 <> 0 THEN l_suppkey % 3 E
 o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, chunk ORDER BY pos) AS k FROM c) WHERE k = 1)
 SELECT l_orderkey, doc, chunk, pos FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, doc ORDER BY pos) AS r FROM o) WHERE doc IS NULL OR r <= 2""")
 def per_doc_cap(spark, sf):
-    c = table(spark, sf, "lineitem").select("l_orderkey", F.when(F.col("l_suppkey") % 10 != 0, F.col("l_suppkey") % 3).alias("doc"), (F.col("l_partkey") % 50).alias("chunk"), (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("pos"))
-    return mapping.cap_per_document(c, "l_orderkey", "doc", "chunk", "pos").select("l_orderkey", "doc", "chunk", "pos")
+    """Of lines at one position the first in the table's files comes first."""
+    pos = F.col("l_linenumber") * 100000 + F.col("l_partkey")
+    at = F.struct(pos.alias("pos"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    c = table(spark, sf, "lineitem").select("l_orderkey", F.when(F.col("l_suppkey") % 10 != 0, F.col("l_suppkey") % 3).alias("doc"), (F.col("l_partkey") % 50).alias("chunk"), at.alias("at"))
+    return mapping.cap_per_document(c, "l_orderkey", "doc", "chunk", "at").select("l_orderkey", "doc", "chunk", "at.pos")
 
 
 @query("""
