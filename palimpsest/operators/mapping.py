@@ -96,10 +96,11 @@ def applies(expected: Column, found: Column) -> Column:
 def mapped_items(features: DataFrame, chunks: DataFrame) -> DataFrame:
     """Features with their retrieved chunks, whether they apply, and the gap; chunk words decide."""
     groups = F.create_map(*(x for k, v in text.SEMANTIC_GROUPS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-    joined = features.join(chunks, "feature")
     expected = F.coalesce(F.try_element_at(groups, F.lower("feature")), F.array(F.lower("feature")))
-    hit = applies(expected, F.col("words"))
-    return joined.withColumn("applies", hit).withColumn("gap", F.when(hit, scores.gap(F.col("value"), F.col("required_value"))))
+    # a chunk is judged once for its feature; its words do not meet the products
+    judged = chunks.withColumn("applies", applies(expected, F.col("words"))).drop("words")
+    joined = features.join(judged, "feature")
+    return joined.withColumn("gap", F.when(F.col("applies"), scores.gap(F.col("value"), F.col("required_value"))))
 
 
 def merge_products(items: DataFrame, key: str) -> DataFrame:

@@ -53,8 +53,9 @@ def map_products(features: DataFrame, queries: DataFrame, points: DataFrame, cha
     """
     named = queries.select(F.col("feature").alias("query_id"), "embedding")
     words = retrieval.tokens(queries.select(F.col("feature").alias("query_id"), "query"), "query_id", "query").withColumnRenamed("n", "query_n")
-    found = retrieval.hybrid_search(named, words, points, retrieval.tokens(points, "point_id", "body"), top_k, alpha, within)
-    ranked = found.join(points.select("point_id", "doc_id", "body"), "point_id").withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id")))
+    found = retrieval.hybrid_search(named, words, points, retrieval.occurrences(points, "point_id", "body"), top_k, alpha, within)
+    # as few rows as queries times top_k
+    ranked = F.broadcast(found).join(points.select("point_id", "doc_id", "body"), "point_id").withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id")))
     capped = mapping.cap_per_document(ranked, "query_id", "doc_id", "point_id", "pos")
     chunks = capped.select(F.col("query_id").alias("feature"), "point_id", "pos", F.split(F.lower("body"), r"\s+").alias("words"), F.regexp_extract("body", r"(\d+(?:\.\d+)?)", 1).alias("_number")).withColumn("required_value", F.nullif("_number", F.lit("")))
     items = mapping.mapped_items(features.drop("pos"), chunks)
