@@ -97,10 +97,10 @@ def mapped_items(features: DataFrame, chunks: DataFrame) -> DataFrame:
     """Features with their retrieved chunks, whether they apply, and the gap; chunk words decide."""
     groups = F.create_map(*(x for k, v in text.SEMANTIC_GROUPS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     expected = F.coalesce(F.try_element_at(groups, F.lower("feature")), F.array(F.lower("feature")))
-    # a chunk is judged once for its feature; its words do not meet the products
-    judged = chunks.withColumn("applies", applies(expected, F.col("words"))).drop("words")
-    joined = features.join(judged, "feature")
-    return joined.withColumn("gap", F.when(F.col("applies"), scores.gap(F.col("value"), F.col("required_value"))))
+    # a chunk is judged once for its feature, and numbers are read once on each side; words do not meet the products; chunks are as few as queries times top_k
+    judged = chunks.withColumn("applies", applies(expected, F.col("words"))).withColumn("_required", scores.leading_number(F.col("required_value"))).drop("words")
+    joined = features.withColumn("_current", scores.leading_number(F.col("value"))).join(F.broadcast(judged), "feature")
+    return joined.withColumn("gap", F.when(F.col("applies"), F.col("_current") - F.col("_required"))).drop("_current", "_required")
 
 
 def merge_products(items: DataFrame, key: str) -> DataFrame:
