@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-CHUNK = "array<struct<hierarchy:array<string>,body:string>>"
+CHUNK = StructType([StructField("hierarchy", ArrayType(StringType())), StructField("body", StringType())])
 _HEADER = re.compile(r"(#{1,3})\s+(\S.*)")
 _FENCE = re.compile(r"\s*(```|~~~)")
 COUNTED = re.compile(r"\w+|[^\w\s]")
@@ -69,28 +74,48 @@ def pack_lines(text: str | None, limit: int = 1000) -> list[str]:
     return ["\n".join(x) for x in out]
 
 
-def header_chunks(df: DataFrame, ident: str, body: str) -> DataFrame:
-    @F.pandas_udf(CHUNK)
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(split_headers)
+#: Bytes of text that are cut at a time, in one task: its Python holds the chunks of so much, whatever a batch holds.
+BYTES = 4 << 20
 
-    return df.select(ident, F.posexplode(split(body)).alias("pos", "chunk")).select(ident, "pos", "chunk.hierarchy", "chunk.body")
 
+def slices(batch: pa.RecordBatch, body: str) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``BYTES`` of a text column, one row at least."""
+    size = pc.fill_null(pc.binary_length(batch.column(body)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(size) - size) // BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
 
-def limited_chunks(chunks: DataFrame, body: str = "body", most: int = 1024, size: int = 4096, overlap: int = 100) -> DataFrame:
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_long(t or "", most, size, overlap))
 
-    return chunks.withColumn("_parts", split(body)).select("*", F.posexplode("_parts").alias("part", "part_body")).drop("_parts")
+def _rows(df: DataFrame, body: str, cut: Callable[[str | None], list], place: str, kinds: StructType, keep: list[str]) -> DataFrame:
+    """One row for each thing that ``cut`` makes of a text: the columns to keep, its ``place``, and its own fields."""
+    schema = StructType([*(df.schema[c] for c in keep), StructField(place, IntegerType()), *kinds.fields])
+    made = to_arrow_schema(kinds)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, body):
+                found = [cut(t) for t in some.column(body).to_pylist()]
+                n = np.array([len(x) for x in found])
+                row = pa.array(np.repeat(np.arange(len(n)), n))
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                fields = [pa.array([x[f.name] for one in found for x in one], f.type) for f in made] if len(made) > 1 else [pa.array([x for one in found for x in one], made[0].type)]
+                yield pa.RecordBatch.from_arrays([*(some.column(c).take(row) for c in keep), pa.array(at.astype(np.int32)), *fields], [*keep, place, *(f.name for f in made)])
 
-def packed_chunks(df: DataFrame, ident: str, body: str, limit: int = 1000) -> DataFrame:
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: pack_lines(t, limit))
+    return df.select(*dict.fromkeys([*keep, body])).mapInArrow(run, schema)
+
+
+def header_chunks(df: DataFrame, ident: str, body: str) -> DataFrame:
+    return _rows(df, body, split_headers, "pos", CHUNK, [ident])
 
-    return df.select(ident, F.posexplode(split(body)).alias("pos", "chunk"))
+
+def limited_chunks(chunks: DataFrame, body: str = "body", most: int = 1024, size: int = 4096, overlap: int = 100) -> DataFrame:
+    return _rows(chunks, body, lambda t: split_long(t or "", most, size, overlap), "part", StructType([StructField("part_body", StringType())]), chunks.columns)
+
+
+def packed_chunks(df: DataFrame, ident: str, body: str, limit: int = 1000) -> DataFrame:
+    return _rows(df, body, lambda t: pack_lines(t, limit), "pos", StructType([StructField("chunk", StringType())]), [ident])
 
 
 def numbered(chunks: DataFrame, document: str) -> DataFrame:
