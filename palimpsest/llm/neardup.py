@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import textbytes as tb
 from palimpsest.llm.graph import components
-from palimpsest.llm.runtime import Tables, drop_caches, one_text_per_id, prepare, release
+from palimpsest.llm.runtime import Tables, drop_caches, narrow, one_text_per_id, prepare, release, shuffle_width
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -233,27 +233,30 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between texts of different classes in two blocks of one bucket, one for each pair of classes."""
 
-    def read(items: list[dict]) -> tuple[list, list, list, list]:
-        bags = [np.frombuffer(x["bag"], "<u8").reshape(2, -1) for x in items]
-        return [x["rep"] for x in items], [x["root"] for x in items], [b[0] for b in bags], [b[1] for b in bags]
+    def read(items: pa.StructArray) -> tuple[list, list, list, list]:
+        bags = [np.frombuffer(x, "<u8").reshape(2, -1) for x in items.field("bag").to_pylist()]
+        return items.field("rep").to_pylist(), items.field("root").to_pylist(), [b[0] for b in bags], [b[1] for b in bags]
 
     for batch in batches:
         found: list[tuple[int, int, float]] = []
         for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
-            ra, ca, va, wa = read(left.as_py())
-            rb, cb, vb, wb = read(right.as_py())
+            ra, ca, va, wa = read(left.values)
+            rb, cb, vb, wb = read(right.values)
             size_a, size_b = np.array([len(v) for v in va]), np.array([len(v) for v in vb])
             both = np.intersect1d(np.concatenate(va), np.concatenate(vb))
             shared = np.zeros((len(va), len(vb)), np.float32)
+            ends = []
+            for vs, size in ((va, size_a), (vb, size_b)):
+                at = np.searchsorted(both, flat := np.concatenate(vs))
+                at[at == len(both)] = 0
+                hit = both[at] == flat if len(both) else np.zeros(len(flat), bool)
+                ends.append((np.repeat(np.arange(len(vs)), size)[hit], at[hit]))
             for lo in range(0, len(both), 4096):
-                some = both[lo : lo + 4096]
                 grids = []
-                for vs in (va, vb):
-                    grid = np.zeros((len(vs), len(some)), np.float32)
-                    for i, v in enumerate(vs):
-                        v = v[np.searchsorted(v, some[0]) : np.searchsorted(v, some[-1], "right")]
-                        at = np.searchsorted(some, v)
-                        grid[i, at[some[at] == v]] = 1
+                for (row, at), n in zip(ends, (len(va), len(vb)), strict=True):
+                    grid = np.zeros((n, min(4096, len(both) - lo)), np.float32)
+                    some = (at >= lo) & (at < lo + 4096)
+                    grid[row[some], at[some] - lo] = 1
                     grids.append(grid)
                 shared += grids[0] @ grids[1].T
             once_a, once_b = np.array([w.max() == 1 for w in wa]), np.array([w.max() == 1 for w in wb])
@@ -288,18 +291,18 @@ def _large(placed: DataFrame, texts: DataFrame, tables: Tables) -> DataFrame | N
     share blocks. Rows are pairs of blocks, never of texts, and a pair of
     blocks of one class is not formed.
     """
-    many = placed.filter(F.col("n") > SMALL)
-    classes = tables.put("classes", many.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("w")))
+    many, few = placed.filter(F.col("n") > SMALL), narrow(tables.spark)
+    classes = tables.put("classes", many.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("w")), tasks=few)
     parts = lambda c, w: F.greatest(F.ceil(c / BLOCK), F.ceil(w / BLOCK_SHINGLES))
     big = F.col("c") >= BLOCK // 4
     mixed = classes.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum(F.when(~big, F.col("c"))).alias("m"), F.sum(F.when(~big, F.col("w"))).alias("v"), F.sum(F.when(big, parts(F.col("c"), F.col("w")))).alias("own_blocks"))
     shared = F.coalesce(parts(F.col("m"), F.col("v")), F.lit(0))
-    mixed = tables.put("mixed", mixed.filter("k > 1").select("key", shared.alias("shared"), F.ceil((F.coalesce("own_blocks", F.lit(0)) + shared) / SALTED).alias("salts")))
+    mixed = tables.put("mixed", mixed.filter("k > 1").select("key", shared.alias("shared"), F.ceil((F.coalesce("own_blocks", F.lit(0)) + shared) / SALTED).alias("salts")), tasks=few)
     if mixed.isEmpty():
         return None
-    shaped = tables.put("shaped", classes.join(mixed, "key").select("key", "label", F.when(big, F.col("label")).alias("own"), F.when(big, parts(F.col("c"), F.col("w"))).otherwise(F.col("shared")).alias("parts"), "salts"))
+    shaped = tables.put("shaped", classes.join(mixed, "key").select("key", "label", F.when(big, F.col("label")).alias("own"), F.when(big, parts(F.col("c"), F.col("w"))).otherwise(F.col("shared")).alias("parts"), "salts"), tasks=few)
     number = F.pmod(F.xxhash64("rep"), F.col("parts")).alias("number")
-    open_ = tables.put("open", many.select("key", "rep", "label").join(shaped, ["key", "label"]).select("key", "own", number, "salts", "rep", "label"))
+    open_ = tables.put("open", many.select("key", "rep", "label").join(shaped, ["key", "label"]).select("key", "own", number, "salts", "rep", "label"), tasks=few)
     bags = texts.join(open_.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text").mapInArrow(_pack, "rep long, bag binary")
     block = F.collect_list(F.struct("rep", F.col("label").alias("root"), "bag")).alias("texts")
     blocks = tables.put("blocks", open_.join(bags, "rep").groupBy("key", "own", "number").agg(F.first("salts").alias("salts"), block))
@@ -316,11 +319,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = prepare(docs.sparkSession)
     every = one_text_per_id(docs, id_col, text_col)
-    tables = Tables(spark, "near")
+    tables, few = Tables(spark, "near"), narrow(spark)
     sketch = tables.put("sketch", every.mapInArrow(_sketch, SKETCH))
     same = tables.put("same", sketch.filter("hi is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     slots = same.select("rep", "size", F.explode("bands").alias("key"))
-    sizes = tables.put("sizes", slots.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    sizes = tables.put("sizes", slots.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), tasks=few)
     held = tables.put("held", slots.join(sizes, "key").groupBy("rep").agg(F.max("size").alias("size"), F.sum("n").alias("score"), F.collect_list(F.struct("key", "n")).alias("slots")))
     # every text that is compared shares a bucket: these are set apart once, and all comparisons read them
     # by shuffle at every size: what shares a bucket grows with the corpus
@@ -328,11 +331,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tables.drop("sizes")
 
     open_ = held.select("rep", "score", F.explode("slots.key").alias("key"))
-    lead = tables.put("lead", open_.groupBy("key").agg(F.max(F.struct("score", (-F.col("rep")).alias("order"))).alias("least")).select("key", (-F.col("least.order")).alias("leader"), F.col("least.score").alias("rank")))
+    lead = tables.put("lead", open_.groupBy("key").agg(F.max(F.struct("score", (-F.col("rep")).alias("order"))).alias("least")).select("key", (-F.col("least.order")).alias("leader"), F.col("least.score").alias("rank")), tasks=few)
     pairs = open_.join(lead, "key").filter("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b"), "rank").distinct()
     near = tables.put("led", compare(pairs, texts).filter(F.col("similarity") >= THRESHOLD).select("a", "b", "rank"))
-    best = tables.put("best", near.groupBy("a").agg(F.max(F.struct("rank", (-F.col("b")).alias("order"))).alias("top")).select(F.col("a").alias("rep"), (-F.col("top.order")).alias("label")))
-    labels = tables.put("labels", best.join(best.select(F.col("rep").alias("label"), F.col("label").alias("above")), "label", "left").select("rep", F.coalesce("above", "label").alias("label")))
+    best = tables.put("best", near.groupBy("a").agg(F.max(F.struct("rank", (-F.col("b")).alias("order"))).alias("top")).select(F.col("a").alias("rep"), (-F.col("top.order")).alias("label")), tasks=few)
+    labels = tables.put("labels", best.join(best.select(F.col("rep").alias("label"), F.col("label").alias("above")), "label", "left").select("rep", F.coalesce("above", "label").alias("label")), tasks=few)
     placed = tables.put("placed", held.join(labels, "rep", "left").select("rep", "size", "score", F.coalesce("label", "rep").alias("label"), F.inline("slots")))
     tables.drop("lead", "best")
     release(spark)
@@ -340,21 +343,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = [near.select("a", "b"), tables.put("small", compare(_small(placed), texts).filter(F.col("similarity") >= THRESHOLD).select("a", "b"))]
     large = _large(placed, texts, tables)
     if large is not None:
-        links.append(tables.put("large", large))
+        # Spark splits a bucket of many blocks among many tasks, which find few links each
+        links.append(tables.put("large", large, tasks=max(few, shuffle_width(spark))))
     tables.drop("texts", "placed", "classes", "mixed", "shaped", "open", "blocks")
     release(spark)
     links = reduce(DataFrame.union, links)
 
     end = lambda name, to: labels.select(F.col("rep").alias(name), F.col("label").alias(to))
     crossing = links.join(end("a", "u"), "a", "left").join(end("b", "v"), "b", "left").select(F.coalesce("u", "a").alias("u"), F.coalesce("v", "b").alias("v")).filter("u <> v").distinct()
-    merged = tables.put("merged", components(crossing, "u", "v").select(F.col("node").alias("label"), "root"))
+    merged = tables.put("merged", components(crossing, "u", "v").select(F.col("node").alias("label"), "root"), tasks=few)
     marked = held.select("rep").join(labels, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label")).join(merged, "label", "left").select("rep", F.coalesce("root", "label").alias("root"), F.lit(0).alias("n"))
     ends = links.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(None).cast("long").alias("root"), F.lit(1).alias("n"))
-    reps = tables.put("reps", marked.union(ends).groupBy("rep").agg(F.max("root").alias("root"), F.sum("n").cast("long").alias("n_join_links")))
-    least = tables.put("least", reps.groupBy("root").agg(F.min("rep").alias("class_id")))
-    classes = tables.put("found", same.select("hi", "lo", "rep").join(reps.join(least, "root"), "rep", "left").select("hi", "lo", F.coalesce("class_id", "rep").alias("class_id"), "n_join_links"))
+    reps = tables.put("reps", marked.union(ends).groupBy("rep").agg(F.max("root").alias("root"), F.sum("n").cast("long").alias("n_join_links")), tasks=few)
+    least = tables.put("least", reps.groupBy("root").agg(F.min("rep").alias("class_id")), tasks=few)
+    classes = tables.put("found", same.select("hi", "lo", "rep").join(reps.join(least, "root"), "rep", "left").select("hi", "lo", F.coalesce("class_id", "rep").alias("class_id"), "n_join_links"), tasks=few)
     known = sketch.select("doc_id", "hi", "lo").join(classes, ["hi", "lo"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_join_links").alias("n_join_links"))
-    found = tables.put("classes", sketch.select("doc_id").join(known, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_join_links", F.lit(0)).cast("long").alias("n_join_links")))
+    found = tables.put("classes", sketch.select("doc_id").join(known, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_join_links", F.lit(0)).cast("long").alias("n_join_links")), tasks=few)
     tables.drop("sketch", "same", "held", "led", "labels", "small", "large", "merged", "reps", "least", "found")
     return found
 
