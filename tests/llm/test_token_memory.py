@@ -41,3 +41,22 @@ def test_bounds_on_pieces_and_ids(monkeypatch):
         assert got.tolist() == [x for one in want for x in one] and counts.tolist() == list(map(len, want))
         at_most = max(at_most, tool.ids.n)
     assert at_most < 3000 + 30 * 3 * 200 and isinstance(at_most, int) and np.all(tool.size.held[: tool.size.n] > 0)
+
+
+def test_reading_shards_forgets_the_pieces():
+    """Workers that encoded are the same that read the shards back, and hold no pieces then."""
+    tokens.encoder(tokens.tokenizer_path())
+    assert list(tokens._read(iter([]))) == []
+    assert tokens.encoder.cache_info().currsize == 0
+
+
+def test_words_that_never_come_again(monkeypatch):
+    """Of 650,000 distinct words no more than the bound and those of one slice are held."""
+    tool, at_most, n = tokens.PieceEncoder(tokens.tokenizer_path()), 0, 0
+    for i in range(13):
+        texts = pa.array([" ".join(f"w{n + k:07d}" for k in range(j, j + 500)) for j in range(0, 50_000, 500)])
+        n += 50_000
+        for lo, hi in tool.slices(texts):
+            tool.encode_column(texts.slice(lo, hi - lo))
+            at_most = max(at_most, len(tool.known) + len(tool.heads))
+    assert at_most < 420_000
