@@ -134,6 +134,15 @@ def test_exact_search_equals_comparing_all(spark, monkeypatch):
     assert due.filter("round is null").count() > 0 and compared < 0.8 * 900 * len(asked)
 
 
+def test_k_rows_come_back_from_a_shelf(spark, monkeypatch):
+    monkeypatch.setattr(vectorlists, "CHUNK", 100)
+    points = points_of(spark, clusters(600, 8, 2))
+    queries = points.filter("point_id % 20 = 0").select(F.col("point_id").alias("query_id"), "embedding")
+    index = Lists.build(points, lists=12)
+    met = index.met(index.probes(queries), queries, 3).groupBy("query_id").count().collect()
+    assert len(met) == 30 and all(3 <= r["count"] <= 3 * 24 for r in met)
+
+
 def test_points_without_a_direction(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, []), (5, [0.6, 0.8]), (6, [3.0, 0.0])]
     points = spark.createDataFrame(rows, "point_id long, embedding array<double>")
