@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Rows of each language that a profile is made from, characters of each, trigrams of a profile, languages at most.
 SAMPLE, CHARACTERS, GRAMS, LANGUAGES = 1500, 4000, 3000, 200
+#: Parts that a language's hashes are dealt into.
+PARTS = 64
 #: Trigrams below which no guess is made, and the share that makes one reliable.
 LEAST, RELIABLE = 8, 0.7
 #: How many trigrams' worth of evidence a share counts at most: one long text is no surer than this.
@@ -41,8 +43,14 @@ def grams(text: str) -> Counter[str]:
 def train(labelled: DataFrame, body: str, language: str, sample: int = SAMPLE) -> Profiles:
     """Profiles of all languages of ``labelled``, at most ``LANGUAGES`` of them."""
     rows = labelled.filter(F.col(language).isNotNull() & (F.length(body) > 0)).select(F.col(language).alias("lang"), F.left(body, F.lit(CHARACTERS)).alias("text"))
-    least = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    some = rows.dropDuplicates(["lang", "text"]).withColumn("n", F.row_number().over(least)).filter(F.col("n") <= sample)
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    # no text is moved before it is known up to which hash a language's sample goes; parts of a language give ``sample`` hashes each at most
+    parted = Window.partitionBy("lang", F.pmod("hash", F.lit(PARTS))).orderBy("hash")
+    first = rows.select("lang", "hash").distinct().withColumn("n", F.row_number().over(parted)).filter(F.col("n") <= sample)
+    upto = first.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).filter(F.col("n") <= sample).groupBy("lang").agg(F.max("hash").alias("upto"))
+    near = rows.join(F.broadcast(upto), "lang").filter(F.col("hash") <= F.col("upto")).dropDuplicates(["lang", "text"])  # one row a language
+    least = Window.partitionBy("lang").orderBy("hash", "text")
+    some = near.withColumn("n", F.row_number().over(least)).filter(F.col("n") <= sample)
 
     @F.pandas_udf("array<struct<gram:string,n:long>>")
     def counted(texts: pd.Series) -> pd.Series:
