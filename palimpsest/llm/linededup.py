@@ -54,30 +54,51 @@ def folded(text: Column) -> Column:
     return F.when(rare[0] | rare[1] | rare[2] | rare[3], F.translate(lower, _RARE, " " * len(_RARE))).otherwise(lower)
 
 
-def place(doc_id: Column, number: Column) -> Column:
-    """One number in order of (doc_id, line number), for any 64-bit id."""
+def place(doc_id: Column, number: Column, bits: int | None = None) -> Column:
+    """One number in order of (doc_id, line number): a long with ``bits`` for the line number, or a decimal for any 64-bit id."""
+    if bits is not None:
+        return F.shiftleft(doc_id, bits).bitwiseOR(number.cast("long"))
     return (doc_id.cast("decimal(20,0)") * F.lit(_PLACES).cast("decimal(12,0)") + number.cast("decimal(12,0)")).cast("decimal(38,0)")
 
 
-def unplace(at: Column) -> tuple[Column, Column]:
+def unplace(at: Column, bits: int | None = None) -> tuple[Column, Column]:
+    if bits is not None:
+        return F.shiftright(at, bits), at.bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("int")
     number = F.pmod(at, F.lit(_PLACES).cast("decimal(38,0)"))
     return ((at - number) / F.lit(_PLACES).cast("decimal(38,0)")).cast("long"), number.cast("int")
 
 
+def bits_of(lines: DataFrame) -> int | None:
+    """Bits that the largest line number needs, if all places then fit a long; long ids are many times cheaper than decimals."""
+    low, high, number = lines.agg(F.min("doc_id"), F.max("doc_id"), F.max("number")).first()
+    if low is None:
+        return 0
+    bits = number.bit_length()
+    return bits if -(2**63) <= low << bits and (high + 1) << bits <= 2**63 else None
+
+
+def spaced(line: Column) -> Column:
+    """Words of a line of ``folded`` text with one space between them."""
+    line = F.trim(line)
+    return F.when(F.contains(line, F.lit("  ")), F.regexp_replace(line, " +", " ")).otherwise(line)
+
+
 def lines_of(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Every line with a word: document, number, words, and hashes of its first part, last part and third part.
 
     The first half and the rest (n words, hashes ``head`` and ``tail``) tell a
     line by 128 bits. As a line of one word less it has one half in common with
     that and one of its own, ``third``: the tail of an odd line without its
-    middle word, the head of an even line without its last.
+    middle word, the head of an even line without its last. Halves are cut from
+    the line at its spaces; no line becomes an array of words.
     """
-    rows = texts.select("doc_id", F.posexplode(F.split(folded(F.col("text")), "\n")).alias("number", "line"))
-    worded = rows.select("doc_id", "number", words_of(F.col("line")).alias("words")).withColumn("n", F.size("words")).filter("n > 0")
-    k = F.floor(F.col("n") / 2).cast("int")
-    odd = F.col("n") % 2 == 1
-    third = F.when(F.col("n") >= min_words, F.xxhash64(F.when(odd, F.slice("words", k + 2, k)).otherwise(F.slice("words", F.lit(1), k - 1))))
-    return worded.select("doc_id", "number", "n", F.xxhash64(F.slice("words", F.lit(1), k)).alias("head"), F.xxhash64(F.slice("words", k + 1, F.col("n"))).alias("tail"), third.alias("third"))
+    rows = texts.select("doc_id", F.posexplode(F.split(folded(F.col("text")), "\n")).alias("number", "line")).filter(F.trim("line") != "")
+    line = rows.select("doc_id", "number", spaced(F.col("line")).alias("line"))
+    worded = line.withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    k, n = F.shiftright("n", 1), F.col("n")
+    first = lambda count: F.call_function("substring_index", F.col("line"), F.lit(" "), count)
+    third = F.when(n >= min_words, F.xxhash64(F.when(n % 2 == 1, first(-k)).otherwise(first(k - 1))))
+    return worded.select("doc_id", "number", "n", F.xxhash64(first(k)).alias("head"), F.xxhash64(first(k - n)).alias("tail"), third.alias("third"))
 
 
 def _halves() -> Column:
@@ -118,19 +139,19 @@ def within_one(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.slice(short, k + 2, F.size(short)) == tail).when(F.size(long_) == F.size(short) + 1, F.slice(short, k + 1, F.size(short)) == tail).otherwise(False)
 
 
-def line_links(texts: DataFrame, lines: DataFrame, tables: Tables, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+def line_links(texts: DataFrame, lines: DataFrame, tables: Tables, min_words: int = MIN_WORDS, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(groups of equal lines with their first place, verified links of near lines to an earlier one)."""
     spark = texts.sparkSession
-    groups = tables.put("groups", lines.groupBy("n", "head", "tail").agg(F.min(place(F.col("doc_id"), F.col("number"))).alias("at"), F.count(F.lit(1)).alias("n_same"), F.max("third").alias("third")))
+    groups = tables.put("groups", lines.groupBy("n", "head", "tail").agg(F.min(place(F.col("doc_id"), F.col("number"), bits)).alias("at"), F.count(F.lit(1)).alias("n_same"), F.max("third").alias("third")))
     halves = groups.filter(F.col("n") >= min_words).select("at", F.explode(_halves()).alias("half"))
-    shared = halves.groupBy("half").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low < high").select("half")
-    doc_id, number = unplace(F.col("at"))
+    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1").select("half")
+    doc_id, number = unplace(F.col("at"), bits)
     chosen = halves.join(shared, "half", "left_semi").select("at").distinct().select(doc_id.alias("doc_id"), number.alias("number"))
     wanted = tables.put("wanted", chosen.groupBy("doc_id").agg(F.collect_set("number").alias("numbers")))
     release(spark)
     split = texts.join(wanted, "doc_id").select("doc_id", "numbers", F.split(folded(F.col("text")), "\n").alias("all"))
     picked = split.select("doc_id", F.explode("numbers").alias("number"), "all").select("doc_id", "number", F.get("all", F.col("number")).alias("line"))
-    candidates = tables.put("candidates", picked.select(place(F.col("doc_id"), F.col("number")).alias("at"), words_of(F.col("line")).alias("words")).dropDuplicates(["at"]))
+    candidates = tables.put("candidates", picked.select(place(F.col("doc_id"), F.col("number"), bits).alias("at"), words_of(F.col("line")).alias("words")).dropDuplicates(["at"]))
     release(spark)
     keys = tables.put("variants", variants(candidates))
     replaced = keys.filter("drop >= 0").groupBy("n", "hash", "hash2", "drop").agg(F.min("at").alias("low"), F.max("at").alias("high")).filter("low < high").select("n", "hash", "hash2", "drop", F.col("low").alias("other"))
@@ -153,12 +174,13 @@ def removed_lines(docs: DataFrame, tables: Tables, id_col: str = "doc_id", text_
     """(all lines, (doc_id, number, same, near) of each line that goes, as exact or as near repeat)."""
     texts = one_text_per_id(docs, id_col, text_col).filter("doc_id is not null and text is not null")
     lines = tables.put("lines", lines_of(texts, min_words))
-    groups, links = line_links(texts, lines, tables, min_words)
+    bits = bits_of(lines)
+    groups, links = line_links(texts, lines, tables, min_words, bits)
     near = links.select("at", F.lit(True).alias("near"))
     told = tables.put("told", groups.join(near, "at", "left").filter("n_same > 1 or near").select("n", "head", "tail", F.col("at").alias("first"), F.coalesce("near", F.lit(False)).alias("first_near")))
     tables.drop("groups", "links")
     marked = lines.select("doc_id", "number", "n", "head", "tail").join(told, ["n", "head", "tail"])
-    same = place(F.col("doc_id"), F.col("number")) > F.col("first")
+    same = place(F.col("doc_id"), F.col("number"), bits) > F.col("first")
     return lines, marked.select("doc_id", "number", same.alias("same"), (~same & F.col("first_near")).alias("near")).filter("same or near")
 
 
@@ -173,8 +195,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tables.drop("lines", "told")
     release(docs.sparkSession)
     texts = one_text_per_id(docs, id_col, text_col).join(told, "doc_id", "left")
-    parts, out = F.split("text", "\n"), F.concat("exact", "alike")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), out), lambda i: F.get(parts, i))
+    out = F.concat("exact", "alike")
+    # cut once for each text that loses lines, and not inside the function of a line
+    texts = texts.withColumn("parts", F.when(F.size(out) > 0, F.split("text", "\n")))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), out), lambda i: F.get("parts", i))
     text = F.when(F.size(out) > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
     numbers = [F.sort_array(F.coalesce(c, F.array().cast("array<int>"))).alias(to) for c, to in (("exact", "exact"), ("alike", "near"))]
     return texts.select("doc_id", text.alias("text"), *numbers, *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_lines", "n_exact", "n_near")))

@@ -4,6 +4,7 @@ import random
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm import decontaminate, linededup, neardup, toxicity
 from palimpsest.llm.runtime import shared_dir
@@ -95,3 +96,26 @@ def test_links_are_named_as_those_that_join(make):
     assert found.columns == ["doc_id", "class_id", "n_join_links"]
     rows = found.collect()
     assert {r["class_id"] for r in rows} == {0} and min(r["n_join_links"] for r in rows) >= 1
+
+
+def test_lines_of_ids_at_both_ends_are_those_of_small_ids(spark):
+    """Places of lines are longs where ids leave room, decimals elsewhere; ids only give the order."""
+    base = [prose(i, 10) for i in range(6)]
+    texts = [f"{base[i % 6]}\n\n x  {base[(i + 1) % 6]} {'y' * (i % 3)}\t\n{i}" for i in range(24)]
+    ids = {"long": list(range(-12, 12)), "none": [-(2**63), *range(-11, 11), 2**63 - 1]}
+    got = {}
+    for kind, numbers in ids.items():
+        docs = spark.createDataFrame([(n, t) for n, t in zip(numbers, texts, strict=True)], "doc_id long, text string")
+        bits = linededup.bits_of(linededup.lines_of(docs))
+        assert (bits is None) == (kind == "none")
+        got[kind] = [tuple(r)[1:] for r in linededup.deduplicated(docs).sort("doc_id").collect()]
+    assert got["long"] == got["none"] and [x[:3] for x in got["long"]] == list(plain_lines(texts).values())
+    at = linededup.place(F.col("d"), F.col("n"), 3)
+    rows = spark.createDataFrame([(-(2**60), 0), (-1, 7), (0, 0), (0, 7), (5, 1)], "d long, n int").select("d", "n", at.alias("at"), *(c.alias(x) for c, x in zip(linededup.unplace(at, 3), "en", strict=True)))
+    assert [r[0] for r in rows.sort("at").collect()] == [-(2**60), -1, 0, 0, 5] and all(r[0] == r[3] and r[1] == r[4] for r in rows.collect())
+
+
+def test_a_text_is_cut_into_lines_once(spark, make):
+    """The text left is put together without cutting the whole text again for each of its lines."""
+    plan = linededup.deduplicated(make(["a b\na b\nc", "c"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" in plan and "get(split(" not in plan
