@@ -118,4 +118,4 @@ def test_lines_of_ids_at_both_ends_are_those_of_small_ids(spark):
 def test_a_text_is_cut_into_lines_once(spark, make):
     """The text left is put together without cutting the whole text again for each of its lines."""
     plan = linededup.deduplicated(make(["a b\na b\nc", "c"]))._jdf.queryExecution().optimizedPlan().toString()
-    assert "split(" in plan and "get(split(" not in plan
+    assert "lambdafunction(parts" in plan and "lambdafunction(split(" not in plan
