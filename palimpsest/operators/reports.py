@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scores, text
-from palimpsest.operators.frames import first_wins, top_per
+from palimpsest.operators.frames import dealt, first_wins, top_per
 
 
 def count_by(df: DataFrame, column: str) -> DataFrame:
@@ -208,15 +208,22 @@ def report_sections(reports: DataFrame, key: str, parts: list[tuple[str, str, st
     Each part is (section_id, kind, title, rows, default): ``rows`` hold the
     key, pos and line; a report without rows of a part gets the default as its
     only line, or no line where the default is empty.
+
+    Reports and the rows of all parts are dealt by key once and grouped where
+    they lie. Nothing is grouped before that, as few lines of a report meet in
+    a file, and none of the shuffle's tasks is given the share of several.
     """
-    out = None
-    for place, (section_id, kind, title, rows, default) in enumerate(parts):
-        lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])
-        content = reports.select(key).distinct().join(rows.groupBy(key).agg(lines.alias("content")), key, "left")
-        none = F.array(F.lit(default)) if default else F.array().cast("array<string>")
-        made = content.select(key, F.lit(place).alias("place"), F.lit(section_id).alias("section_id"), F.lit(kind).alias("kind"), F.lit(title).alias("title"), F.coalesce("content", none).alias("content"))
-        out = made if out is None else out.unionByName(made)
-    return out
+    every = reports.select(key, F.lit(True).alias("_asked"))
+    for place, (_, _, _, rows, _) in enumerate(parts):
+        # a row without a key is no report's
+        every = every.unionByName(rows.filter(F.col(key).isNotNull()).select(key, F.struct("pos", "line").alias(f"_{place}")), allowMissingColumns=True)
+    met = dealt(every, key).groupBy(key).agg(F.max("_asked").alias("_asked"), *(F.collect_list(f"_{place}").alias(f"_{place}") for place in range(len(parts)))).filter("_asked")
+    sections = []
+    for place, (section_id, kind, title, _, default) in enumerate(parts):
+        lines = F.transform(F.array_sort(f"_{place}"), lambda x: x["line"])
+        content = F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit(default))) if default else lines
+        sections.append(F.struct(F.lit(place).alias("place"), F.lit(section_id).alias("section_id"), F.lit(kind).alias("kind"), F.lit(title).alias("title"), content.alias("content")))
+    return met.select(F.col(key).cast(reports.schema[key].dataType).alias(key), F.inline(F.array(*sections)))
 
 
 def notification(product: Column, n_items: Column, n_unknown: Column) -> Column:

@@ -159,7 +159,8 @@ UNION ALL SELECT o_orderkey, 2, 'references', 'links', '' FROM r""")
 def report_sections(spark, sf):
     o, l = table(spark, sf, "orders"), table(spark, sf, "lineitem")
     overall = o.select("o_orderkey", F.lit(0).alias("pos"), F.col("o_orderpriority").alias("line"))
-    changed = l.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), F.struct("l_linenumber", "l_partkey").alias("pos"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("line")).distinct()
+    changed = l.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), F.struct("l_linenumber", "l_partkey").alias("pos"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("line"))
+    changed = frames.dealt(changed, "o_orderkey").distinct()
     parts = [("overall_summary", "list", "0. 종합 요약", overall, ""), ("change_summary", "structured_list", "1. 규제 변경 요약", changed, "변경 사항 없음"), ("references", "links", "6. 참고 및 원문 링크", overall.limit(0), "")]
     out = reports.report_sections(o.select("o_orderkey"), "o_orderkey", parts)
     return out.select("o_orderkey", "place", "section_id", "kind", F.array_join("content", "|").alias("content"))
